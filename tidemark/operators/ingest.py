@@ -103,37 +103,44 @@ def executable_rows(df: DataFrame, ax: Axis = BARS, rank: Column | None = None)
     return latest_by(typed, [*ax.keys, ax.ts], rank)
 
 
-def repair(bars: DataFrame, grid: DataFrame, session_gap_minutes: int = 120, ax: Axis = BARS) -> DataFrame:
+def repair(
+    bars: DataFrame, grid: DataFrame, session_gap_minutes: int = 120, flat: bool = False, ax: Axis = BARS
+) -> DataFrame:
     """Lay bars onto a trading index and fill forward.
 
-    Close carries forward; open, high and low of an inserted row are that close and its volume is 0. Quotes
-    carry forward only while no gap of the index exceeds ``session_gap_minutes``. Stamps off the index feed
-    the fill but are not returned.
+    An inserted row repeats the bar before it (``flat``: its close in all four prices and volume 0). Cells that
+    are still empty take the last close, volume 0. Quotes carry forward only while no pause of the index
+    exceeds ``session_gap_minutes``. Stamps off the index feed the fill but are not returned.
     """
     keys, cols = list(ax.keys), [c for c in (*OHLC, "volume", *QUOTE) if c in bars.columns]
     quotes = [c for c in QUOTE if c in cols]
     both = (
         grid.select(*keys, "ts", F.lit(True).alias("_on"))
-        .unionByName(bars.select(*keys, "ts", *cols), allowMissingColumns=True)
+        .unionByName(bars.select(*keys, "ts", *cols, F.lit(True).alias("_bar")), allowMissingColumns=True)
         .groupBy(*keys, "ts")
-        .agg(F.max("_on").alias("_on"), *[F.max(c).alias(c) for c in cols])
+        .agg(F.max("_on").alias("_on"), F.max("_bar").alias("_bar"), *[F.max(c).alias(c) for c in cols])
     )
-    gap = shift(both, ax, {"_prev": (-1, F.col("ts"))})
-    wide = F.timestamp_diff("MINUTE", F.col("_prev"), F.col("ts")) > session_gap_minutes
-    # The last quote counts only if it was seen after the last wide gap.
-    gap = gap.withColumn("_start", F.when(F.col("_prev").isNull() | wide, F.col("ts")))
-    outs = {"_close": ("last", F.col("close")), "_session": ("last", F.col("_start"))}
+    gap = scan(both, ax, {"_prev": ("last", F.when(F.col("_on"), F.col("ts")))}, exclusive=True)
+    wide = F.unix_micros("ts") - F.unix_micros("_prev") > session_gap_minutes * 60_000_000
+    # The last quote counts only if it was seen after the last wide pause.
+    gap = gap.withColumn("_start", F.when(F.col("_on") & (F.col("_prev").isNull() | wide), F.col("ts")))
+    outs = {
+        "_close": ("last", F.col("close")),
+        "_session": ("last", F.col("_start")),
+        "_row": ("last", F.when(F.col("_bar"), F.struct("ts", *OHLC, "volume"))),
+    }
     for c in quotes:
         outs[f"_q_{c}"] = ("last", F.when(F.col(c).isNotNull(), F.struct("ts", F.col(c).alias("v"))))
     done = scan(gap, ax, outs).filter(F.col("_on"))
+    copied = F.lit(not flat) | (F.col("_row")["ts"] == F.col("ts"))
     fresh = {
         c: F.when(F.col(f"_q_{c}")["ts"] >= F.col("_session"), F.col(f"_q_{c}")["v"]).alias(c) for c in quotes
     }
     return done.select(
         *keys,
         "ts",
-        *[F.coalesce(F.col(c), F.col("_close")).alias(c) for c in OHLC],
-        F.coalesce("volume", F.lit(0.0)).alias("volume"),
+        *[F.coalesce(F.when(copied, F.col("_row")[c]), F.col("_close")).alias(c) for c in OHLC],
+        F.coalesce(F.when(copied, F.col("_row")["volume"]), F.lit(0.0)).alias("volume"),
         *fresh.values(),
     )
 
@@ -141,7 +148,7 @@ def repair(bars: DataFrame, grid: DataFrame, session_gap_minutes: int = 120, ax:
 def grid_fill(bars: DataFrame, grid: DataFrame, leading: bool = False, ax: Axis = BARS) -> DataFrame:
     """Add missing index rows: volume 0, open, high, low and close from the last close. ``leading`` also
     fills rows before the first bar from its open; that looks ahead, so it is off by default."""
-    done = repair(bars.select(*ax.keys, "ts", *OHLC, "volume"), grid, ax=ax)
+    done = repair(bars.select(*ax.keys, "ts", *OHLC, "volume"), grid, flat=True, ax=ax)
     if not leading:
         return done
     first = bars.groupBy(*ax.keys).agg(F.min_by("open", "ts").alias("_first"))
@@ -160,7 +167,7 @@ def fill_voids(df: DataFrame, step_us: int, end: Column | None = None, ax: Axis
 
 def daily_with_limited_fill(bars: DataFrame, days: int = 3, ax: Axis = BARS) -> DataFrame:
     """One row per calendar day of a series: up to ``days`` missing days repeat the last close with no
-    volume, longer gaps stay null. Every day without a bar is flagged ``missing``."""
+    volume; days in longer gaps stay null and are flagged ``missing``."""
     keys = list(ax.keys)
     daily = bars.withColumn("day", F.to_date("ts")).select(*keys, "day", *OHLC, "volume")
     span = daily.groupBy(*keys).agg(F.min("day").alias("a"), F.max("day").alias("b"))
@@ -176,7 +183,7 @@ def daily_with_limited_fill(bars: DataFrame, days: int = 3, ax: Axis = BARS) ->
         "day",
         *[F.coalesce(F.col(c), fill).alias(c) for c in OHLC],
         F.when(gap & fill.isNotNull(), 0.0).otherwise(F.col("volume")).alias("volume"),
-        gap.alias("missing"),
+        (gap & fill.isNull()).alias("missing"),
     )
 
 
