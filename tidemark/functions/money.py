@@ -108,12 +108,10 @@ def quote_flags(bid: Column, ask: Column, last: Column, max_spread: float) -> Co
     )
 
 
-def snapshot_price(trade: Column, trade_age: Column, bid: Column, ask: Column, max_age: float) -> Column:
-    """Fresh trade, else mid, else bid, else ask, else the stale trade."""
-    return F.coalesce(
-        F.when(trade_age <= max_age, positive(trade)),
-        F.when((bid > 0) & (ask > 0), mid(bid, ask)),
-        positive(bid),
-        positive(ask),
-        positive(trade),
-    )
+def snapshot_price(
+    trade: Column, trade_age: Column, bid: Column, bid_age: Column, ask: Column, ask_age: Column, max_age: float
+) -> Column:
+    """Fresh trade, else mid of fresh quotes, else the fresh side, else the stale trade."""
+    b = F.when(bid_age <= max_age, positive(bid))
+    a = F.when(ask_age <= max_age, positive(ask))
+    return F.coalesce(F.when(trade_age <= max_age, positive(trade)), mid(b, a), b, a, positive(trade))

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tidemark.queries import cleaning, series  # noqa: F401
+from tidemark.queries import cleaning, scalars, series  # noqa: F401
 from tidemark.queries.registry import OPERATORS, ORACLES, QUERIES  # noqa: F401
