@@ -12,6 +12,9 @@ SHIP_SEQ = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extended
 SHIPMENTS = Axis(("asset",), "ts", SHIP_SEQ, width=180 * DAY)
 FILLS = Axis(("account", "asset"), "ts", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "quantity", "price"), width=365 * DAY)
 
+# Keeps derived prices off decimal rounding ties, where engines differ in the last digit.
+ODD = 1.00031415926
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table; its zone-less stamps are read as UTC instants, so time filters reach the scan."""
@@ -97,8 +100,8 @@ def fills(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_shipdate").alias("ts"),
         F.when((F.col("l_returnflag") == "R") | (F.col("l_linenumber") % 3 == 0), "sell").otherwise("buy").alias("side"),
         F.col("l_quantity").alias("quantity"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        (F.col("l_extendedprice") * F.col("l_tax")).alias("fee"),
+        (F.col("l_extendedprice") / F.col("l_quantity") * ODD).alias("price"),
+        (F.col("l_extendedprice") * F.col("l_tax") * ODD).alias("fee"),
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -106,9 +109,9 @@ def fills(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-FILLS_SQL = """fills AS (SELECT o_custkey % 100 AS account, l_suppkey % 5 AS asset, l_shipdate AS ts,
+FILLS_SQL = f"""fills AS (SELECT o_custkey % 100 AS account, l_suppkey % 5 AS asset, l_shipdate AS ts,
   CASE WHEN l_returnflag = 'R' OR l_linenumber % 3 = 0 THEN 'sell' ELSE 'buy' END AS side, l_quantity AS quantity,
-  l_extendedprice / l_quantity AS price, l_extendedprice * l_tax AS fee,
+  l_extendedprice / l_quantity * {ODD} AS price, l_extendedprice * l_tax * {ODD} AS fee,
   l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 FILL_ORDER = "ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, quantity, price"
 

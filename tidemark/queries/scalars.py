@@ -261,14 +261,13 @@ def splits(spark, sf):
     return s.select(F.col("s_suppkey").cast("string").alias("asset"), day.alias("event_date"), (2.0 + F.col("i")).alias("ratio"))
 
 
-@query("split_adjusted", "D3 J7 A8", f"""WITH {lens.MONTHLY}, {_SPLITS}, f AS (SELECT m.asset, m.ts, any_value(open) * 1.0003187 AS open, any_value(close) * 1.0003187 AS close, any_value(volume) AS volume,
+@query("split_adjusted", "D3 J7 A8", f"""WITH {lens.MONTHLY}, {_SPLITS}, f AS (SELECT m.asset, m.ts, any_value(open) * 1.00031415926 AS open, any_value(close) * 1.00031415926 AS close, any_value(volume) AS volume,
   coalesce(product(ratio) FILTER (event_date > CAST(m.ts AS DATE)), 1) AS f, coalesce(product(ratio) FILTER (event_date = CAST(m.ts AS DATE)), 0) AS own FROM monthly m LEFT JOIN splits s ON m.asset = s.asset GROUP BY m.asset, m.ts)
-  SELECT asset, ts, round(open / f, 8) AS open, round(close / f, 8) AS close, round(volume * f, 4) AS volume, own AS stock_splits FROM f""")
+  SELECT asset, ts, round(open / f, 5) AS open, round(close / f, 5) AS close, round(volume * f, 4) AS volume, own AS stock_splits FROM f""")
 def split_adjusted(spark, sf):
-    odd = 1.0003187  # keeps quotients off rounding ties
-    m = lens.monthly(spark, sf).select("asset", "ts", (F.col("open") * odd).alias("open"), (F.col("close") * odd).alias("close"), "volume")
+    m = lens.monthly(spark, sf).select("asset", "ts", (F.col("open") * lens.ODD).alias("open"), (F.col("close") * lens.ODD).alias("close"), "volume")
     out = actions.back_adjust(actions.back_adjust(m, splits(spark, sf)), splits(spark, sf))
-    return out.select("asset", "ts", F.round("open", 8).alias("open"), F.round("close", 8).alias("close"), F.round("volume", 4).alias("volume"), "stock_splits")
+    return out.select("asset", "ts", F.round("open", 5).alias("open"), F.round("close", 5).alias("close"), F.round("volume", 4).alias("volume"), "stock_splits")
 
 
 @query("dividends_normalized", "D1", """SELECT l_suppkey AS asset, CAST(l_shipdate AS DATE) AS event_date, arg_min(l_tax, (l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice)) AS cash_amount FROM lineitem WHERE l_discount <= 0.05 GROUP BY 1, 2""")
