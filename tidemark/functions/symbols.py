@@ -56,8 +56,7 @@ SELL_SIDES = ("sell", "sell_short", "sell_to_open", "sell_to_close")
 UNRANKED = 999999
 
 _OCC = r"^([A-Z]{1,6})(\d{6})([CP])(\d{8})$"
-_DOTTED = r"^([A-Z]+)\.([FGHJKMNQUVXZ])(\d{2})$"
-_PLAIN = r"^([A-Z]+)([FGHJKMNQUVXZ])(\d{4}|\d{2}|\d)$"
+_CONTRACT = r"^([A-Z]+)(?:(?=\.[A-Z]\d{2}$)\.)?([FGHJKMNQUVXZ])(\d{4}|\d{2}|\d)$"
 _CLASS = r"^([A-Z]{1,6})[./ ]([A-Z])$"
 
 
@@ -65,6 +64,11 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 
 
+def bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))
+
+
 def parse_occ(symbol: Column) -> Column:
     """Option symbol -> struct(root, asset_type, expiration, right, strike); anything else is a stock."""
     hit = symbol.rlike(_OCC)
@@ -91,20 +95,15 @@ def parse_contract(symbol: Column) -> Column:
     A single year digit up to 5 means the 2020s, otherwise the 2010s.
     """
     text = F.upper(F.trim(symbol))
-    dotted = text.rlike(_DOTTED)
-    hit = dotted | text.rlike(_PLAIN)
-    part = lambda i: F.when(dotted, F.regexp_extract(text, _DOTTED, i)).otherwise(
-        F.regexp_extract(text, _PLAIN, i)
-    )
-    year = part(3)
+    year = F.regexp_extract(text, _CONTRACT, 3)
     decade = F.when(year <= "5", "2").otherwise("1")
     two = F.when(F.length(year) == 1, F.concat(decade, year)).otherwise(F.right(year, F.lit(2)))
     four = F.when(F.length(year) == 4, year).otherwise(F.concat(F.lit("20"), two))
     return F.when(
-        hit,
+        text.rlike(_CONTRACT),
         F.struct(
-            part(1).alias("root"),
-            part(2).alias("month_code"),
+            F.regexp_extract(text, _CONTRACT, 1).alias("root"),
+            F.regexp_extract(text, _CONTRACT, 2).alias("month_code"),
             F.right(year, F.lit(1)).alias("year_1d"),
             two.alias("year_2d"),
             four.alias("year_4d"),
@@ -120,14 +119,16 @@ def build_contract(root: Column, year: Column, month: Column, digits: int = 2) -
 
 def contract_variants(symbol: Column) -> Column:
     """All spellings of a contract: one, two and four year digits and the dotted form."""
-    p = parse_contract(symbol)
-    stem = F.concat(p["root"], p["month_code"])
-    return F.array(
-        F.concat(stem, p["year_1d"]),
-        F.concat(stem, p["year_2d"]),
-        F.concat(p["root"], F.lit("."), p["month_code"], p["year_2d"]),
-        F.concat(stem, p["year_4d"]),
-    )
+    def spell(p: Column) -> Column:
+        stem = F.concat(p["root"], p["month_code"])
+        return F.array(
+            F.concat(stem, p["year_1d"]),
+            F.concat(stem, p["year_2d"]),
+            F.concat(p["root"], F.lit("."), p["month_code"], p["year_2d"]),
+            F.concat(stem, p["year_4d"]),
+        )
+
+    return bound(parse_contract(symbol), spell)
 
 
 def matches_root(symbol: Column, root: Column) -> Column:

@@ -105,17 +105,24 @@ def minus_business_days(day: Column, n: Column | int, holidays: Column | None =
 
     ``holidays`` is an array of dates; the look-back window is wide enough for ten of them in a row.
     """
+    from tidemark.functions.symbols import bound
+
     n = F.lit(n) if isinstance(n, int) else n
-    wd = _weekday(day)
-    if holidays is None:
-        day = F.when(wd >= 5, F.date_add(day, 7 - wd)).otherwise(day)
-        wd = F.when(wd >= 5, F.lit(0)).otherwise(wd)
+
+    def plain(d: Column) -> Column:
+        wd = _weekday(d)
+        weekend = wd >= 5
+        from_day, e = F.when(weekend, F.date_add(d, 7 - wd)).otherwise(d), F.when(weekend, 0).otherwise(wd)
         rest = F.pmod(n, F.lit(5))
-        back = F.floor(n / 5) * 7 + rest + F.when(rest > wd, 2).otherwise(0)
-        return F.date_sub(day, back.cast("int"))
-    span = F.sequence(F.date_sub(day, 1), F.date_sub(day, (n * 2 + 16).cast("int")), F.expr("interval -1 day"))
-    open_days = F.filter(span, lambda d: (F.weekday(d) < 5) & ~F.array_contains(holidays, d))
-    return F.when(n <= 0, day).otherwise(F.element_at(open_days, n.cast("int")))
+        back = F.floor(n / 5) * 7 + rest + F.when(rest > e, 2).otherwise(0)
+        return F.date_sub(from_day, back.cast("int"))
+
+    def with_holidays(d: Column) -> Column:
+        span = F.sequence(F.date_sub(d, 1), F.date_sub(d, (n * 2 + 16).cast("int")), F.expr("interval -1 day"))
+        open_days = F.filter(span, lambda x: (F.weekday(x) < 5) & ~F.array_contains(holidays, x))
+        return F.when(n <= 0, d).otherwise(F.element_at(open_days, n.cast("int")))
+
+    return bound(day, plain if holidays is None else with_holidays)
 
 
 def on_or_before_business_day(day: Column, holidays: Column | None = None) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.blocks import DAY, Axis, scan, shift
+from tidemark.plans.blocks import DAY, Axis, asof, scan, settle
 
 RANGES = Axis(("asset",), "start_ts", ("end_us",), width=3650 * DAY, measured=False)
 
@@ -28,27 +28,36 @@ def merge_ranges(ranges: DataFrame, unit_us: int, ax: Axis = RANGES) -> DataFram
 def missing_windows(requests: DataFrame, ranges: DataFrame, unit_us: int, keys: Sequence[str] = ("asset",)) -> DataFrame:
     """Parts of each requested (start_ts, end_ts) no range covers; neighbours are one unit away.
 
-    The holes between merged ranges (open-ended at both sides) are few, and each request meets only the
-    holes of its key that it overlaps.
+    The holes between merged ranges (open-ended at both sides) are numbered per key. Two as-of lookups give
+    the first and last hole a request touches, and it is joined to just those.
     """
     keys = list(keys)
     merged = merge_ranges(ranges, unit_us, Axis(tuple(keys), "start_ts", ("end_us",), RANGES.width, measured=False))
     ax = Axis(tuple(keys), "start_ts", width=RANGES.width, measured=False)
-    linked = shift(merged, ax, {"_next": (1, F.col("start_ts")), "_prev": (-1, F.col("start_ts"))})
-    plus = lambda c, n: F.timestamp_micros(F.unix_micros(c) + n)
-    holes = linked.select(
-        *keys, plus("end_ts", unit_us).alias("_a"), plus("_next", -unit_us).alias("_b")
-    ).unionByName(
-        linked.filter(F.col("_prev").isNull()).select(
-            *keys, F.lit(None).cast("timestamp").alias("_a"), plus("start_ts", -unit_us).alias("_b")
-        )
+    linked = scan(
+        merged, ax, {"_next": ("next", F.col("start_ts")), "_prev": ("prev", F.col("start_ts")), "_n": ("count", F.lit(1))}
     )
+    at = lambda c, n: F.unix_micros(c) + n
+    lowest, highest = F.lit(-(2**62)), F.lit(2**62)
+    after = F.struct(F.col("_n").alias("n"), at("end_ts", unit_us).alias("a"), F.coalesce(at("_next", -unit_us), highest).alias("b"))
+    first = F.struct(F.lit(0).cast("long").alias("n"), lowest.alias("a"), at("start_ts", -unit_us).alias("b"))
+    holes = linked.select(*keys, F.explode(F.when(F.col("_prev").isNull(), F.array(first, after)).otherwise(F.array(after))).alias("_h"))
     bare = requests.select(*keys).distinct().join(merged.select(*keys), keys, "left_anti")
-    holes = holes.unionByName(bare, allowMissingColumns=True)
-    a = F.greatest(F.col("start_ts"), F.col("_a"))
-    b = F.least(F.col("end_ts"), F.col("_b"))
-    cut = requests.join(holes, keys).select(*requests.columns, a.alias("missing_start"), b.alias("missing_end"))
-    return cut.filter(F.col("missing_start") <= F.col("missing_end"))
+    whole = F.struct(F.lit(0).cast("long").alias("n"), lowest.alias("a"), highest.alias("b"))
+    holes = settle(holes.unionByName(bare.select(*keys, whole.alias("_h"))).select(*keys, "_h.*"))
+    asked = requests.withColumns({"_s": at("start_ts", 0), "_e": at("end_ts", 0)})
+    how = {"keys": keys, "right_ts": "_a", "width": RANGES.width, "measured": False}
+    tag = lambda p: holes.select(*keys, F.col("a").alias("_a"), F.col("n").alias(f"_n{p}"), F.col("b").alias(f"_b{p}"))
+    asked = asof(asked, tag(0), left_ts="_s", **how).drop("_a")
+    asked = asof(asked, tag(1), left_ts="_e", **how).drop("_a", "_b1")
+    start = F.when(F.col("_b0") >= F.col("_s"), F.col("_n0")).otherwise(F.coalesce(F.col("_n0") + 1, F.lit(0)))
+    touched = asked.withColumn("_from", start).filter(F.col("_from") <= F.col("_n1"))
+    spread = touched.withColumn("n", F.explode(F.sequence("_from", "_n1")))
+    hit = spread.join(holes, [*keys, "n"])
+    a, b = F.greatest(F.col("_s"), F.col("a")), F.least(F.col("_e"), F.col("b"))
+    return hit.filter(a <= b).select(
+        *requests.columns, F.timestamp_micros(a).alias("missing_start"), F.timestamp_micros(b).alias("missing_end")
+    )
 
 
 def chunks(ranges: DataFrame, size_us: int) -> DataFrame:

@@ -41,9 +41,8 @@ def anchor_date(anchor: Column, month: Column, holidays: Column | None = None) -
     )
 
 
-def roll_ts(anchor: Column, offset: Column, month: Column, holidays: Column | None = None) -> Column:
-    """Five minutes after New York midnight, ``offset`` business days before the anchor."""
-    at = anchor_date(anchor, month, holidays)
+def roll_ts(at: Column, offset: Column) -> Column:
+    """Five minutes after New York midnight, ``offset`` business days before the anchor date."""
     day = F.when(offset > 0, times.minus_business_days(at, offset)).otherwise(at)
     return times.to_utc(F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + 300_000_000))
 
@@ -54,10 +53,11 @@ def roll_schedule(rules: DataFrame, start, end, year_digits: int = 2, holidays:
     first = F.add_months(F.trunc(F.lit(start).cast("date"), "month"), -14)
     last = F.add_months(F.trunc(F.lit(end).cast("date"), "month"), 14)
     grid = rules.withColumn("month", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
-    grid = grid.filter(F.array_contains("months", F.month("month"))).select(
+    grid = grid.filter(F.array_contains("months", F.month("month"))).withColumn("_at", anchor_date(F.col("anchor"), F.col("month"), holidays))
+    grid = grid.select(
         "root",
         build_contract(F.col("root"), F.year("month"), F.month("month"), year_digits).alias("contract"),
-        roll_ts(F.col("anchor"), F.col("offset"), F.col("month"), holidays).alias("end_ts"),
+        roll_ts(F.col("_at"), F.col("offset")).alias("end_ts"),
     )
     w = Window.partitionBy("root").orderBy("end_ts")
     spans = grid.withColumn("start_ts", F.lag("end_ts").over(w)).filter(F.col("start_ts").isNotNull())

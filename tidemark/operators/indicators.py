@@ -205,12 +205,15 @@ def session_vwap(bars: DataFrame, zone: str = MARKET_ZONE, ax: Axis = BARS) -> D
     return run.withColumn("vwap", F.col("_pv") / F.nullif("_v", F.lit(0.0))).drop("_pv", "_v")
 
 
-def custom(bars: DataFrame, fn: Callable, schema: str, keys: Sequence[str] = ("asset",)) -> DataFrame:
+def custom(bars: DataFrame, fn: Callable, schema: str, keys: Sequence[str] = ("asset",), max_rows: int = 5_000_000) -> DataFrame:
     """A user's ``fn(pandas frame) -> pandas frame`` over one whole series at a time.
 
-    The function may need the whole series, so a series must fit one Arrow group: feed it bars (one row per
-    step), not ticks, and bound long ones with ``custom_blocked``.
+    The function may need the whole series, so a series must fit one Arrow group: the longest one is counted
+    first, and one beyond ``max_rows`` is refused. ``custom_blocked`` takes series of any length.
     """
+    longest = bars.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if longest > max_rows:
+        raise ValueError(f"a series has {longest} rows: use custom_blocked")
     return bars.groupBy(*keys).applyInPandas(lambda pdf: fn(pdf.sort_values("ts")), schema)
 
 

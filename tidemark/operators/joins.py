@@ -9,15 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.blocks import DAY, Axis, asof, latest_by, scan
 
-# Sides up to this many rows may be broadcast; larger ones go through the sorted or bucketed path.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a side is proven to fit a broadcast; looks at limit+1 rows at most."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def asof_within(left: DataFrame, right: DataFrame, tolerance_us: int, right_ts: str = "ts", **how) -> DataFrame:
     """As-of lookup that rejects a match older than the tolerance. Adds ``matched_ts``."""
     stamped = right.withColumnRenamed(right_ts, "matched_ts")

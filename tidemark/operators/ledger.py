@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import cash, money, times
 from tidemark.functions.symbols import side_sign
-from tidemark.plans.blocks import DAY, Axis, asof, latest_by, scan, shift
+from tidemark.plans.blocks import DAY, Axis, asof, scan, settle
 
 MONEY = "decimal(38,9)"
 
@@ -27,6 +27,22 @@ def cash_ledger(fills: DataFrame, ax: Axis, start: float = 0.0) -> DataFrame:
     return out.withColumn("cash", F.col("_run") + start).drop("_run")
 
 
+def split_fills(fills: DataFrame, ax: Axis) -> DataFrame:
+    """Closing and opening part of every fill, and the running totals they end at.
+
+    Opened minus closed quantity is the absolute position and their sum is the volume traded, so one scan of
+    position and volume gives both: no second pass is needed. Adds _s, _close, _open, _c1, _o1.
+    """
+    exact = F.col("quantity").cast("decimal(28,6)")
+    rows = fills.withColumns({"_q": exact, "_s": side_sign(F.col("side")) * exact})
+    rows = scan(rows, ax, {"_net": ("sum", F.col("_s")), "_vol": ("sum", F.col("_q"))})
+    half = lambda v, n: ((v + n) / 2).cast("decimal(30,6)")
+    was, vol0 = F.abs(F.col("_net") - F.col("_s")), F.col("_vol") - F.col("_q")
+    ends = {"_o1": half(F.col("_vol"), F.abs("_net")), "_c1": half(F.col("_vol"), -F.abs("_net"))}
+    rows = rows.withColumns({**ends, "_o0": half(vol0, was), "_c0": half(vol0, -was)})
+    return rows.withColumns({"_open": F.col("_o1") - F.col("_o0"), "_close": F.col("_c1") - F.col("_c0")}).drop("_q", "_net", "_vol")
+
+
 def fifo_lots(fills: DataFrame, ax: Axis) -> DataFrame:
     """Closed lots, first in first out, with flips: one row per (closing fill, opening fill) pair that overlap.
 
@@ -36,35 +52,27 @@ def fifo_lots(fills: DataFrame, ax: Axis) -> DataFrame:
     borders, not a join of closes with opens.
     """
     keys = list(ax.keys)
-    sign = side_sign(F.col("side"))
-    rows = fills.withColumn("_s", sign * F.col("quantity").cast("decimal(28,6)"))
-    rows = scan(rows, ax, {"_net": ("sum", F.col("_s"))}, exclusive=True).withColumn("_net", F.coalesce("_net", F.lit(0).cast("decimal(38,6)")))
-    against = F.signum("_net") * F.signum("_s") < 0
-    size = F.abs("_s")
-    closing = F.when(against, F.least(F.abs("_net"), size)).otherwise(F.lit(0))
-    rows = rows.withColumn("_close", closing.cast("decimal(28,6)")).withColumn("_open", (size - F.col("_close")).cast("decimal(28,6)"))
-    rows = scan(rows, ax, {"_c1": ("sum", F.col("_close")), "_o1": ("sum", F.col("_open"))})
     fill = F.struct(*[c for c in fills.columns if c not in keys])
-    zero = F.lit(0).cast("long")
     # Axis position in micro-units: quantities carry six decimals.
-    at = lambda end, part: ((F.col(end) - F.col(part)) * 1_000_000).cast("long")
-    opens = rows.filter(F.col("_open") > 0).select(*keys, at("_o1", "_open").alias("_pos"), fill.alias("_entry"), zero.alias("_side"))
-    closes = rows.filter(F.col("_close") > 0).select(*keys, at("_c1", "_close").alias("_pos"), fill.alias("_exit"), (zero + 1).alias("_side"))
-    ends = rows.groupBy(*keys).agg((F.max("_c1") * 1_000_000).cast("long").alias("_pos")).filter(F.col("_pos") > 0)
-    border = opens.unionByName(closes, allowMissingColumns=True).unionByName(
-        ends.select(*keys, "_pos", (zero + 2).alias("_side")), allowMissingColumns=True
+    at = lambda c: (F.col(c) * 1_000_000).cast("long")
+    border = lambda kind, a, b: F.struct(
+        at(a).alias("_pos"), F.lit(kind).cast("long").alias("_side"), at(b).alias("_until"), fill.alias("_fill")
     )
+    both = F.array(
+        F.when(F.col("_open") > 0, border(0, "_o0", "_o1")), F.when(F.col("_close") > 0, border(1, "_c0", "_c1"))
+    )
+    borders = split_fills(fills, ax).select(*keys, F.explode(F.array_compact(both)).alias("_b")).select(*keys, "_b.*")
     qx = Axis(tuple(keys), "_pos", ("_side",), width=1_000_000 * 100_000, max_rows=ax.max_rows, measured=ax.measured)
-    linked = shift(border, qx, {"_next": (1, F.col("_pos"))})
-    paired = scan(linked, qx, {"_e": ("last", F.col("_entry")), "_x": ("last", F.col("_exit"))})
-    limit = F.least(F.col("_next"), F.col("_total"))
-    piece = paired.join(ends.withColumnRenamed("_pos", "_total"), keys).withColumn("_len", limit - F.col("_pos"))
+    part = lambda kind: F.when(F.col("_side") == kind, F.struct("_until", "_fill"))
+    paired = scan(borders, qx, {"_next": ("next", F.col("_pos")), "_e": ("last", part(0)), "_x": ("last", part(1))})
+    end = F.least(F.col("_next"), F.col("_e")["_until"], F.col("_x")["_until"])
+    piece = paired.filter(F.col("_e").isNotNull() & F.col("_x").isNotNull()).withColumn("_len", end - F.col("_pos"))
     cols = [c for c in fills.columns if c not in keys]
-    return piece.filter((F.col("_len") > 0) & F.col("_x").isNotNull() & F.col("_e").isNotNull()).select(
+    return piece.filter(F.col("_len") > 0).select(
         *keys,
         (F.col("_len") / 1_000_000).cast("double").alias("quantity"),
-        *[F.col("_e")[c].alias(f"entry_{c}") for c in cols],
-        *[F.col("_x")[c].alias(f"exit_{c}") for c in cols],
+        *[F.col("_e")["_fill"][c].alias(f"entry_{c}") for c in cols],
+        *[F.col("_x")["_fill"][c].alias(f"exit_{c}") for c in cols],
     )
 
 
@@ -78,16 +86,14 @@ def futures_cash(fills: DataFrame, ax: Axis, margin: Column, multiplier: Column
     """Cash effect of every futures fill: margin back and realised profit for the closing part, margin out for
     the opening part. Columns of the fill plus closing_qty, opening_qty, realised, cash_change."""
     keys, ident = list(ax.keys), [ax.ts, *ax.seq]
-    sign = side_sign(F.col("side"))
-    rows = fills.withColumn("_s", sign * F.col("quantity"))
-    rows = scan(rows, ax, {"_net": ("sum", F.col("_s"))}, exclusive=True).withColumn("_net", F.coalesce("_net", F.lit(0.0)))
-    close = F.when(F.col("_net") * F.col("_s") < 0, F.least(F.abs("_net"), F.abs("_s"))).otherwise(0.0)
-    rows = rows.withColumn("closing_qty", close).withColumn("opening_qty", F.abs("_s") - F.col("closing_qty"))
+    rows = split_fills(fills, ax).select(
+        *fills.columns, F.col("_close").cast("double").alias("closing_qty"), F.col("_open").cast("double").alias("opening_qty")
+    )
     pnl = realised_pnl(fifo_lots(fills, ax), multiplier)
     per_exit = pnl.groupBy(*keys, *[F.col(f"exit_{c}").alias(c) for c in ident]).agg(F.sum("pnl").alias("realised"))
     out = rows.join(per_exit, [*keys, *ident], "left").withColumn("realised", F.coalesce("realised", F.lit(0.0)))
     change = margin * F.col("closing_qty") + F.col("realised") - margin * F.col("opening_qty")
-    return out.withColumn("cash_change", change).drop("_s", "_net")
+    return out.withColumn("cash_change", change)
 
 
 def portfolio_value(
@@ -105,21 +111,30 @@ def portfolio_value(
     Fills: account, asset, ts, side, quantity, price, multiplier, fee. Prices: asset, ts, close. Each pair of
     account and asset gets one row per clock stamp: these are the marks the answer sums.
     """
-    pairs = fills.groupBy(*ax.keys).agg(F.min(ax.ts).alias("_first"))
-    marks = pairs.withColumn("ts", F.explode(F.filter(clock, lambda t: t >= F.col("_first")))).drop("_first")
-    held = positions(fills, ax)
-    last = latest_by(held.select(*ax.keys, ax.ts, *ax.seq, "position", "multiplier"), [*ax.keys, ax.ts], F.struct(*ax.seq))
-    marks = asof(marks, last.select(*ax.keys, F.col(ax.ts).alias("_fts"), "position", "multiplier"), ax.keys, "ts", "_fts", width=365 * DAY).drop("_fts")
+    keys = list(ax.keys)
+    flow = side_sign(F.col("side")) * F.col("quantity")
+    # Net quantity per stamp first: a partial aggregate, so busy accounts shrink before they are exchanged.
+    net = fills.groupBy(*keys, ax.ts).agg(F.sum(flow).alias("_q"), F.max("multiplier").alias("multiplier"))
+    begun = net.groupBy(*keys).agg(F.min(ax.ts).alias("_first"), F.max("multiplier").alias("multiplier"))
+    marks = begun.withColumn("ts", F.explode(F.filter(clock, lambda t: t >= F.col("_first"))))
+    timed = net.select(*keys, F.col(ax.ts).alias("ts"), "_q", F.lit(0).cast("long").alias("_mark")).unionByName(
+        marks.select(*keys, "ts", "multiplier", F.lit(1).cast("long").alias("_mark")), allowMissingColumns=True
+    )
+    held = scan(timed, Axis(ax.keys, "ts", ("_mark",), ax.width, ax.max_rows, ax.measured), {"position": ("sum", F.col("_q"))})
+    marks = settle(held.filter((F.col("_mark") == 1) & (F.col("position") != 0)).select(*keys, "ts", "position", "multiplier"))
     good = prices.filter((F.col("close") > 0) & ~F.isnan("close")).select("asset", F.col("ts").alias("_pts"), "close")
-    marks = asof(marks.filter(F.col("position") != 0), good, ["asset"], "ts", "_pts", width=30 * DAY)
+    marks = asof(marks, good, ["asset"], "ts", "_pts", width=30 * DAY)
     value = F.col("position") * F.col("close") * F.col("multiplier")
     worth = marks.filter(F.col("close").isNotNull()).groupBy(account, "ts").agg(F.sum(value).alias("positions_value"))
-    cash_rows = cash_ledger(fills, cash_ax, start_cash)
-    eod = latest_by(cash_rows.select(account, cash_ax.ts, *cash_ax.seq, "cash"), [account, cash_ax.ts], F.struct(*cash_ax.seq))
-    stamps = fills.select(account).distinct().withColumn("ts", F.explode(clock))
-    book = asof(stamps, eod.select(account, F.col(cash_ax.ts).alias("_cts"), "cash"), [account], "ts", "_cts", width=365 * DAY).drop("_cts")
+    paid = -flow * F.col("price") * F.col("multiplier") - F.coalesce("fee", F.lit(0.0))
+    moved = fills.groupBy(account, cash_ax.ts).agg(F.sum(paid).alias("_c"))
+    stamps = moved.select(account).distinct().select(account, F.explode(clock).alias("ts"), F.lit(1).cast("long").alias("_mark"))
+    lines = moved.select(account, F.col(cash_ax.ts).alias("ts"), "_c", F.lit(0).cast("long").alias("_mark")).unionByName(stamps, allowMissingColumns=True)
+    cx = Axis((account,), "ts", ("_mark",), cash_ax.width, cash_ax.max_rows, cash_ax.measured)
+    book = scan(lines, cx, {"_run": ("sum", F.col("_c"))}).filter(F.col("_mark") == 1)
+    book = book.select(account, "ts", (F.coalesce("_run", F.lit(0.0)) + start_cash).alias("cash"))
     out = book.join(worth, [account, "ts"], "left")
-    cash_now, held_now = F.coalesce("cash", F.lit(float(start_cash))), F.coalesce("positions_value", F.lit(0.0))
+    cash_now, held_now = F.col("cash"), F.coalesce("positions_value", F.lit(0.0))
     return out.select(account, "ts", cash_now.alias("cash"), held_now.alias("positions_value"), (cash_now + held_now).alias("portfolio_value"))
 
 

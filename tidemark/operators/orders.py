@@ -19,6 +19,7 @@ from tidemark.plans.blocks import DAY, SECOND
 
 DAY_ORDERS = ("day", "good_for_day", "gfd")
 DATED_ORDERS = ("gtd", "good_till_date", "good_til_date")
+BOX_LIMIT = 200_000
 IMMEDIATE = ("ioc", "immediate_or_cancel", "fok", "fill_or_kill")
 
 
@@ -162,6 +163,9 @@ def match_orders(orders: DataFrame, bars: DataFrame, width: int = DAY) -> DataFr
         F.min("low").alias("_lo"),
         F.max("high").alias("_hi"),
     )
+    # A box must stay small enough for one row: bars are one per step, so this only stops ticks passed as bars.
+    too_many = F.raise_error(F.lit("more than 200000 bars in a block: pass a smaller width"))
+    per_block = per_block.withColumn("_bars", F.when(F.size("_bars") > BOX_LIMIT, too_many.cast(per_block.schema["_bars"].dataType)).otherwise(F.col("_bars")))
     # One entry per block of an asset: its calendar, not its rows.
     ranges = per_block.groupBy("asset").agg(
         F.array_sort(F.collect_list(F.struct(F.col("_blk").alias("t"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))).alias("_ranges")

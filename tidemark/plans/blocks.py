@@ -143,10 +143,13 @@ def with_blocks(df: DataFrame, ax: Axis) -> DataFrame:
 
 
 def _total(kind: str, x: Column, rank: Column) -> Column:
+    """What a block passes on."""
     if kind == "last":
         return F.max_by(x, F.when(x.isNotNull(), rank))
     if kind == "first":
         return F.min_by(x, F.when(x.isNotNull(), rank))
+    if kind in ("prev", "next"):
+        return (F.max_by if kind == "prev" else F.min_by)(F.struct(x.alias("v")), rank)
     return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "prod": F.product}[kind](x)
 
 
@@ -163,6 +166,8 @@ def _merge(kind: str, inner: Column, carry: Column) -> Column:
         return F.coalesce(inner, carry)
     if kind == "first":
         return F.coalesce(carry, inner)
+    if kind in ("prev", "next"):
+        return F.coalesce(inner, carry)["v"]
     if kind == "max":
         return F.greatest(carry, inner)
     if kind == "min":
@@ -172,58 +177,42 @@ def _merge(kind: str, inner: Column, carry: Column) -> Column:
 
 
 def scan(df: DataFrame, ax: Axis, outs: dict[str, tuple[str, Column]], exclusive: bool = False) -> DataFrame:
-    """Running aggregates in axis order: name -> (last|first|sum|count|max|min|prod, expression).
+    """Running aggregates in axis order: name -> (last|first|sum|count|max|min|prod, expression), and values of
+    the neighbouring row: name -> (prev|next, expression).
 
-    ``exclusive`` leaves the current row out of its own value. Nulls are skipped by every kind.
+    ``exclusive`` leaves the current row out of its own aggregate. Aggregates skip nulls, neighbours do not.
     """
     had = BLOCK in df.columns
     base = with_blocks(df, ax)
     on = [*ax.keys, BLOCK]
-    inside = Window.partitionBy(*on).orderBy(*ax.order).rowsBetween(
-        Window.unboundedPreceding, -1 if exclusive else Window.currentRow
-    )
-    before = Window.partitionBy(*ax.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry_in = {n: f"_c{i}" for i, n in enumerate(outs)}
-    totals = base.groupBy(*on).agg(*[_total(k, x, ax.rank).alias(carry_in[n]) for n, (k, x) in outs.items()])
-    # One row per block: the window below sees the number of blocks of a key, not its rows.
-    carries = totals.select(
-        *on,
-        *[
-            _running("sum" if k == "count" else k, F.col(carry_in[n])).over(before).alias(carry_in[n])
-            for n, (k, _) in outs.items()
-        ],
-    )
-    inner = base.withColumns({f"_i{i}": _running(k, x).over(inside) for i, (k, x) in enumerate(outs.values())})
+    rows = Window.partitionBy(*on).orderBy(*ax.order)
+    inside = rows.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
+    blocks = Window.partitionBy(*ax.keys).orderBy(BLOCK)
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+
+    def inner_value(kind: str, x: Column) -> Column:
+        if kind in ("prev", "next"):
+            return (F.lag if kind == "prev" else F.lead)(F.struct(x.alias("v"))).over(rows)
+        return _running(kind, x).over(inside)
+
+    def carried(kind: str, c: str) -> Column:
+        if kind in ("prev", "next"):
+            return (F.lag if kind == "prev" else F.lead)(c).over(blocks)
+        return _running("sum" if kind == "count" else kind, F.col(c)).over(before)
+
+    kinds = [k for k, _ in outs.values()]
+    totals = base.groupBy(*on).agg(*[_total(k, x, ax.rank).alias(f"_c{i}") for i, (k, x) in enumerate(outs.values())])
+    # One row per block: this window sees the number of blocks of a key, not its rows.
+    carries = totals.select(*on, *[carried(k, f"_c{i}").alias(f"_c{i}") for i, k in enumerate(kinds)])
+    inner = base.withColumns({f"_i{i}": inner_value(k, x) for i, (k, x) in enumerate(outs.values())})
     joined = inner.join(carries, on, "left")
     keep = [c for c in base.columns if c not in outs and (had or c != BLOCK)]
-    return joined.select(
-        *keep,
-        *[
-            _merge(k, F.col(f"_i{i}"), F.col(carry_in[n])).alias(n)
-            for i, (n, (k, _)) in enumerate(outs.items())
-        ],
-    )
+    return joined.select(*keep, *[_merge(k, F.col(f"_i{i}"), F.col(f"_c{i}")).alias(n) for i, (n, (k, _)) in enumerate(outs.items())])
 
 
 def shift(df: DataFrame, ax: Axis, outs: dict[str, tuple[int, Column]]) -> DataFrame:
     """Value of the previous (-1) or next (+1) row of the series, across block borders."""
-    had = BLOCK in df.columns
-    base = with_blocks(df, ax)
-    on = [*ax.keys, BLOCK]
-    inside = Window.partitionBy(*on).orderBy(*ax.order)
-    blocks = Window.partitionBy(*ax.keys).orderBy(BLOCK)
-    edge, border, inner = [], [], {}
-    for i, (off, x) in enumerate(outs.values()):
-        boxed = F.struct(x.alias("v"))
-        edge.append((F.max_by if off < 0 else F.min_by)(boxed, ax.rank).alias(f"_c{i}"))
-        border.append((F.lag if off < 0 else F.lead)(f"_c{i}").over(blocks).alias(f"_c{i}"))
-        inner[f"_i{i}"] = (F.lag if off < 0 else F.lead)(boxed).over(inside)
-    edges = base.groupBy(*on).agg(*edge).select(*on, *border)
-    joined = base.withColumns(inner).join(edges, on, "left")
-    keep = [c for c in base.columns if c not in outs and (had or c != BLOCK)]
-    return joined.select(
-        *keep, *[F.coalesce(f"_i{i}", f"_c{i}")["v"].alias(n) for i, n in enumerate(outs)]
-    )
+    return scan(df, ax, {n: ("prev" if off < 0 else "next", x) for n, (off, x) in outs.items()})
 
 
 def rolling(
