@@ -105,9 +105,11 @@ def with_blocks(df: DataFrame, ax: Axis) -> DataFrame:
         hot = out.groupBy(*on).count().filter(F.col("count") > ax.max_rows)
         if hot.isEmpty():
             return out
-        # At most rows/max_rows blocks can be over the limit, so the list is safe to broadcast.
+        # At most rows/max_rows blocks can be over the limit, so the list is safe to broadcast. It is settled:
+        # each level then adds one small join to the plan instead of doubling it.
+        hot = settle(hot.select(*on, F.lit(True).alias("_hot")))
         out = (
-            out.join(F.broadcast(hot.select(*on, F.lit(True).alias("_hot"))), on, "left")
+            out.join(F.broadcast(hot), on, "left")
             .withColumn(
                 BLOCK,
                 F.when(
@@ -128,7 +130,7 @@ def with_blocks(df: DataFrame, ax: Axis) -> DataFrame:
     if hot.isEmpty():
         return out
     step = F.greatest(F.lit(1), F.floor((F.col("_hi") - F.col("_lo") + 1) * ax.max_rows / F.col("_n")))
-    hot = hot.select(*on, "_lo", step.cast("long").alias("_step"))
+    hot = settle(hot.select(*on, "_lo", step.cast("long").alias("_step")))
     return (
         out.join(F.broadcast(hot), on, "left")
         .withColumn(
