@@ -115,7 +115,8 @@ def test_smart_limit_timer_sends_the_first_price(spark, tmp_path):
     schema = "order_id bigint, preset string, mid double, final double"
     spark.createDataFrame([(1, "fast", 10.0, 11.0)], schema).write.parquet(src)
     stream = live.smart_limit_timer(spark.readStream.schema(schema).parquet(src))
-    live.write_bars(stream, out, mark).awaitTermination()
+    # Timers keep an availableNow query alive for ever, so one batch it is.
+    live.write_bars(stream, out, mark, once=True).awaitTermination(60)
     rows = [(r.order_id, r.step, r.price, r.action) for r in spark.read.parquet(out).collect()]
     assert rows == [(1, 0, 10.0, "price")]
 
