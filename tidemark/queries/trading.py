@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger, orders, sweeps
+from tidemark.operators import joins, ledger, orders, sweeps
 from tidemark.plans.blocks import DAY, Axis
 from tidemark.queries import lens
 from tidemark.queries.registry import query
@@ -305,6 +305,19 @@ def drift(spark, sf):
     return d.select("account", "asset", F.round("current_weight", 6).alias("current_weight"), F.round(F.col("target_value").cast("double"), 4).alias("target_value"), F.round("drift", 6).alias("drift"))
 
 
+@query("positions_prices_targets", "J13", """WITH p AS (SELECT s_nationkey::BIGINT AS account, s_name AS asset, s_suppkey::DOUBLE AS quantity FROM supplier WHERE s_suppkey % 5 <> 0), t AS (SELECT s_nationkey::BIGINT AS account, s_name AS asset, (s_suppkey % 4)::DOUBLE AS weight FROM supplier WHERE s_suppkey % 7 <> 0)
+  SELECT account, asset, coalesce(quantity, 0) AS quantity, coalesce(weight, 0) AS weight, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal END AS price FROM p FULL JOIN t USING (account, asset) JOIN supplier ON s_name = asset""")
+def positions_prices_targets(spark, sf):
+    s = lens.table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    row = [F.col("s_nationkey").cast("long").alias("account"), F.col("s_name").alias("asset")]
+    held = s.filter(k % 5 != 0).select(*row, k.cast("decimal(38,9)").alias("quantity"))
+    want = s.filter(k % 7 != 0).select(*row, (k % 4).cast("decimal(38,9)").alias("weight"))
+    price = s.filter(k % 3 == 0).select(F.col("s_name").alias("asset"), F.col("s_acctbal").alias("price"))
+    out = joins.outer_positions(held, price, want)
+    return out.withColumns({"quantity": F.col("quantity").cast("double"), "weight": F.col("weight").cast("double")})
+
+
 @query("rebalance_orders", "P17", f"""WITH RECURSIVE {_BOOK}, sl AS MATERIALIZED (SELECT account, asset, ceil(CAST(price AS DECIMAL(18,4)) * 0.995 * 100)::DOUBLE / 100 AS lp, drift, quantity, cv, tv FROM dr WHERE drift < 0 AND abs(drift) > 0.01 AND NOT is_quote),
   s2 AS MATERIALIZED (SELECT account, asset, lp, floor(CASE WHEN drift = -1 THEN quantity ELSE (cv - tv) / lp END)::DOUBLE AS q FROM sl),
   rs AS MATERIALIZED (SELECT account, sum(q * lp) AS raised FROM s2 WHERE q > 0 GROUP BY 1),
