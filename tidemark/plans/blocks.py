@@ -13,6 +13,7 @@ steps, and at a single instant by its sequence number, so a hot asset, hour or i
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -58,22 +59,24 @@ BARS = Axis(width=365 * DAY, measured=False)
 TICKS = Axis(seq=("seq",), width=DAY)
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder of the session: ``spark.checkpoint.dir``, else the directory set on the context; only
+    where neither is set (tests) a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder the session names."""
+    """Cut the lineage with a reliable checkpoint in the shared folder of the session."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the session's checkpoint directory (a local one only if none is set)."""
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the session's shared folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def position(df: DataFrame, name: str) -> Column:
