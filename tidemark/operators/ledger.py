@@ -258,7 +258,7 @@ def rebalance_orders(
     Sells: the surplus value at a limit ``slippage`` below the price. Buys: the missing value or the cash left,
     whichever is less, largest drift first, at a limit above the price; each buy uses up cash, also that of
     sells. Limits are cut to cents (buys down, sells up), quantities to whole shares or nine decimals. Buying
-    is sequential per account, so each account's buys (one row per holding) are one small group.
+    is sequential only once cash runs short.
     """
     cents = lambda x, up: (F.ceil(x * 100) if up else F.floor(x * 100)).cast("double") / 100
     price = F.col("price").cast("decimal(20,6)")
@@ -284,6 +284,27 @@ def rebalance_orders(
         (F.col("cash").cast("double") + F.coalesce("_raised", F.lit(0.0))).alias("have"),
     )
 
+    # Until cash first falls short every buy is full and does not depend on the others: a running sum of what
+    # they cost finds that point. Only the rows from there on that the rest could still pay for are sequential.
+    whole = F.floor(F.col("need") / F.col("limit_price") * 1e9) / 1e9 if fractional else F.floor(F.col("need") / F.col("limit_price") + 1e-9)
+    ordered = wanted.filter(F.col("limit_price") > 0).withColumns({"_neg": -F.abs("drift"), "_full": whole.cast("double")})
+    ax = Axis(("account",), "_neg", ("asset",), width=10_000)
+    run = scan(ordered, ax, {"_spent": ("sum", F.greatest(F.col("_full"), F.lit(0.0)) * F.col("limit_price"))}, exclusive=True)
+    left = F.col("have") - F.coalesce("_spent", F.lit(0.0))
+    fees = fee_flat + F.col("need") * fee_percent
+    short = F.col("need") + fees >= left if fee_flat or fee_percent else F.col("need") > left
+    run = settle(run.withColumns({"_left": left, "_short": short}))
+    place = F.struct("_neg", "asset")
+    first = run.filter("_short").groupBy("account").agg(F.min(place).alias("_from"), F.min_by("_left", place).alias("_rest"))
+    split = run.join(first, "account", "left")
+    before = F.col("_from").isNull() | (place < F.col("_from"))
+    full = split.filter(before & (F.col("_full") > 0)).select(
+        "account", "asset", F.lit("buy").alias("side"), F.col("_full").alias("quantity"), "limit_price"
+    )
+    rest = split.filter(~before).withColumn("have", F.col("_rest"))
+    if not fractional:
+        rest = rest.filter(F.col("limit_price") <= F.col("_rest") + 1e-9)
+
     def spend(pdf: pd.DataFrame) -> pd.DataFrame:
         import math
 
@@ -302,7 +323,8 @@ def rebalance_orders(
                 out.append((account, asset, "buy", qty, limit))
         return pd.DataFrame(out, columns=["account", "asset", "side", "quantity", "limit_price"])
 
-    buys = wanted.groupBy("account").applyInPandas(spend, REBALANCE_SCHEMA)
+    late = rest.select("account", "asset", "drift", "limit_price", "need", "have").groupBy("account").applyInPandas(spend, REBALANCE_SCHEMA)
+    buys = full.unionByName(late)
     return sells.select("account", "asset", F.lit("sell").alias("side"), F.col("qty").alias("quantity"), "limit_price").unionByName(buys)
 
 
