@@ -247,3 +247,33 @@ def test_settlement_rules(spark):
     assert got[("c", "underlying")] == ("assigned", "buy", -10000.0)
     assert got[("d", "option")] == ("cash_settled", "buy", -1000.0)
     assert got[("e", "option")][0] == "expired"
+
+
+def test_rebalance_buys_equal_the_loop(spark):
+    rng = random.Random(11)
+    rows = []
+    for account in (1, 2, 3):
+        n = 120 if account == 1 else 25
+        for i in range(n):
+            rows.append((account, f"S{i:03d}", rng.choice([0, 0, 3, 40]), float(rng.randrange(3, 90)), rng.randrange(0, 30) / 1000, False, 150.0))
+    kinds = "account long, asset string, quantity long, price double, weight double, is_quote boolean, cash double"
+    b = spark.createDataFrame(rows, kinds).withColumns(
+        {"quantity": F.col("quantity").cast("decimal(38,9)"), "price": F.col("price").cast("decimal(12,2)"), "weight": F.col("weight").cast("decimal(38,9)")}
+    )
+    d = ledger.drift(b).cache()
+    got = {(r.account, r.asset): r.quantity for r in ledger.rebalance_orders(d, 0.0).collect() if r.side == "buy"}
+    sold = {}
+    for r in ledger.rebalance_orders(d, 0.0).collect():
+        if r.side == "sell":
+            sold[r.account] = sold.get(r.account, 0.0) + r.quantity * r.limit_price
+    want = {}
+    for account in (1, 2, 3):
+        left = 150.0 + sold.get(account, 0.0)
+        mine = [r for r in d.collect() if r.account == account and r.drift > 0]
+        for r in sorted(mine, key=lambda r: (-abs(r.drift), r.asset)):
+            limit = float(r.price)
+            q = int(min(float(r.target_value - r.current_value), left) / limit + 1e-9)
+            if q > 0:
+                left -= q * limit
+                want[(account, r.asset)] = float(q)
+    assert got == want and len(want) > 10
