@@ -70,16 +70,18 @@ def document_search(docs: DataFrame, query: str, k: int, key: str = "doc_id", te
     phrase = " ".join(query.lower().split())
     terms = list(dict.fromkeys(phrase.split()))
     norm = F.regexp_replace(F.lower(text), r"\s+", " ")
-    rows = docs.select(key, F.col(text).alias("_t"), norm.alias("_n"))
-    rows = rows.select(key, "_t", "_n", count_hits(F.col("_n"), phrase).alias("_p"), *[count_hits(F.col("_n"), t).alias(f"_w{i}") for i, t in enumerate(terms)])
+    rows = docs.select(key, norm.alias("_n"))
+    rows = rows.select(key, "_n", count_hits(F.col("_n"), phrase).alias("_p"), *[count_hits(F.col("_n"), t).alias(f"_w{i}") for i, t in enumerate(terms)])
     words = [F.col(f"_w{i}") for i in range(len(terms))]
     present = sum((F.when(w > 0, 1).otherwise(0) for w in words), F.lit(0))
     total = sum(words, F.lit(0))
     score = F.col("_p") * 100 + present * 10 + F.least(total, F.lit(50))
     first = F.least(*[F.nullif(F.instr(F.col("_n"), t), F.lit(0)) for t in (phrase, *terms)], F.lit(2**31 - 1))
     at = F.coalesce(F.nullif(F.instr(F.col("_n"), phrase), F.lit(0)), first)
-    hits = rows.withColumn("score", score.cast("long")).filter(F.col("score") > 0)
-    return hits.orderBy(F.desc("score"), key).limit(k).select(
+    # Rows without a hit sort last, so they are dropped after the limit: a filter before it would be pushed
+    # down and count every word twice.
+    best = rows.withColumn("score", score.cast("long")).orderBy(F.desc("score"), key).limit(k)
+    return best.filter(F.col("score") > 0).select(
         key, "score", F.substring(F.col("_n"), F.greatest(at - snippet // 2, F.lit(1)), F.lit(snippet)).alias("snippet")
     )
 
