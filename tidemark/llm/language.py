@@ -32,7 +32,7 @@ BITS = 13
 DIM = 1 << BITS
 CLUSTERS = 4
 PER_LANGUAGE = 400
-REACH = 0.5
+REACH = 0.2
 UNKNOWN = "und"
 
 

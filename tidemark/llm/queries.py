@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.bpe import op3_byte_bpe
 from tidemark.llm.chat import OP4_SQL, op4_chat_format
 from tidemark.llm.language import op6_language_id
+from tidemark.llm.neardup import op10_minhash_near_dedup
 from tidemark.llm.packing import op5_best_fit_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {"op4_chat_format": OP4_SQL}
