@@ -11,6 +11,7 @@ from tidemark.llm.chat import OP4_SQL, op4_chat_format
 from tidemark.llm.language import op6_language_id
 from tidemark.llm.neardup import op10_minhash_near_dedup
 from tidemark.llm.packing import op5_best_fit_packing
+from tidemark.llm.pages import op9_html_extraction
 from tidemark.llm.vectors import OP7_SQL, op7_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
