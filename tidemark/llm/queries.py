@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op3_byte_bpe
 from tidemark.llm.chat import OP4_SQL, op4_chat_format
+from tidemark.llm.fingerprints import op1_fingerprints
 from tidemark.llm.language import op6_language_id
 from tidemark.llm.neardup import op10_minhash_near_dedup
 from tidemark.llm.packing import op5_best_fit_packing
@@ -15,6 +16,7 @@ from tidemark.llm.pages import op9_html_extraction
 from tidemark.llm.vectors import OP7_SQL, op7_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_best_fit_packing": op5_best_fit_packing,
