@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op3_byte_bpe
 from tidemark.llm.chat import OP4_SQL, op4_chat_format
+from tidemark.llm.counting import op8_token_counts
 from tidemark.llm.fingerprints import op1_fingerprints
 from tidemark.llm.language import op6_language_id
 from tidemark.llm.neardup import op10_minhash_near_dedup
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_html_extraction": op9_html_extraction,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
