@@ -41,6 +41,9 @@ ALIKE = 82
 TILE, PIVOTS = 1024, 8
 SHARE, OF = 80, 100
 
+#: (values, what is connected already, which to compare) -> links between the values' places.
+Confirm = Callable[[list, np.ndarray, np.ndarray], list[tuple[int, int]]]
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13, 32]] = 0
@@ -218,52 +221,50 @@ def confirm(sets: list[np.ndarray], parts: np.ndarray, probes: np.ndarray) -> li
     return links
 
 
-def confirm_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm_tiles(confirm: Confirm) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(a, b) for rows (grp, tile, other, id, part, probe, tokens) sorted by the first three."""
-    for batch in _groups(batches, ["grp", "tile", "other"]):
-        keys = np.stack([batch.column(c).to_numpy() for c in ("grp", "tile", "other")])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-        ids = batch.column("id").to_numpy()
-        parts, probe = batch.column("part").to_numpy(), batch.column("probe").to_numpy(zero_copy_only=False)
-        tokens = batch.column("tokens")
-        a, b = [], []
-        for start, stop in zip([0, *cuts], [*cuts, len(ids)]):
-            sets = [np.frombuffer(tokens[k].as_buffer(), np.uint64) for k in range(start, stop)]
-            for i, j in confirm(sets, parts[start:stop], np.flatnonzero(probe[start:stop])):
-                a.append(ids[start + i])
-                b.append(ids[start + j])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _confirmed(tiles: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, ["grp", "tile", "other"]):
+            keys = np.stack([batch.column(c).to_numpy() for c in ("grp", "tile", "other")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            ids = batch.column("id").to_numpy()
+            parts, probe = batch.column("part").to_numpy(), batch.column("probe").to_numpy(zero_copy_only=False)
+            tokens = batch.column("tokens")
+            a, b = [], []
+            for start, stop in zip([0, *cuts], [*cuts, len(ids)]):
+                values = [tokens[k].as_buffer() for k in range(start, stop)]
+                for i, j in confirm(values, parts[start:stop], np.flatnonzero(probe[start:stop])):
+                    a.append(ids[start + i])
+                    b.append(ids[start + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def confirmed_links(groups: DataFrame, payload: Callable[[DataFrame], DataFrame], confirm: Confirm) -> DataFrame:
+    """Confirmed links (a, b) within ``groups(node, component)``, joining all that ``confirm`` links.
+
+    ``payload`` adds the column ``tokens`` to rows (id, ...); ``confirm(tokens, parts, probes)`` compares the values of
+    one tile. Tiles hold ``TILE`` values on average; a larger group goes through pivots, as the module says.
+    """
     keys = ["grp", "tile", "other"]
-    rows = tiles.repartition(*keys).sortWithinPartitions(*keys)
-    return rows.select(*keys, "id", "part", "probe", "tokens").mapInArrow(confirm_tiles, "a bigint, b bigint")
 
+    def linked(tiles: DataFrame) -> DataFrame:
+        rows = tiles.repartition(*keys).sortWithinPartitions(*keys)
+        return rows.select(*keys, "id", "part", "probe", "tokens").mapInArrow(_confirm_tiles(confirm), "a bigint, b bigint")
 
-def links(documents: DataFrame, groups: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) within ``groups(node, component)``, joining all that the full sets link."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     dealt = groups.join(sizes, "component").select(
         F.col("node").alias("id"), F.col("component").alias("grp"), "n", F.ceil(F.col("n") / TILE).alias("tiles")
     )
     dealt = settle(dealt.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))))
-
-    def make(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())
-        return pa.RecordBatch.from_arrays([*part.columns[:-1], sets], names=[*part.schema.names[:-1], "tokens"])
-
-    def with_sets(chosen: DataFrame) -> DataFrame:
-        rows = documents.select(F.col("doc_id").cast("bigint").alias("id"), text_or_empty("text").alias("text")).join(chosen, "id")
-        kinds = ", ".join(f"{c} {k}" for c, k in chosen.dtypes)
-        return rows.select(*chosen.columns, "text").mapInArrow(lambda b: _each(b, make), f"{kinds}, tokens binary")
-
     pivot = (F.col("tiles") > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("n"))
-    tiles = F.when(pivot, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
-    first = with_sets(dealt.withColumn("places", tiles)).select(
+    tiles = F.when(pivot, F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).otherwise(F.array("tile"))
+    first = payload(dealt.withColumn("places", tiles)).select(
         "grp", F.explode("places").alias("tile"), F.lit(0).cast("bigint").alias("other"), "id", F.col("id").alias("part"), F.lit(True).alias("probe"), "tokens"
     )
-    found = settle(_confirmed(first).distinct())
+    found = settle(linked(first).distinct())
     wide = dealt.where("tiles > 1")
     if wide.isEmpty():
         return found
@@ -273,12 +274,31 @@ def links(documents: DataFrame, groups: DataFrame) -> DataFrame:
     parts = settle(parts.join(open_, "grp").withColumn("outside", F.col("part") != F.col("main")))
     if parts.isEmpty():
         return found
-    spread = with_sets(parts.select("id", "grp", "tile", "tiles", "part", "outside", "others"))
-    inner = spread.select("grp", "tile", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "id", "part", F.lit(False).alias("probe"), "tokens")
+    spread = payload(parts.select("id", "grp", "tile", "tiles", "part", "outside", "others"))
+
+    def upto(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    inner = spread.select("grp", "tile", upto("others").alias("other"), "id", "part", F.lit(False).alias("probe"), "tokens")
     outer = spread.where("outside").select(
-        "grp", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("others")).alias("other"), "id", "part", F.lit(True).alias("probe"), "tokens"
+        "grp", upto("tiles").alias("tile"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("others")).alias("other"), "id", "part", F.lit(True).alias("probe"), "tokens"
     )
-    return found.unionByName(_confirmed(inner.unionByName(outer)))
+    return found.unionByName(linked(inner.unionByName(outer)))
+
+
+def links(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between classes, on their full sets."""
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())
+        return pa.RecordBatch.from_arrays([*part.columns[:-1], sets], names=[*part.schema.names[:-1], "tokens"])
+
+    def with_sets(chosen: DataFrame) -> DataFrame:
+        rows = documents.select(F.col("doc_id").cast("bigint").alias("id"), text_or_empty("text").alias("text")).join(chosen, "id")
+        kinds = ", ".join(f"{c} {k}" for c, k in chosen.dtypes)
+        return rows.select(*chosen.columns, "text").mapInArrow(lambda b: _each(b, make), f"{kinds}, tokens binary")
+
+    return confirmed_links(groups, with_sets, lambda tokens, parts, probes: confirm([np.frombuffer(t, np.uint64) for t in tokens], parts, probes))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

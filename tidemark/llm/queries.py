@@ -11,6 +11,7 @@ from tidemark.llm.chat import OP4_SQL, op4_chat_format
 from tidemark.llm.counting import op8_token_counts
 from tidemark.llm.fingerprints import op1_fingerprints
 from tidemark.llm.language import op6_language_id
+from tidemark.llm.lines import op2_line_dedup
 from tidemark.llm.neardup import op10_minhash_near_dedup
 from tidemark.llm.packing import op5_best_fit_packing
 from tidemark.llm.pages import op9_html_extraction
@@ -18,6 +19,7 @@ from tidemark.llm.vectors import OP7_SQL, op7_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_best_fit_packing": op5_best_fit_packing,
