@@ -68,7 +68,7 @@ def encode(text: str | Column, rank_file: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         enc = encoding(rank_file, pattern)
-        each = [np.array(encode_text(enc, t or ""), np.int32) for t in texts.to_pylist()]
+        each = [np.array(encode_text(enc, t.as_py() or ""), np.int32) for t in texts]
         offsets = np.zeros(len(each) + 1, np.int32)
         np.cumsum([len(x) for x in each], out=offsets[1:])
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each) if each else np.zeros(0, np.int32)))
@@ -82,7 +82,7 @@ def decode(ids: str | Column, rank_file: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def raw(lists: pa.Array) -> pa.Array:
         enc = encoding(rank_file, pattern)
-        return pa.array([None if x is None else enc.decode_bytes(x) for x in lists.to_pylist()], pa.binary())
+        return pa.array([enc.decode_bytes(x.as_py()) if x.is_valid else None for x in lists], pa.binary())
 
     return raw(F.col(ids) if isinstance(ids, str) else ids)
 
