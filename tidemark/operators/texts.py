@@ -10,26 +10,32 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import count_hits
 from tidemark.plans.blocks import latest_by
 
-# Numbered items of an annual or quarterly report.
-ITEMS = "1a|1b|1|2|3|4|5|6|7a|7|8|9a|9b|9|10|11|12|13|14|15"
-HEADING = rf"(?im)^[^\S\n]*(item\s+(?:{ITEMS})\.?\s+[^\n]{{0,180}})"
-ITEM_ID = rf"(?is)^item\s+({ITEMS})"
-MARK = "\x01"
+# The numbered items of annual and quarterly reports, and those with a lettered part.
+ITEM_NUMBERS = frozenset(str(n) for n in range(1, 16)) | {"1a", "7a", "9a", "9b"}
+HEADING_CHARS = 120
+HEADING = r"^\s*(?i:item)\s+(\d+[A-Za-z]?)(?:[.\s]|$)"
 
 
 def filing_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Split texts at their item headings: one row per (document, section), the longest of its name.
 
-    Every heading gets a mark in front, and the text is cut at the marks; the part before the first heading
-    is dropped.
+    A heading is a line that begins with the word item and the number of a known item. A section runs to the next
+    heading; lines before the first one are dropped. ``heading`` is the start of the heading line.
     """
-    marked = F.regexp_replace(F.col(text), HEADING, f"{MARK}$1")
-    parts = docs.select(key, F.posexplode(F.split(marked, MARK)).alias("pos", "_p")).filter(F.col("pos") > 0)
-    item = F.lower(F.regexp_extract("_p", ITEM_ID, 1))
-    body = F.regexp_replace("_p", r"^\s+|\s+$", "")
-    heading = F.trim(F.regexp_replace(F.regexp_extract("_p", r"(?i)^(item\s+\S+\s+[^\n]{0,180})", 1), r"\s+", " "))
-    rows = parts.select(key, F.concat(F.lit("item_"), item).alias("section_id"), "pos", F.length("_p").alias("_n"), heading.alias("heading"), body.alias("text"))
-    return latest_by(rows, [key, "section_id"], F.struct("_n", -F.col("pos"))).drop("_n", "pos")
+    lines = docs.select(key, F.split(F.col(text), "\n").alias("_lines"))
+    names = F.transform("_lines", lambda line: F.lower(F.regexp_extract(line, HEADING, 1)))
+    at = F.filter(F.sequence(F.lit(0), F.size("_names") - 1), lambda i: F.get(F.col("_names"), i).isin(*sorted(ITEM_NUMBERS)))
+    found = lines.withColumn("_names", names).withColumn("_at", at).select("*", F.posexplode("_at").alias("pos", "_from"))
+    until = F.coalesce(F.get("_at", F.col("pos") + 1), F.size("_lines"))
+    body = F.array_join(F.slice("_lines", F.col("_from") + 1, until - F.col("_from")), "\n")
+    rows = found.select(
+        key,
+        F.concat(F.lit("item_"), F.get("_names", "_from")).alias("section_id"),
+        "pos",
+        F.substring(F.trim(F.get("_lines", "_from")), 1, HEADING_CHARS).alias("heading"),
+        body.alias("text"),
+    )
+    return latest_by(rows, [key, "section_id"], F.struct(F.length("text"), -F.col("pos"))).drop("pos")
 
 
 def _hits(text: Column, term: str) -> Column:
