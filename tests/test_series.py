@@ -162,3 +162,48 @@ def test_live_rows_replace_history_and_keep_its_columns(spark):
 def test_futures_closed(spark):
     t = spark.createDataFrame([(dt.datetime(2024, 1, 5, 21, 59),), (dt.datetime(2024, 1, 5, 22, 0),), (dt.datetime(2024, 1, 7, 22, 59),), (dt.datetime(2024, 1, 7, 23, 0),), (dt.datetime(2024, 1, 8, 22, 30),)], "ts timestamp")
     assert [r[0] for r in t.select(times.futures_closed(F.col("ts"))).collect()] == [False, True, True, False, True]
+
+
+def test_recurrences_pass_over_nulls(spark):
+    import math
+    import random
+
+    from tidemark.operators import indicators as ind
+
+    rnd = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    closes = [None if k % 5 == 3 or k in (0, 7) else 100 + 10 * rnd.random() for k in range(400)]
+    rows = [("A", t0 + dt.timedelta(hours=k), c, None if c is None else c + 2, None if c is None else c - 3) for k, c in enumerate(closes)]
+    bars = spark.createDataFrame(rows, "asset string, ts timestamp, close double, high double, low double")
+
+    def recursion(values, n, alpha):
+        seen, last, out = [], None, []
+        for x in values:
+            if x is not None:
+                seen.append(x)
+                if len(seen) == n:
+                    last = sum(seen) / n
+                elif len(seen) > n:
+                    last = (1 - alpha) * last + alpha * x
+            out.append(last)
+        return out
+
+    got = ind.compute(bars, [ind.ema(9), ind.rsi(14), ind.atr(14), ind.macd()]).orderBy("ts").collect()
+    solid = [(k, c) for k, c in enumerate(closes) if c is not None]
+    moves, ranges = [None] * len(closes), [None] * len(closes)
+    for (_, before), (k, c) in zip([(None, None), *solid], solid):
+        moves[k] = None if before is None else c - before
+        ranges[k] = 5.0 if before is None else max(5.0, abs(c + 2 - before), abs(c - 3 - before))
+    up = recursion([None if m is None else max(m, 0) for m in moves], 14, 1 / 14)
+    down = recursion([None if m is None else max(-m, 0) for m in moves], 14, 1 / 14)
+    fast, slow = recursion(closes, 12, 2 / 13), recursion(closes, 26, 2 / 27)
+    line = [None if s is None else f - s for f, s in zip(fast, slow)]
+    signal = recursion([None if c is None else x for c, x in zip(closes, line)], 9, 2 / 10)
+    expected = {
+        "ema_9": recursion(closes, 9, 2 / 10), "atr_14": recursion(ranges, 14, 1 / 14), "macd": line, "macd_signal": signal,
+        "rsi_14": [None if u is None else 100 * u / (u + d) for u, d in zip(up, down)],
+    }
+    for name, values in expected.items():
+        for k, (row, value) in enumerate(zip(got, values)):
+            assert (row[name] is None) == (value is None), (name, k)
+            assert value is None or math.isclose(row[name], value, rel_tol=1e-9), (name, k)

@@ -6,7 +6,8 @@ evaluates many studies in one pass over number-balanced blocks (see ``plans.bloc
 Exponential averages y[t] = (1-a)*y[t-1] + a*x[t] are sums of x weighted by powers of d = 1-a, so a running
 window sum inside a block gives them without Python. A row older than ``halo`` rows weighs less than 1e-36
 of the newest one, which is below double precision, so the copied halo rows make every block exact. The
-seed is the simple average of the first n values.
+seed is the simple average of the first n values. Nulls are no inputs: they are passed over, and their rows
+repeat the last result.
 """
 
 from __future__ import annotations
@@ -44,25 +45,39 @@ def _full(rn: Column, n: int, x: Column) -> Column:
 
 def _decay(alpha: float) -> tuple[int, float]:
     fall = -math.log1p(-alpha)
-    return math.ceil(WEIGHT_FLOOR / fall), EXPONENT_ROOM / fall
+    return math.ceil(2 * WEIGHT_FLOOR / fall), EXPONENT_ROOM / fall
 
 
-def _smooth(out: str, src: Callable[[], Column], n: int, alpha: float, start: int = 1) -> tuple[Stage, Stage]:
-    """Two stages: the weighted input with its seed, then the running sum. Values begin at row start+n-1."""
-    d, first = 1 - alpha, start + n - 1
+def _smooth(out: str, src: Callable[[], Column], n: int, alpha: float) -> tuple[Stage, Stage]:
+    """Two stages: the weighted input with its seed, then the running sum.
+
+    Only values that are not null are inputs and are counted; the n-th one has the first result, and a row without
+    an input has the last result again. Counting begins anew in each block, which holds the start of its series or
+    ``halo`` rows in front; ``halo`` leaves room for every second row being null.
+    """
+    d = 1 - alpha
+    count = f"_n_{out}"
 
     def feed(w, rn):
-        seed = F.avg(src()).over(_rows(w, n)) / alpha
-        return {f"_e_{out}": F.when(rn < first, 0.0).when(rn == first, seed).otherwise(src())}
+        past = w.rowsBetween(Window.unboundedPreceding, 0)
+        x, c = src(), F.count(src()).over(past)
+        whole = F.col("_rb") == 0
+        value = F.when(whole & (c < n), 0.0).when(whole & (c == n), F.avg(x).over(past) / alpha).otherwise(x)
+        return {count: c, f"_e_{out}": F.when(x.isNotNull(), value).otherwise(0.0)}
 
     def total(w, rn):
-        k = F.col("_k").cast("double")
+        k = F.col(count).cast("double")
         run = F.sum(F.col(f"_e_{out}") * F.pow(F.lit(d), -k)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return {out: F.when(rn >= first, alpha * F.pow(F.lit(d), k) * run)}
+        return {out: F.when((F.col("_rb") > 0) | (k >= n), alpha * F.pow(F.lit(d), k) * run)}
 
     return feed, total
 
 
+def _before(src: str, w: Window) -> Column:
+    """The last value before this row that is not null."""
+    return F.last(src, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+
+
 def sma(n: int, src: str = "close", name: str | None = None) -> Study:
     out = name or f"sma_{n}"
     return Study((out,), n - 1, (lambda w, rn: {out: _full(rn, n, F.avg(src).over(_rows(w, n)))},))
@@ -79,11 +94,11 @@ def rsi(n: int = 14, src: str = "close") -> Study:
     halo, room = _decay(alpha)
 
     def moves(w, rn):
-        step = F.col(src) - F.lag(src).over(w)
-        return {f"_up_{out}": F.greatest(step, F.lit(0.0)), f"_dn_{out}": F.greatest(-step, F.lit(0.0))}
+        step = F.col(src) - _before(src, w)
+        return {f"_up_{out}": F.when(step >= 0, step).when(step < 0, 0.0), f"_dn_{out}": F.when(step <= 0, -step).when(step > 0, 0.0)}
 
-    up = _smooth(f"_au_{out}", lambda: F.col(f"_up_{out}"), n, alpha, 2)
-    dn = _smooth(f"_ad_{out}", lambda: F.col(f"_dn_{out}"), n, alpha, 2)
+    up = _smooth(f"_au_{out}", lambda: F.col(f"_up_{out}"), n, alpha)
+    dn = _smooth(f"_ad_{out}", lambda: F.col(f"_dn_{out}"), n, alpha)
     both = [lambda w, rn, a=a, b=b: {**a(w, rn), **b(w, rn)} for a, b in zip(up, dn)]
 
     def ratio(w, rn):
@@ -99,7 +114,7 @@ def macd(fast: int = 12, slow: int = 26, signal: int = 9, src: str = "close") ->
     s = _smooth("_macd_s", lambda: F.col(src), slow, 2 / (slow + 1))
     both = [lambda w, rn, a=a, b=b: {**a(w, rn), **b(w, rn)} for a, b in zip(f, s)]
     line = lambda w, rn: {"macd": F.col("_macd_f") - F.col("_macd_s")}
-    sig = _smooth("macd_signal", lambda: F.col("macd"), signal, 2 / (signal + 1), slow)
+    sig = _smooth("macd_signal", lambda: F.when(F.col(src).isNotNull(), F.col("macd")), signal, 2 / (signal + 1))
     hist = lambda w, rn: {"macd_hist": F.col("macd") - F.col("macd_signal")}
     return Study(
         ("macd", "macd_signal", "macd_hist"),
@@ -131,9 +146,9 @@ def atr(n: int = 14) -> Study:
     halo, room = _decay(alpha)
 
     def true_range(w, rn):
-        prev = F.lag("close").over(w)
+        prev = _before("close", w)
         spread = F.col("high") - F.col("low")
-        return {f"_tr_{out}": F.greatest(spread, F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))}
+        return {f"_tr_{out}": F.when(spread.isNotNull(), F.greatest(spread, F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))}
 
     return Study(
         (out,), halo + n + 1, (true_range, *_smooth(out, lambda: F.col(f"_tr_{out}"), n, alpha)), room
@@ -205,23 +220,12 @@ def session_vwap(bars: DataFrame, zone: str = MARKET_ZONE, ax: Axis = BARS) -> D
     return run.withColumn("vwap", F.col("_pv") / F.nullif("_v", F.lit(0.0))).drop("_pv", "_v")
 
 
-def custom(bars: DataFrame, fn: Callable, schema: str, keys: Sequence[str] = ("asset",), max_rows: int = 5_000_000) -> DataFrame:
-    """A user's ``fn(pandas frame) -> pandas frame`` over one whole series at a time.
-
-    The function may need the whole series, so a series must fit one Arrow group: the longest one is counted
-    first, and one beyond ``max_rows`` is refused. ``custom_blocked`` takes series of any length.
-    """
-    longest = bars.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if longest > max_rows:
-        raise ValueError(f"a series has {longest} rows: use custom_blocked")
-    return bars.groupBy(*keys).applyInPandas(lambda pdf: fn(pdf.sort_values("ts")), schema)
-
-
 def custom_blocked(
     bars: DataFrame, fn: Callable, schema: str, look_back: int, ax: Axis = BARS, block_rows: int = 50_000
 ) -> DataFrame:
-    """The same for a function that looks back ``look_back`` rows at most: it is called block by block with
-    the rows before the block in front, which are cut from its result (same length and order required)."""
+    """A user's ``fn(pandas frame) -> pandas frame`` over series of any length, for a function that looks back
+    ``look_back`` rows at most: it is called block by block with the rows before the block in front, which are
+    cut from its result (same length and order required)."""
     keys = [*ax.keys, "_rb"]
     numbered = scan(bars, ax, {"_rn": ("count", F.lit(1))})
     size = max(block_rows, look_back, 1)
