@@ -161,10 +161,26 @@ def test_bracket_first_child_cancels_the_other(spark):
     assert out[3].status == "canceled" and out[3].fill_ts is None
 
 
-def test_day_order_deadline_is_local_midnight(spark):
-    row = spark.createDataFrame([("day", dt.datetime(2024, 1, 2, 3), None)], "tif string, t timestamp, g timestamp")
-    got = row.select(orders.deadline(F.col("tif"), F.col("t"), F.col("g"))).first()[0]
-    assert got == dt.datetime(2024, 1, 2, 5)
+def test_day_orders_end_at_the_close(spark):
+    rows = [("day", dt.datetime(2024, 1, 2, h), None) for h in (3, 20, 21, 23)] + [("gtc", dt.datetime(2024, 1, 2), None), ("gtd", dt.datetime(2024, 1, 2), dt.datetime(2024, 2, 1))]
+    frame = spark.createDataFrame(rows, "tif string, t timestamp, g timestamp")
+    got = [r[0] for r in frame.select(orders.deadline(F.col("tif"), F.col("t"), F.col("g"))).collect()]
+    # 03:00 UTC is the evening of January 1 in New York, 21:00 UTC its close on January 2
+    assert got == [dt.datetime(2024, 1, d, 21) for d in (2, 2, 3, 3)] + [None, dt.datetime(2024, 2, 1)]
+
+
+@pytest.mark.parametrize("width", [3_600_000_000, 86_400_000_000, 30 * 86_400_000_000])
+def test_matching_does_not_depend_on_the_width(spark, width):
+    days = [dt.datetime(2024, 1, 1, 15) + dt.timedelta(days=d) for d in range(6)]
+    prices = [(100.0, 102.0, 99.0), (100.0, 101.0, 97.0), (0.0, 0.0, 0.0), (95.0, 96.0, 88.0), (90.0, 110.0, 89.0), (None, 9.0, 1.0)]
+    bars = spark.createDataFrame([("A", t, o, h, lo, 1.0) for t, (o, h, lo) in zip(days, prices)], BAR)
+    late = days[1] + dt.timedelta(hours=1)
+    rows = [order(1, "buy", "limit", limit=90.0), order(2, "buy", "market"), order(3, "sell", "limit", limit=0.0), order(4, "sell", "trail", trail=5.0), order(5, "buy", "stop", stop=108.0)]
+    frame = spark.createDataFrame(rows, ORDER).withColumn("submitted_ts", F.lit(late)).withColumn("deadline_ts", F.lit(None).cast("timestamp"))
+    got = {r.order_id: (r.fill_ts, r.fill_price) for r in orders.match_orders(frame, bars, width).collect()}
+    assert got[1] == (days[3], 90.0) and got[2] == (days[3], 95.0) and got[3] == (days[3], 95.0)
+    assert got[4] == (days[4], 90.0)
+    assert got[5] == (days[4], 108.0)
 
 
 @pytest.mark.parametrize("model,carry", [("bs", None), ("merton", "carry"), ("gk", "carry")])

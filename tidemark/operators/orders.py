@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.money import expected_fill, final_price, infer_tick, mid, round_to_tick
 from tidemark.functions.times import local_date, to_utc
 from tidemark.operators.joins import asof_within
-from tidemark.plans.blocks import DAY, SECOND
+from tidemark.plans.blocks import DAY, SECOND, settle
 
 DAY_ORDERS = ("day", "good_for_day", "gfd")
 DATED_ORDERS = ("gtd", "good_till_date", "good_til_date")
-BOX_LIMIT = 200_000
+CLOSE_HOUR = 16
 IMMEDIATE = ("ioc", "immediate_or_cancel", "fok", "fill_or_kill")
 
 
@@ -37,10 +37,18 @@ def stop_fill(stop: Column, side: Column, open_: Column, high: Column, low: Colu
     return F.when(valid & at_open, open_).when(valid & (low <= stop) & (stop <= high), stop)
 
 
-def deadline(tif: Column, submitted: Column, good_till: Column) -> Column:
-    """When an order stops working: the next local midnight, its date, or never."""
-    midnight = to_utc(F.date_add(local_date(submitted), 1).cast("timestamp"))
-    return F.when(F.lower(tif).isin(*DAY_ORDERS), midnight).when(F.lower(tif).isin(*DATED_ORDERS), good_till)
+def deadline(tif: Column, submitted: Column, good_till: Column, close: Column | None = None) -> Column:
+    """When an order stops working: the close of its session, its date, or never. ``close`` is the close_ts of the
+    session that ends after the order came in, from the market's calendar; without it, the next 16:00 local time."""
+    day = local_date(submitted)
+    at = lambda d: to_utc(F.timestamp_micros(F.unix_date(d).cast("long") * DAY + CLOSE_HOUR * 3600 * SECOND))
+    regular = F.when(submitted < at(day), at(day)).otherwise(at(F.date_add(day, 1)))
+    return F.when(F.lower(tif).isin(*DAY_ORDERS), regular if close is None else close).when(F.lower(tif).isin(*DATED_ORDERS), good_till)
+
+
+def valid_bar(b) -> Column:
+    """Whether a bar can trade: open, high and low above 0."""
+    return F.coalesce((b["open"] > 0) & (b["high"] > 0) & (b["low"] > 0), F.lit(False))
 
 
 def _block(ts: Column, width: int) -> Column:
@@ -77,6 +85,7 @@ def _fold(bars: Column, state: Column, o: str = "") -> Column:
         )
         hit = live & price.isNotNull()
         mark = F.when(side == "sell", F.greatest(acc["mark"], b["high"])).otherwise(F.least(acc["mark"], b["low"]))
+        mark = F.when(valid_bar(b), mark).otherwise(acc["mark"])
         return F.struct(
             F.when(hit, b["ts"]).otherwise(acc["ts"]).alias("ts"),
             F.when(hit, price).otherwise(acc["price"]).alias("price"),
@@ -99,13 +108,15 @@ def _later_blocks(blocks: Column, acc: Column) -> Column:
 
     A block whose range reaches a limit or stop is certain to fill it, so one block is enough (two for a
     stop-limit order: the trigger and the first limit hit after it). A trailing stop may or may not hit in a
-    block, depending on the order of its bars; those blocks are all listed up to the first certain one.
+    block, depending on the order of its bars; those blocks are all listed up to the first certain one. Ranges are
+    those of the valid bars of a block, null where it has none; an immediate order looks at the next block of any
+    bars, a market order at the next one with an open.
     """
     side, kind = F.col("side"), F.col("type")
     lim, stp = F.col("limit_price"), F.col("stop_price")
     ends = F.col("deadline_ts")
     ahead = F.filter(blocks, lambda b: (b["t"] > F.col("_blk")) & (ends.isNull() | (b["t"] < F.unix_micros(ends))))
-    lim_hit = lambda b: F.when(side == "buy", b["lo"] <= lim).otherwise((lim <= 0) | (b["hi"] >= lim))
+    lim_hit = lambda b: b["lo"].isNotNull() & F.when(side == "buy", b["lo"] <= lim).otherwise((lim <= 0) | (b["hi"] >= lim))
     stp_hit = lambda b: F.when(side == "buy", b["hi"] >= stp).otherwise(b["lo"] <= stp)
     none = F.lit(None).cast("double")
     no, yes = F.lit(False), F.lit(True)
@@ -141,7 +152,7 @@ def _later_blocks(blocks: Column, acc: Column) -> Column:
     always = lambda b: yes
     found = (
         F.when(F.col("immediate"), F.when(acc["seen"], empty).otherwise(first(always, no)))
-        .when(kind == "market", first(always, no))
+        .when(kind == "market", first(lambda b: b["opens"], no))
         .when(kind == "limit", first(lim_hit, no))
         .when(kind == "stop", first(stp_hit, no))
         .when(kind == "stop_limit", stop_limit)
@@ -155,37 +166,37 @@ def match_orders(orders: DataFrame, bars: DataFrame, width: int = DAY) -> DataFr
 
     Orders: order_id, asset, side (buy, sell), type (market, limit, stop, stop_limit, trail), limit_price,
     stop_price, trail_price, trail_percent, submitted_ts, deadline_ts, immediate (only its first bar counts).
-    Bars must satisfy low <= open <= high. ``width`` is the block: a day of minute bars is 1440 rows.
+    Valid bars (open, high and low above 0) must satisfy low <= open <= high; others fill nothing but market orders
+    at their open. ``width`` is the block and changes the effort only: a day of minute bars is 1440 rows.
     """
     boxed = bars.filter(F.col("open").isNotNull()).withColumn("_blk", _block(F.col("ts"), width))
+    valid = valid_bar({c: F.col(c) for c in ("open", "high", "low")})
     per_block = boxed.groupBy("asset", "_blk").agg(
         F.array_sort(F.collect_list(F.struct("ts", "open", "high", "low"))).alias("_bars"),
-        F.min("low").alias("_lo"),
-        F.max("high").alias("_hi"),
+        F.min(F.when(valid, F.col("low"))).alias("_lo"),
+        F.max(F.when(valid, F.col("high"))).alias("_hi"),
+        F.max(F.col("open") > 0).alias("_opens"),
     )
-    # A box must stay small enough for one row: bars are one per step, so this only stops ticks passed as bars.
-    too_many = F.raise_error(F.lit("more than 200000 bars in a block: pass a smaller width"))
-    per_block = per_block.withColumn("_bars", F.when(F.size("_bars") > BOX_LIMIT, too_many.cast(per_block.schema["_bars"].dataType)).otherwise(F.col("_bars")))
     # One entry per block of an asset: its calendar, not its rows.
     ranges = per_block.groupBy("asset").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_blk").alias("t"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))).alias("_ranges")
+        F.array_sort(F.collect_list(F.struct(F.col("_blk").alias("t"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_opens").alias("opens")))).alias("_ranges")
     )
     rows = orders.withColumn("_blk", _block(F.col("submitted_ts"), width))
     none = F.lit(None).cast("double")
     own = rows.join(per_block.select("asset", "_blk", "_bars"), ["asset", "_blk"], "left")
     fresh = _state(F.lit(False), none, F.lit(False))
     own = own.withColumn("_acc", F.coalesce(_fold(F.col("_bars"), fresh), fresh)).drop("_bars")
-    # Filled orders skip the search: their key is null.
-    own = own.withColumn("_open", F.when(F.col("_acc")["ts"].isNull(), F.col("asset")))
-    listed = own.join(ranges.withColumnRenamed("asset", "_open"), "_open", "left")
-    listed = listed.withColumn("_next", _later_blocks(F.col("_ranges"), F.col("_acc"))).drop("_ranges", "_open")
+    own = settle(own)
+    filled = own.filter(F.col("_acc")["ts"].isNotNull()).select(*orders.columns, F.struct(F.col("_acc")["ts"].alias("ts"), F.col("_acc")["price"].alias("price")).alias("_f"))
+    listed = own.filter(F.col("_acc")["ts"].isNull()).join(ranges, "asset", "left")
+    listed = listed.withColumn("_next", _later_blocks(F.col("_ranges"), F.col("_acc"))).drop("_ranges")
     spread = listed.withColumn("_n", F.explode_outer("_next")).withColumn("_nb", F.col("_n")["t"])
     boxes = per_block.select("asset", F.col("_blk").alias("_nb"), "_bars")
     there = spread.join(boxes, ["asset", "_nb"], "left")
     carried = _state(F.col("_n")["trig"], F.col("_n")["mark"], F.lit(False))
     there = there.withColumn("_late", _fold(F.col("_bars"), carried))
-    fill = F.when(F.col("_acc")["ts"].isNotNull(), F.col("_acc")).otherwise(F.col("_late"))
-    best = there.select(*orders.columns, F.struct(fill["ts"].alias("ts"), fill["price"].alias("price")).alias("_f"))
+    late = F.col("_late")
+    best = there.select(*orders.columns, F.struct(late["ts"].alias("ts"), late["price"].alias("price")).alias("_f")).unionByName(filled)
     keys = ["order_id"]
     rest = [c for c in orders.columns if c not in keys]
     done = best.groupBy(*keys).agg(F.any_value(F.struct(*rest)).alias("_o"), F.min(F.when(F.col("_f")["ts"].isNotNull(), F.col("_f"))).alias("_f"))

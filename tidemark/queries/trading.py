@@ -52,7 +52,7 @@ _ORD = """ord0 AS (SELECT o_orderkey AS order_id, ['click', 'error', 'purchase',
   TIMESTAMP '2024-01-01' + to_seconds((o_orderkey * 7919) % 2592000) AS submitted_ts, 1 + o_totalprice / 500000 * 150 AS px FROM orders),
   ord AS (SELECT *, CASE WHEN type = 'limit' THEN px WHEN type = 'stop_limit' THEN CASE WHEN side = 'buy' THEN px * 1.2 ELSE px * 0.8 END END AS limit_price, CASE WHEN type IN ('stop', 'stop_limit') THEN px END AS stop_price,
   CASE WHEN type = 'trail' AND order_id % 2 = 0 THEN 20.0 END AS trail_price, CASE WHEN type = 'trail' AND order_id % 2 = 1 THEN 0.4 END AS trail_percent,
-  CASE tif WHEN 'day' THEN timezone('UTC', timezone('America/New_York', CAST(CAST(timezone('America/New_York', submitted_ts AT TIME ZONE 'UTC') AS DATE) + 1 AS TIMESTAMP))) WHEN 'gtd' THEN submitted_ts + INTERVAL 3 DAY END AS deadline_ts, tif = 'ioc' AS immediate FROM ord0)"""
+  CASE tif WHEN 'day' THEN timezone('UTC', timezone('America/New_York', CAST(timezone('America/New_York', submitted_ts AT TIME ZONE 'UTC') + INTERVAL 8 HOUR AS DATE) + INTERVAL 16 HOUR)) WHEN 'gtd' THEN submitted_ts + INTERVAL 3 DAY END AS deadline_ts, tif = 'ioc' AS immediate FROM ord0)"""
 
 
 def _lim(p, o):
