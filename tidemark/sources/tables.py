@@ -103,11 +103,18 @@ def register(frames: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def run_sql(spark: SparkSession, text: str, limit: int = 200) -> DataFrame:
-    """A read-only query over registered views with a limited result. Only SELECT and WITH are let through."""
+def run_sql(spark: SparkSession, text: str) -> DataFrame:
+    """A read-only query over registered views, with its whole result. Only SELECT and WITH are let through."""
     if not text.lstrip().lower().startswith(("select", "with")):
         raise ValueError("only SELECT queries are allowed")
-    return spark.sql(text).limit(limit)
+    return spark.sql(text)
+
+
+def run_sql_head(spark: SparkSession, text: str, limit: int = 200) -> tuple[DataFrame, int, bool]:
+    """The first rows of such a query for display, the number of all its rows, and whether rows were left out."""
+    rows = run_sql(spark, text)
+    total = rows.count()
+    return rows.limit(limit), total, total > limit
 
 
 def visible_rows(df: DataFrame, as_of, last: int, keys: Sequence[str] = ("asset",), order: Sequence[str] = ("ts",)) -> DataFrame:
