@@ -12,6 +12,7 @@ steps, and at a single instant by its sequence number, so a hot asset, hour or i
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -60,10 +61,18 @@ TICKS = Axis(seq=("seq",), width=DAY)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session: ``spark.checkpoint.dir``, else the directory set on the context; only
-    where neither is set (tests) a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """The shared folder of the session: ``spark.checkpoint.dir``, else the directory set on the context. Where
+    neither is set, a session within one process gets a temporary folder; on a cluster that is an error, since
+    executors can't read each other's disks."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    root = named or sc.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(root)
+    return root
 
 
 def settle(df: DataFrame) -> DataFrame:
