@@ -132,3 +132,57 @@ def test_fresh_price_or_history(spark):
     df = spark.createDataFrame(rows, "asset string, ts timestamp, received_ts timestamp, price double")
     old = spark.createDataFrame([("A", 4.0)], "asset string, price double")
     assert sorted(r.price for r in live.fresh_or_history(df, old).select(F.col("price")).collect()) == [4.0, 5.0]
+
+
+def test_html_entities_and_unseen_parts(spark):
+    from tidemark.functions import text
+
+    page = "<p>a&mdash;b &#160;&#x2019; &eacute;</p><script>var x='<p>no</p>'</script><div>c <b>d</b><ix:hidden>no</ix:hidden></div><style>p{}</style>e<br>f &lt;g&gt;"
+    rows = spark.createDataFrame([(page,), (None,), ("",), ("<p>open",)], "html string")
+    got = [r[0] for r in rows.select(text.html_to_text(F.col("html"))).collect()]
+    assert got == ["a—b ’ é\nc d\ne\nf <g>", None, "", "open"]
+
+
+def test_sections_of_unknown_items_are_text(spark):
+    body = "intro\nItem 3A. none\nITEM 2\nx\nItem 16. no\n item 9b. Other\ny\nitems 4. no"
+    out = {r.section_id: r.text for r in texts.filing_sections(spark.createDataFrame([(1, body)], "doc_id int, text string")).collect()}
+    assert out == {"item_2": "ITEM 2\nx\nItem 16. no", "item_9b": " item 9b. Other\ny\nitems 4. no"}
+
+
+def test_metrics_see_every_row_and_merge(spark):
+    from tidemark.operators import hooks
+
+    t0 = dt.datetime(2024, 1, 1)
+    curve = spark.createDataFrame([(r, t0 + dt.timedelta(minutes=k), float(k * r)) for r in (1, 2) for k in range(50)], "run_id int, ts timestamp, v double")
+    whole = {r.run_id: r.metrics for r in hooks.custom_metrics(curve, lambda p: {"n": len(p), "last": p["v"].iloc[-1]}).collect()}
+    assert whole == {1: {"n": 50.0, "last": 49.0}, 2: {"n": 50.0, "last": 98.0}}
+    merged = hooks.merged_metrics(curve, lambda p: {"n": len(p), "last": p["v"].iloc[-1]}, lambda p: {"n": p["n"].sum(), "last": p["last"].iloc[-1]}, block_rows=7)
+    assert {r.run_id: r.metrics for r in merged.collect()} == whole
+
+
+def test_calendar_of_two_markets_and_assets_never_stored(spark):
+    from tidemark.operators import joins
+
+    day = dt.date(2024, 1, 3)
+    at = lambda h, d=3: dt.datetime(2024, 1, d, h)
+    calendar = spark.createDataFrame(
+        [("X", day, at(14), at(21)), ("Y", day, at(23, 2), at(22)), ("X", dt.date(2024, 1, 4), at(14, 4), at(21, 4))], "market string, session_date date, open_ts timestamp, close_ts timestamp"
+    )
+    bars = spark.createDataFrame([("X", "a", at(15)), ("X", "a", at(23)), ("Y", "b", at(15)), ("Y", "b", at(23, 2))], "market string, asset string, ts timestamp")
+    got = sorted((r.asset, r.ts, r.session_date) for r in joins.within_session(bars, calendar, "America/New_York").collect())
+    assert got == [("a", at(15), day), ("b", at(23, 2), day), ("b", at(15), day)]
+    assets = spark.createDataFrame([("X", "a", None), ("X", "n", None), ("Y", "m", None)], "market string, asset string, expiration date")
+    cached = bars.withColumn("missing", F.lit(False))
+    lost = sorted((r.asset, r.session_date.day) for r in joins.missing_dates(calendar, cached, assets, dt.date(2024, 1, 31)).collect())
+    assert lost == [("a", 4), ("m", 3), ("n", 3), ("n", 4)]
+
+
+def test_option_symbols_of_any_shape(spark):
+    from tidemark.functions import symbols
+
+    rows = spark.createDataFrame([(" spy240119c00450000 ",), ("SPY241399C00450000",), ("LONGROOT7240119P5000",), ("SPY",), (None,)], "s string")
+    got = [r.o for r in rows.select(symbols.parse_occ(F.col("s")).alias("o")).collect()]
+    assert (got[0].root, got[0].asset_type, got[0].right, got[0].strike) == ("SPY", "option", "CALL", 450.0)
+    assert got[1].asset_type == "stock" and got[1].expiration is None
+    assert (got[2].root, got[2].strike, got[2].right) == ("LONGROOT7", 5.0, "PUT")
+    assert got[3].asset_type == "stock" and got[4].root is None

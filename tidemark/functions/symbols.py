@@ -55,7 +55,7 @@ SELL_SIDES = ("sell", "sell_short", "sell_to_open", "sell_to_close")
 # Rank of a contract that no priority list names (fixed value).
 UNRANKED = 999999
 
-_OCC = r"^([A-Z]{1,6})(\d{6})([CP])(\d{8})$"
+_OCC = r"^(.+?)(\d{6})([CP])(\d+)$"
 _CONTRACT = r"^([A-Z]+)(?:(?=\.[A-Z]\d{2}$)\.)?([FGHJKMNQUVXZ])(\d{4}|\d{2}|\d)$"
 _CLASS = r"^([A-Z]{1,6})[./ ]([A-Z])$"
 
@@ -70,13 +70,16 @@ def bound(value: Column, fn) -> Column:
 
 
 def parse_occ(symbol: Column) -> Column:
-    """Option symbol -> struct(root, asset_type, expiration, right, strike); anything else is a stock."""
-    hit = symbol.rlike(_OCC)
+    """Option symbol -> struct(root, asset_type, expiration, right, strike); anything else, an impossible date
+    included, is a stock. Case and surrounding space don't count; roots and strikes may have any length."""
+    symbol = F.upper(F.trim(symbol))
+    day = F.try_to_date(F.concat(F.lit("20"), F.regexp_extract(symbol, _OCC, 2)), "yyyyMMdd")
+    hit = symbol.rlike(_OCC) & day.isNotNull()
     part = lambda i: F.regexp_extract(symbol, _OCC, i)
     return F.struct(
         F.when(hit, part(1)).otherwise(symbol).alias("root"),
         F.when(hit, "option").otherwise("stock").alias("asset_type"),
-        F.when(hit, F.to_date(F.concat(F.lit("20"), part(2)), "yyyyMMdd")).alias("expiration"),
+        F.when(hit, day).alias("expiration"),
         F.when(hit & (part(3) == "C"), "CALL").when(hit, "PUT").alias("right"),
         F.when(hit, part(4).try_cast("double") / 1000).alias("strike"),
     )

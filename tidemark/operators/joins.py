@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.times import MARKET_ZONE
 from tidemark.plans.blocks import DAY, Axis, asof, latest_by, scan
 
+
 def asof_within(left: DataFrame, right: DataFrame, tolerance_us: int, right_ts: str = "ts", **how) -> DataFrame:
     """As-of lookup that rejects a match older than the tolerance. Adds ``matched_ts``."""
     stamped = right.withColumnRenamed(right_ts, "matched_ts")
@@ -24,15 +26,19 @@ def previous_day_value(days: DataFrame, values: DataFrame, value: str, keys: Seq
 
 
 def within_session(bars: DataFrame, calendar: DataFrame, zone: str) -> DataFrame:
-    """Bars inside the session of their local date, with its bounds. The calendar holds one row per session
-    (about 250 a year), which is small whatever the bars weigh."""
+    """Bars inside a session, with its date and bounds: open_ts <= ts < close_ts.
+
+    Where bars and calendar both have a column ``market``, each bar is looked up in its own market; a calendar for bars
+    without one must be of one market. ``zone`` is the time zone of the session dates. A session may begin on the evening before its date: a bar
+    is looked up in the session of its local date and in the next one.
+    """
+    keys = [c for c in ("market",) if c in calendar.columns and c in bars.columns]
+    cal = calendar.select(*keys, "session_date", "open_ts", "close_ts")
     day = F.to_date(F.from_utc_timestamp("ts", zone))
-    cal = F.broadcast(calendar.select("session_date", "open_ts", "close_ts"))
-    return (
-        bars.withColumn("session_date", day)
-        .join(cal, "session_date")
-        .filter((F.col("ts") >= F.col("open_ts")) & (F.col("ts") < F.col("close_ts")))
-    )
+    early = cal.filter(F.to_date(F.from_utc_timestamp("open_ts", zone)) < F.col("session_date"))
+    near = cal.withColumn("_day", F.col("session_date")).unionByName(early.withColumn("_day", F.date_sub("session_date", 1)))
+    hit = bars.withColumn("_day", day).join(near, [*keys, "_day"])
+    return hit.filter((F.col("ts") >= F.col("open_ts")) & (F.col("ts") < F.col("close_ts"))).drop("_day")
 
 
 def interval_join(
@@ -120,20 +126,26 @@ def missing_dates(
     assets: DataFrame,
     as_of,
     keys: Sequence[str] = ("asset",),
+    zone: str = MARKET_ZONE,
 ) -> DataFrame:
-    """Session dates of each asset's life that hold no real row: not in the future, not before the first real
-    row, not after expiry (if the asset has one)."""
+    """Session dates of each asset's life that hold no real row, in dates of the market's ``zone``: not in the future,
+    not before the first real row, not after expiry (if the asset has one). An asset without any real row misses every
+    session up to then. With a column ``market`` in calendar and assets, an asset has the sessions of its own market."""
     keys = list(keys)
-    real = cached.filter(~F.coalesce(F.col("missing"), F.lit(False))).select(*keys, F.to_date("ts").alias("session_date"))
+    local = F.to_date(F.from_utc_timestamp("ts", zone))
+    real = cached.filter(~F.coalesce(F.col("missing"), F.lit(False))).select(*keys, local.alias("session_date"))
     first = real.groupBy(*keys).agg(F.min("session_date").alias("_first"))
-    life = assets.join(first, keys)
-    day = F.col("session_date")
-    # One row per asset against one row per session: the expected coverage itself, nothing more.
-    expected = life.join(
-        F.broadcast(calendar.select("session_date").distinct()),
-        (day >= F.col("_first")) & (day <= F.lit(as_of).cast("date")) & (day <= F.coalesce("expiration", day)),
+    life = assets.join(first, keys, "left")
+    # The sessions of a market are one list, about 250 dates a year; an asset takes its part of it.
+    market = [c for c in ("market",) if c in calendar.columns and c in assets.columns]
+    sessions = calendar.filter(F.col("session_date") <= F.lit(as_of).cast("date")).groupBy(*market, F.lit(1).alias("_all"))
+    sessions = sessions.agg(F.array_sort(F.collect_set("session_date")).alias("_days"))
+    life = life.withColumn("_all", F.lit(1)).join(sessions, [*market, "_all"])
+    own = F.filter(
+        "_days", lambda d: (d >= F.coalesce(F.col("_first"), d)) & (d <= F.coalesce(F.col("expiration"), d))
     )
-    return expected.select(*keys, "session_date").join(real, [*keys, "session_date"], "left_anti")
+    expected = life.select(*keys, F.explode(own).alias("session_date"))
+    return expected.join(real, [*keys, "session_date"], "left_anti")
 
 
 def history_with_tail(history: DataFrame, live: DataFrame, keys: Sequence[str] = ("asset",)) -> DataFrame:

@@ -104,38 +104,33 @@ def session_grid(b):
     return span.select("asset", stamps).filter(F.hour("ts").between(9, 16))
 
 
-def thin(b):
-    """Bars with gaps: only those with a middling volume."""
-    return b.filter(F.col("volume").cast("long") % 3 == 0)
-
-
-_THIN = f"{lens.BARS.replace('bars AS', 'allbars AS')}, bars AS (SELECT * FROM allbars WHERE CAST(volume AS BIGINT) % 3 = 0), {_GRID}"
+_GRIDDED = f"{lens.BARS}, {_GRID}"
 _UPTO = "(PARTITION BY asset ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@query("repaired_bars", "B7 W13", f"""WITH {_THIN}, quoted AS (SELECT *, low AS bid, high AS ask FROM bars),
+@query("repaired_bars", "B7 W13", f"""WITH {_GRIDDED}, quoted AS (SELECT *, low AS bid, high AS ask FROM bars),
   g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 120 MINUTE THEN ts END AS st FROM grid WINDOW w AS (PARTITION BY asset ORDER BY ts)),
   s AS (SELECT asset, ts, last_value(st IGNORE NULLS) OVER {_UPTO} AS session FROM g)
   SELECT s.asset, s.ts, q.open, q.high, q.low, q.close, coalesce(q.volume, 0) AS volume,
   CASE WHEN q.ts >= session THEN q.bid END AS bid, CASE WHEN q.ts >= session THEN q.ask END AS ask
   FROM s ASOF LEFT JOIN quoted q ON s.asset = q.asset AND s.ts >= q.ts""")
 def repaired_bars(spark, sf):
-    b = thin(lens.bars(spark, sf)).withColumns({"bid": F.col("low"), "ask": F.col("high")})
+    b = lens.bars(spark, sf).withColumns({"bid": F.col("low"), "ask": F.col("high")})
     return ingest.repair(b, session_grid(b))
 
 
-@query("grid_filled_bars", "B20", f"""WITH {_THIN} SELECT g.asset, g.ts, CASE WHEN q.ts = g.ts THEN q.open ELSE q.close END AS open,
+@query("grid_filled_bars", "B20", f"""WITH {_GRIDDED} SELECT g.asset, g.ts, CASE WHEN q.ts = g.ts THEN q.open ELSE q.close END AS open,
   CASE WHEN q.ts = g.ts THEN q.high ELSE q.close END AS high, CASE WHEN q.ts = g.ts THEN q.low ELSE q.close END AS low, q.close,
   CASE WHEN q.ts = g.ts THEN q.volume ELSE 0 END AS volume FROM grid g ASOF LEFT JOIN bars q ON g.asset = q.asset AND g.ts >= q.ts""")
 def grid_filled_bars(spark, sf):
-    b = thin(lens.bars(spark, sf))
+    b = lens.bars(spark, sf)
     return ingest.grid_fill(b, session_grid(b))
 
 
-@query("voids_filled", "B8", f"""WITH {_THIN}, n AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY asset ORDER BY ts) - INTERVAL 1 MICROSECOND, ts) AS stop FROM bars)
+@query("voids_filled", "B8", f"""WITH {_GRIDDED}, n AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY asset ORDER BY ts) - INTERVAL 1 MICROSECOND, ts) AS stop FROM bars)
   SELECT asset, unnest(generate_series(ts, stop, INTERVAL 1 HOUR)) AS ts, close FROM n""")
 def voids_filled(spark, sf):
-    return ingest.fill_voids(thin(lens.bars(spark, sf)).select("asset", "ts", "close"), HOUR)
+    return ingest.fill_voids(lens.bars(spark, sf).select("asset", "ts", "close"), HOUR)
 
 
 @query("daily_limited_fill", "B9", f"""WITH {lens.MONTHLY}, d AS (SELECT asset, CAST(ts AS DATE) AS day, arg_max(price, {lens.SHIP_RANK}) AS close FROM shipments GROUP BY 1, 2),
@@ -156,18 +151,22 @@ def closes_retimed(spark, sf):
     return ingest.retime_to_close(lens.bars(spark, sf).select("asset", "ts", "close"))
 
 
-@query("placeholders_added", "B11 U2", f"""WITH {_THIN} SELECT asset, ts, close, false AS missing FROM bars UNION ALL
+@query("placeholders_added", "B11 U2", f"""WITH {_GRIDDED} SELECT asset, ts, close, false AS missing FROM bars UNION ALL
   SELECT asset, ts, NULL, true FROM grid g ANTI JOIN bars b USING (asset, ts)""".replace("FROM grid g ANTI JOIN bars b USING (asset, ts)", "FROM grid g WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.asset = g.asset AND b.ts = g.ts)"))
 def placeholders_added(spark, sf):
-    b = thin(lens.bars(spark, sf))
+    b = lens.bars(spark, sf)
     return ingest.add_placeholders(b.select("asset", "ts", "close"), session_grid(b))
 
 
-@query("placeholders_cleared", "B11", f"""WITH {_THIN} SELECT asset, ts, close, false AS missing FROM allbars UNION ALL
+_EARLY = f"{lens.BARS.replace('bars AS', 'allbars AS')}, bars AS (SELECT * FROM allbars WHERE CAST(volume AS BIGINT) % 3 = 0), {_GRID}"
+
+
+@query("placeholders_cleared", "B11", f"""WITH {_EARLY} SELECT asset, ts, close, false AS missing FROM allbars UNION ALL
   SELECT asset, ts, NULL, true FROM grid g WHERE NOT EXISTS (SELECT 1 FROM allbars b WHERE b.asset = g.asset AND b.ts = g.ts)""")
 def placeholders_cleared(spark, sf):
     b = lens.bars(spark, sf)
-    marked = ingest.add_placeholders(thin(b).select("asset", "ts", "close"), session_grid(thin(b)))
+    early = b.filter(F.col("volume").cast("long") % 3 == 0)
+    marked = ingest.add_placeholders(early.select("asset", "ts", "close"), session_grid(early))
     arrived = b.filter(F.col("volume").cast("long") % 3 != 0).select("asset", "ts", "close", F.lit(False).alias("missing"))
     return ingest.drop_placeholders(marked.unionByName(arrived))
 
@@ -371,15 +370,16 @@ def fill_log_diff(spark, sf):
     return joins.fill_log_diff(left, other, bx, 0.25, 2)
 
 
-@query("missing_dates", "J11 U3", f"""WITH {lens.TICKS}, {_CAL}, c AS (SELECT DISTINCT asset, CAST(ts AS DATE) AS d FROM ticks WHERE dayofmonth(ts) % 4 <> 0 AND size > 20 AND dayofmonth(ts) > 2),
-  life AS (SELECT asset, min(d) AS f FROM c GROUP BY 1)
-  SELECT asset, session_date FROM life JOIN cal ON session_date >= f AND session_date <= DATE '2024-01-25' AND (asset <> 'click' OR session_date <= DATE '2024-01-15')
+@query("missing_dates", "J11 U3", f"""WITH {lens.TICKS}, {_CAL}, c AS (SELECT DISTINCT asset, CAST({NY.format('ts')} AS DATE) AS d FROM ticks WHERE dayofmonth(ts) % 4 <> 0 AND size > 20 AND dayofmonth(ts) > 2),
+  life AS (SELECT asset, min(d) AS f FROM c GROUP BY 1 UNION ALL SELECT 'never', NULL)
+  SELECT asset, session_date FROM life JOIN cal ON session_date >= coalesce(f, session_date) AND session_date <= DATE '2024-01-25' AND (asset <> 'click' OR session_date <= DATE '2024-01-15')
   WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.asset = life.asset AND c.d = session_date)""")
 def missing_dates(spark, sf):
     t = lens.ticks(spark, sf)
     dom = F.dayofmonth("ts")
     cached = t.withColumn("missing", ~((dom % 4 != 0) & (F.col("size") > 20) & (dom > 2)))
-    assets = t.select("asset").distinct().withColumn("expiration", F.when(F.col("asset") == "click", F.lit(dt.date(2024, 1, 15))))
+    never = t.sparkSession.createDataFrame([("never",)], "asset string")
+    assets = t.select("asset").distinct().unionByName(never).withColumn("expiration", F.when(F.col("asset") == "click", F.lit(dt.date(2024, 1, 15))))
     return joins.missing_dates(calendar(spark, sf), cached, assets, dt.date(2024, 1, 25))
 
 
