@@ -325,11 +325,11 @@ def interval_join(spark, sf):
     return joins.interval_join(t.select("asset", "ts", "seq"), spans, ["asset"])
 
 
-@query("actions_joined", "J6 A8", f"""WITH {lens.BARS}, ev AS (SELECT event_type AS asset, CAST(ts AS DATE) AS d, sum(value) AS dividend, product(1 + user_id % 2) AS split_ratio FROM events WHERE event_id % 50 = 0 GROUP BY 1, 2)
-  SELECT b.asset, b.ts, round(coalesce(dividend, 0), 6) AS dividend, coalesce(split_ratio, 0) AS split_ratio FROM bars b LEFT JOIN ev ON b.asset = ev.asset AND CAST(b.ts AS DATE) = ev.d""")
+@query("actions_joined", "J6 A8", f"""WITH {lens.BARS}, ev AS (SELECT event_type AS asset, CAST(ts AS DATE) AS d, sum(value) AS dividend, product(1 + (user_id % 2) / 1000.0) AS split_ratio FROM events GROUP BY 1, 2)
+  SELECT b.asset, b.ts, round(coalesce(dividend, 0), 6) AS dividend, round(coalesce(split_ratio, 0), 6) AS split_ratio FROM bars b LEFT JOIN ev ON b.asset = ev.asset AND CAST(b.ts AS DATE) = ev.d""")
 def actions_joined(spark, sf):
-    e = lens.table(spark, sf, "events").filter(F.col("event_id") % 50 == 0)
-    ev = e.select(F.col("event_type").alias("asset"), F.to_date("ts").alias("event_date"), F.col("value").alias("cash_amount"), (1.0 + F.col("user_id") % 2).alias("ratio"))
+    e = lens.table(spark, sf, "events")
+    ev = e.select(F.col("event_type").alias("asset"), F.to_date("ts").alias("event_date"), F.col("value").alias("cash_amount"), (1.0 + F.col("user_id") % 2 / 1000.0).alias("ratio"))
     out = joins.actions_join(lens.bars(spark, sf).select("asset", "ts"), resample.event_totals(ev), ["dividend", "split_ratio"])
     return rounded(out)
 
@@ -392,9 +392,9 @@ def history_with_tail(spark, sf):
     return joins.history_with_tail(h, v)
 
 
-@query("upsert_newest", "U1 S2", f"""WITH {lens.BARS} SELECT asset, ts, CASE WHEN dayofmonth(ts) > 15 THEN high ELSE low END AS price FROM bars WHERE dayofmonth(ts) <= 25""")
+@query("upsert_newest", "U1 S2", f"""WITH {lens.BARS} SELECT asset, ts, CASE WHEN dayofmonth(ts) > 15 THEN high ELSE low END AS price FROM bars""")
 def upsert_newest(spark, sf):
-    b = lens.bars(spark, sf).filter(F.dayofmonth("ts") <= 25)
+    b = lens.bars(spark, sf)
     old = b.filter(F.dayofmonth("ts") <= 20).select("asset", "ts", F.col("low").alias("price"))
     new = b.filter(F.dayofmonth("ts") > 15).select("asset", "ts", F.col("high").alias("price"))
     return joins.upsert(old, new, ["asset", "ts"])
