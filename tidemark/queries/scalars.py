@@ -113,7 +113,7 @@ def part_quotes(spark, sf):
     return p.select("p_partkey", bid.alias("bid"), F.round(bid + 0.05 * (1 + F.col("p_size") % 4), 2).alias("ask"), side.alias("side"), "p_size")
 
 
-@query("ticks_and_rounding", "F9 F11", f"""WITH {_BA}, d AS (SELECT *, CAST((bid + ask) / 2 * 1.0007 AS DECIMAL(24, 10)) AS p, CAST(round(bid * 100) AS BIGINT) AS b, CAST(round(ask * 100) AS BIGINT) AS a FROM quote)
+@query("ticks_and_rounding", "F9", f"""WITH {_BA}, d AS (SELECT *, CAST((bid + ask) / 2 * 1.0007 AS DECIMAL(24, 10)) AS p, CAST(round(bid * 100) AS BIGINT) AS b, CAST(round(ask * 100) AS BIGINT) AS a FROM quote)
   SELECT p_partkey, 0.01 AS tick, CAST(CASE WHEN side = 'buy' THEN ceil(p / 0.01) ELSE floor(p / 0.01) END AS BIGINT) / 100.0 AS rounded,
   CASE WHEN b % 5 = 0 AND a % 5 = 0 THEN CASE WHEN side = 'buy' THEN ceil(CAST(p AS DECIMAL(24,10)) / 0.05) ELSE floor(p / 0.05) END END AS nickels, p <> round(p, 2) AS excess FROM d""".replace(
     "0.01 AS tick, ", "CAST(0.01 AS DOUBLE) AS tick, ").replace("CASE WHEN b % 5 = 0 AND a % 5 = 0 THEN CASE WHEN side = 'buy' THEN ceil(CAST(p AS DECIMAL(24,10)) / 0.05) ELSE floor(p / 0.05) END END AS nickels, ", ""))
@@ -124,6 +124,14 @@ def ticks_and_rounding(spark, sf):
     return q.select("p_partkey", tick.alias("tick"), money.round_to_tick(p, tick, F.col("side")).alias("rounded"), money.has_excess_decimals(p, 2).alias("excess"))
 
 
+@query("quantized", "F11", """WITH p AS (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * (1 - l_discount) * 10000) AS BIGINT) AS n FROM lineitem)
+  SELECT l_orderkey, l_linenumber, (n // 100 + (n % 100 > 50 OR (n % 100 = 50 AND (n // 100) % 2 = 1))::INT) / 100.0::DOUBLE AS amount FROM p""")
+def quantized(spark, sf):
+    li = lens.table(spark, sf, "lineitem")
+    cash = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)
+    return li.select("l_orderkey", "l_linenumber", money.quantize(cash, 2).alias("amount"))
+
+
 @query("price_ladders", "F10", f"""WITH {_BA}, f AS (SELECT *, (bid + ask) / 2 AS m, (bid + ask) / 2 + (CASE WHEN side = 'buy' THEN ask ELSE bid END - (bid + ask) / 2) * 0.8 AS fin FROM quote)
   SELECT p_partkey, round(m, 6) AS mid, round(fin, 6) AS final, round(CASE WHEN side = 'buy' THEN m + 0.02 ELSE m - 0.02 END, 6) AS expected, i AS step, round(m + (fin - m) / 3 * i, 6) AS price FROM f, range(4) r(i)""")
 def price_ladders(spark, sf):
@@ -319,12 +327,15 @@ def dividend_cash(spark, sf):
 
 
 # ---- futures ---------------------------------------------------------------------------------------------
-@query("roll_schedule", "D6 D8 F12", """WITH r AS (SELECT unnest(['ES','MES','NQ','MNQ','YM','MYM']) AS root), sp AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders),
+_ROLLS = """WITH r AS (SELECT unnest(['ES','MES','NQ','MNQ','YM','MYM']) AS root), sp AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders),
   m AS (SELECT root, a, b, CAST(unnest(generate_series(date_trunc('month', a) - INTERVAL 14 MONTH, date_trunc('month', b) + INTERVAL 14 MONTH, INTERVAL 1 MONTH)) AS DATE) AS f FROM r, sp),
   t AS (SELECT *, CAST(f + CAST((12 - isodow(f)) % 7 + 14 AS INTEGER) - 10 AS DATE) AS roll FROM m WHERE month(f) % 3 = 0),
   s AS (SELECT root, a, b, root || substr('FGHJKMNQUVXZ', CAST(month(f) AS INTEGER), 1) || strftime(f, '%y') AS contract, timezone('UTC', timezone('America/New_York', CAST(roll AS TIMESTAMP) + INTERVAL 5 MINUTE)) AS end_ts FROM t),
   w AS (SELECT *, lag(end_ts) OVER (PARTITION BY root ORDER BY end_ts) AS start_ts FROM s)
-  SELECT root, contract, start_ts, end_ts FROM w WHERE start_ts IS NOT NULL AND end_ts > a AND start_ts <= b""")
+  SELECT root, contract, start_ts, end_ts FROM w WHERE start_ts IS NOT NULL AND end_ts > a AND start_ts <= b"""
+
+
+@query("roll_schedule", "D6 F12", _ROLLS)
 def roll_schedule(spark, sf):
     # Third Friday minus 8 business days is 10 calendar days earlier: Tuesday of the week before.
     o = lens.table(spark, sf, "orders")
@@ -333,6 +344,11 @@ def roll_schedule(spark, sf):
     return futures.roll_schedule(rules, F.col("a"), F.col("b"))
 
 
+@query("contracts_in_range", "D8", f"""SELECT DISTINCT root, contract FROM ({_ROLLS}) WHERE end_ts > TIMESTAMP '1995-02-01' AND start_ts <= TIMESTAMP '1996-04-20'""")
+def contracts_in_range(spark, sf):
+    return futures.contracts_in_range(roll_schedule(spark, sf), dt.datetime(1995, 2, 1), dt.datetime(1996, 4, 20))
+
+
 @query("roll_stitch", "D9 J5", f"""WITH {lens.TICKS}, b AS (SELECT CASE WHEN seq % 2 = 0 THEN 'A' ELSE 'B' END AS contract, asset AS root, ts, seq, price FROM ticks)
   SELECT root, contract, ts, seq, price FROM b WHERE contract = CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'A' WHEN ts < TIMESTAMP '2024-01-20' THEN 'B' ELSE 'C' END""")
 def roll_stitch(spark, sf):

@@ -110,7 +110,7 @@ def time_axis(spark, sf):
 
 
 # ---- returns ---------------------------------------------------------------------------------------------
-@query("returns", "W1 P19", f"""WITH {lens.BARS}, r AS (SELECT asset, ts, close, volume / 1000 AS dividend,
+@query("returns", "W1", f"""WITH {lens.BARS}, r AS (SELECT asset, ts, close, volume / 1000 AS dividend,
   close / lag(close) OVER w - 1 AS price_change FROM bars WINDOW w AS (PARTITION BY asset ORDER BY ts))
   SELECT asset, ts, round(price_change, 6) AS price_change, round(dividend / close, 6) AS dividend_yield,
   round(dividend / close + price_change, 6) AS "return" FROM r""")
@@ -119,6 +119,13 @@ def simple_returns(spark, sf):
     return rounded(returns.simple_returns(b).drop("close", "dividend"))
 
 
+@query("symbol_growth", "P19", f"""WITH {lens.BARS}, r AS (SELECT asset, ts, close / lag(close) OVER w - 1 + volume / 1000 / close AS r FROM bars WINDOW w AS (PARTITION BY asset ORDER BY ts))
+  SELECT asset, ts, round(sum(ln(1 + coalesce(r, 0))) OVER (PARTITION BY asset ORDER BY ts), 6) AS log_growth FROM r""")
+def symbol_growth(spark, sf):
+    b = lens.bars(spark, sf).select("asset", "ts", "close", (F.col("volume") / 1000).alias("dividend"))
+    return rounded(returns.symbol_returns(b).select("asset", "ts", F.log("growth").alias("log_growth")))
+
+
 # Month-to-month moves, damped so that products over years stay in range.
 _MONTH_RET = f"""{lens.MONTHLY}, ret AS (SELECT asset AS run_id, ts, 0.05 * (close / lag(close) OVER (PARTITION BY asset ORDER BY ts) - 1) AS r
   FROM monthly)"""
