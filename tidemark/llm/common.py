@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.blocks import settle
 
 BATCH_BYTES = 4 << 20
+EDGES_A_PART = 50_000
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -38,14 +39,17 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges(a, b)``: bigint ends; nulls and loops are ignored, repeated edges harmless. Returns (node, component)
     for every node of an edge, ``component`` being the smallest node it reaches. Large-star and small-star steps
     alternate until the edges are stars around the smallest nodes; each step is a partial aggregate and a join on
-    the node, which the adaptive planner splits where a hub is hot, and ends in a reliable checkpoint.
+    the node, which the adaptive planner splits where a hub is hot, and ends in a reliable checkpoint of about
+    ``EDGES_A_PART`` edges a partition.
     """
     now = settle(
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     )
     mark = _mark(now)
     while mark[0]:
-        both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        parts = -(-mark[0] // EDGES_A_PART)
+        now = now.coalesce(parts)
+        both = now.select(F.inline(F.array(F.struct("hi", "lo"), F.struct(F.col("lo").alias("hi"), F.col("hi").alias("lo")))))
         low = both.groupBy("hi").agg(F.least(F.col("hi"), F.min("lo")).alias("m"))
         wide = (
             both.where("lo > hi").join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
@@ -54,7 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = wide.join(low, "hi").select(
             F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")
         )
-        now = settle(moved.where("hi <> lo").distinct())
+        now = settle(moved.where("hi <> lo").distinct().coalesce(parts))
         before, mark = mark, _mark(now)
         if before == mark:
             break

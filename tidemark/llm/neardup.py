@@ -6,11 +6,11 @@ form a class, and classes are represented by their smallest doc_id. Links are pa
 100 * intersection >= 80 * union.
 
 Candidates: every set is reduced to ``SKETCH`` minwise tokens. In each of ``TREES`` independent trees the root holds
-all classes; a node picks one or (in a quarter of the cases) two of the token positions, drawn from its own path, and
-hands every class to the child of the token it has there, so a class goes to 1.25 children on average and a pair of
-similarity 0.8 is expected to meet in one. A node of at most ``LEAF`` classes is compared exhaustively by sketch; larger ones
-branch again. A node that is still larger at ``DEPTH`` consists of classes that agree in that many random tokens: it
-is taken as one group of candidates, without comparing.
+all classes; a node picks one or (in 9 of 16 cases) two pairs of token positions, drawn from its own path, and hands
+every class to the child of the tokens it has there, so a class goes to 1 / 0.8 ** 2 children on average and a pair of
+similarity 0.8 is expected to meet in one. A node of at most ``LEAF`` classes is compared exhaustively by sketch; larger
+ones branch again. A node that is still larger at ``DEPTH`` consists of classes that agree in twice as many random
+tokens: it is taken as one group of candidates, without comparing.
 
 Confirmation: candidate groups are joined to components. Within each, links are confirmed on the full sets, class
 against class, until everything is connected or all pairs are compared. A component of more than ``TILE`` classes is
@@ -18,8 +18,8 @@ cut into tiles that are compared inside and against a few pivots; the classes th
 are compared with every tile. So a large group of copies costs its size, not its square, and no link between
 different parts is lost.
 
-Null texts are empty. A row with a null doc_id is its own component (null) and kept. Repeated rows share a class;
-rows of one doc_id with different texts are linked to each other through it. An empty table gives no rows.
+Null texts are empty. A row with a null doc_id is its own component (null) and kept. Repeated rows share a class; rows
+of one doc_id with different texts are compared each for itself. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ from tidemark.llm.common import components, slices, text_or_empty
 from tidemark.llm.words import byte_runs, mix, word_hashes
 from tidemark.plans.blocks import settle, shared_dir
 
-SKETCH, TREES, LEAF, DEPTH = 128, 10, 128, 8
+SKETCH, TREES, LEAF, DEPTH = 128, 10, 128, 4
+ROWS_A_PART = 50_000
 #: Equal sketch bytes a candidate pair has at least: 4.5 standard deviations below what similarity 0.8 expects.
 ALIKE = 82
 TILE, PIVOTS = 1024, 8
@@ -81,7 +82,8 @@ def _each(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], pa
 
 
 def summaries(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sketch, low): size, digest and sketch of every set."""
+    """(doc_id, n_shingles, d1, d2, sketch): size, digest and sketch of every set. The sketch has 16 bits of each
+    minwise token, first the low bytes of all, then the high ones."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         sizes, digests, sketches = [], [], []
@@ -96,25 +98,25 @@ def summaries(documents: DataFrame) -> DataFrame:
                 pa.array(sizes, pa.int64()),
                 pa.array(d[:, 0]),
                 pa.array(d[:, 1]),
-                pa.array([x.tobytes() if n else None for x, n in zip(sketches, sizes)], pa.binary()),
-                pa.array([x.astype(np.uint8).tobytes() if n else None for x, n in zip(sketches, sizes)], pa.binary()),
+                pa.array([x.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes() if n else None for x, n in zip(sketches, sizes)], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "d1", "d2", "sketch", "low"],
+            names=["doc_id", "n_shingles", "d1", "d2", "sketch"],
         )
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
-    return rows.mapInArrow(lambda b: _each(b, make), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, low binary")
+    return rows.mapInArrow(lambda b: _each(b, make), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary")
 
 
 def children(node: str = "node", tokens: str = "sketch") -> Column:
     """The nodes a class goes to from a node."""
 
-    def child(which: int) -> Column:
+    def token(which: int) -> Column:
         at = F.pmod(F.xxhash64(F.col(node), F.lit(which)), F.lit(SKETCH)).cast("int")
-        return F.xxhash64(F.col(node), at, F.substring(F.col(tokens), at * 4 + 1, F.lit(4)))
+        return F.xxhash64(at, F.substring(F.col(tokens), at + 1, F.lit(1)), F.substring(F.col(tokens), at + SKETCH + 1, F.lit(1)))
 
-    second = F.pmod(F.xxhash64(F.col(node), F.lit(0)), F.lit(4)) == 0
-    return F.explode(F.when(second, F.array(child(1), child(2))).otherwise(F.array(child(1))))
+    first, other = (F.xxhash64(F.col(node), token(k), token(k + 1)) for k in (1, 3))
+    second = F.pmod(F.xxhash64(F.col(node), F.lit(0)), F.lit(16)) < 9
+    return F.explode(F.when(second, F.array(first, other)).otherwise(F.array(first)))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -174,20 +176,23 @@ def compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def candidates(classes: DataFrame) -> DataFrame:
     """Links (a, b), one per class and tree at most, that join all classes found to be alike."""
     seeds = F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(TREES)]))
-    rows = classes.select("id", "sketch", seeds.alias("node"))
+    low = F.substring("sketch", 1, SKETCH).alias("low")
+    below = classes.select("id", "sketch", seeds.alias("node")).select("id", children().alias("node"))
     found: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
-        below = rows.select("id", children().alias("node")).distinct() if depth > 1 else rows.select("id", children().alias("node"))
         sizes = below.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         held = settle(below.join(sizes, "node"))
-        leaves = held.where(F.col("n") <= LEAF).join(classes.select("id", "low"), "id").select("node", "id", "low")
+        rows, wide = held.agg(F.count("*"), F.count_if(F.col("n") > LEAF)).first()
+        held = held.coalesce(max(1, -(-rows // ROWS_A_PART)))
+        leaves = held.where(F.col("n") <= LEAF).join(classes.select("id", low), "id").select("node", "id", "low")
         found.append(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(compare_leaves, "a bigint, b bigint"))
-        large = held.where(F.col("n") > LEAF)
-        if large.isEmpty():
+        if not wide:
             break
+        large = held.where(F.col("n") > LEAF)
         if depth == DEPTH:
             found.append(large.join(large.groupBy("node").agg(F.min("id").alias("b")), "node").select(F.col("id").alias("a"), "b"))
-        rows = large.join(classes.select("id", "sketch"), "id").select("id", "sketch", "node")
+        else:
+            below = large.join(classes.select("id", "sketch"), "id").select("id", children().alias("node")).distinct()
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -310,7 +315,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     digest = ["d1", "d2", "n_shingles"]
     rep = base.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("id"))
     path = shared_dir(spark, "classes")
-    base.join(rep, digest).where("doc_id = id").select("id", "sketch", "low").write.parquet(path)
+    base.join(rep, digest).where("doc_id = id").select("id", "sketch").write.parquet(path)
     classes = spark.read.parquet(path)
     groups = settle(components(candidates(classes)))
     linked = components(links(documents, groups)).withColumnRenamed("node", "id")
