@@ -255,14 +255,30 @@ def test_settlement_rules(spark):
         ("c", "U", "PUT", 100.0, dt.date(2024, 1, 5), -1.0, 100, 90.0, False, 0.0),
         ("d", "I", "PUT", 100.0, dt.date(2024, 1, 5), -1.0, 100, 90.0, True, 0.0),
         ("e", "U", "CALL", 100.0, dt.date(2024, 1, 5), 1.0, 100, 90.0, False, 0.0),
+        ("f", "U", "PUT", 100.0, dt.date(2024, 1, 5), 1.0, 100, 90.0, False, 0.0),
+        ("g", "U", "PUT", 100.0, dt.date(2024, 1, 5), 1.0, 100, 90.0, False, 1e6),
     ]
-    df = spark.createDataFrame(rows, "account string, underlying string, right string, strike double, expiration date, quantity double, multiplier int, spot double, is_index boolean, cash double")
+    rows = [(*r, 100 if r[0] == "f" else None) for r in rows]
+    df = spark.createDataFrame(rows, "account string, underlying string, right string, strike double, expiration date, quantity double, multiplier int, spot double, is_index boolean, cash double, shares int")
     got = {(r.account, r.leg): (r.event, r.side, r.cash_change) for r in options.settle_expiring(df).collect()}
     assert got[("a", "underlying")] == ("exercised", "buy", -20000.0)
     assert got[("b", "option")] == ("cash_settled", "sell", 2000.0) and ("b", "underlying") not in got
     assert got[("c", "underlying")] == ("assigned", "buy", -10000.0)
     assert got[("d", "option")] == ("cash_settled", "buy", -1000.0)
     assert got[("e", "option")][0] == "expired"
+    assert got[("f", "underlying")] == ("exercised", "sell", 10000.0)
+    assert got[("g", "option")] == ("cash_settled", "sell", 1000.0) and ("g", "underlying") not in got
+
+
+def test_greeks_keep_every_contract(spark):
+    now = dt.datetime(2024, 1, 2, 15)
+    rows = [("U", now, dt.date(2024, 3, 1), 100.0, "CALL", 5.0), ("U", now, dt.date(2023, 3, 1), 100.0, "CALL", 5.0), ("U", now, dt.date(2024, 3, 1), 100.0, "PUT", None), ("V", now, dt.date(2024, 3, 1), 100.0, "PUT", 5.0)]
+    quotes = spark.createDataFrame(rows, "underlying string, ts timestamp, expiration date, strike double, right string, price double")
+    spot = spark.createDataFrame([("U", now, 100.0)], "asset string, ts timestamp, close double")
+    got = options.greeks_as_of(quotes, spot, 4.0).collect()
+    assert len(got) == 4
+    assert sorted(r.implied_volatility is not None for r in got) == [False, False, False, True]
+    assert all((r.delta is None) == (r.implied_volatility is None) == (r.gamma is None) for r in got)
 
 
 def test_rebalance_buys_equal_the_loop(spark):

@@ -127,7 +127,7 @@ def implied_volatility(df: DataFrame, price: str = "price", right: str = "right"
                 out = np.maximum((lo + hi) / 2, IV_FLOOR)
                 out = np.where(np.where(call, s > k + p, k > s + p), IV_DEEP, out)
                 out = np.where(value(np.full_like(s, IV_HIGH)) < p, IV_HIGH, out)
-                out = np.where((t > 0) & (p > 0) & np.isfinite(p), out, np.nan)
+                out = np.where((t > 0) & (p > 0) & np.isfinite(p) & np.isfinite(s), out, np.nan)
             yield pd.Series(out)
 
     is_call = F.coalesce(F.upper(F.substring(F.col(right), 1, 1)) == "C", F.lit(False))
@@ -149,16 +149,19 @@ def days_to_expiry(now: Column, expiration: Column, hour: int = 16, zone: str =
 
 def greeks_as_of(quotes: DataFrame, underlying: DataFrame, rate: float) -> DataFrame:
     """Option prices (underlying, ts, expiration, strike, right, price) with implied volatility and the greeks
-    of their own right, on the underlying price known at ts."""
+    of their own right, on the underlying price known at ts. Every row is kept; expired contracts and those without
+    a price or an underlying price have nulls."""
     spot = underlying.select(F.col("asset").alias("underlying"), F.col("ts").alias("_uts"), F.col("close").alias("spot"))
     priced = asof(quotes, spot, ["underlying"], "ts", "_uts").drop("_uts")
     ready = priced.withColumns({"rate": F.lit(float(rate)), "days": days_to_expiry(F.col("ts"), F.col("expiration"))})
-    solved = implied_volatility(ready.filter((F.col("days") > 0) & F.col("spot").isNotNull()))
-    full = greeks(solved, vol="implied_volatility")
+    full = greeks(implied_volatility(ready), vol="implied_volatility")
     call = F.upper(F.substring("right", 1, 1)) == "C"
-    own = lambda name: F.when(call, F.col(f"call_{name}")).otherwise(F.col(f"put_{name}")).alias(name)
+    known = F.col("implied_volatility").isNotNull()
+    if_known = lambda value, name: F.when(known, value).alias(name)
+    own = lambda name: F.when(call, F.col(f"call_{name}")).otherwise(F.col(f"put_{name}"))
     return full.select(
-        *quotes.columns, "spot", "days", "implied_volatility", own("price").alias("model_price"), own("delta"), own("theta"), own("rho"), "vega", "gamma"
+        *quotes.columns, "spot", "days", "implied_volatility", if_known(own("price"), "model_price"),
+        *[if_known(own(n), n) for n in ("delta", "theta", "rho")], *[if_known(F.col(n), n) for n in ("vega", "gamma")],
     )
 
 
@@ -330,14 +333,15 @@ def intrinsic(right: Column, spot: Column, strike: Column) -> Column:
 def settle_expiring(positions: DataFrame) -> DataFrame:
     """Expiry events and underlying deliveries of option positions.
 
-    Columns: account, underlying, right, strike, expiration, quantity, multiplier, spot, is_index, cash. Out of
-    the money expires; an index settles in cash; a long is exercised if the account can carry the delivery
-    (enough cash to buy), else settled in cash; a short is assigned. Delivery trades at the strike.
+    Columns: account, underlying, right, strike, expiration, quantity, multiplier, spot, is_index, cash, shares. Out
+    of the money expires; an index settles in cash; a long is exercised if the account can carry the delivery (enough
+    cash to buy, enough ``shares`` of the underlying to deliver), else settled in cash; a short is assigned. Delivery
+    trades at the strike.
     """
     value = intrinsic(F.col("right"), F.col("spot"), F.col("strike"))
     call = F.upper(F.substring("right", 1, 1)) == "C"
     q, units = F.col("quantity"), F.abs(F.col("quantity")) * F.col("multiplier")
-    affordable = ~call | (F.col("cash") >= units * F.col("strike"))
+    affordable = F.when(call, F.col("cash") >= units * F.col("strike")).otherwise(F.coalesce(F.col("shares") >= units, F.lit(False)))
     event = (
         F.when(value <= 0, "expired")
         .when(F.col("is_index"), "cash_settled")

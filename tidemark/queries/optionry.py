@@ -258,18 +258,18 @@ def portfolio_greeks(spark, sf):
     return rounded(options.portfolio_greeks(pos, g, ["contract_id"]), 5)
 
 
-_OPOS = f"""{CON}, op AS (SELECT *, contract_id % 7 - 3 AS quantity, 100 AS multiplier, contract_id % 13 = 0 AS is_index, 40000.0 + contract_id % 100000 AS cash, contract_id % 20 AS account, 950 + contract_id % 60 - 30 AS px FROM con)"""
+_OPOS = f"""{CON}, op AS (SELECT *, contract_id % 7 - 3 AS quantity, 100 AS multiplier, contract_id % 13 = 0 AS is_index, 40000.0 + contract_id % 100000 AS cash, contract_id % 20 AS account, 950 + contract_id % 60 - 30 AS px, contract_id % 4 * 100 AS shares FROM con)"""
 
 
 def option_positions(spark, sf):
     k = F.col("contract_id")
     return contracts(spark, sf).withColumns(
-        {"quantity": k % 7 - 3, "multiplier": F.lit(100), "is_index": k % 13 == 0, "cash": 40000.0 + k % 100000, "account": k % 20, "spot": (950 + k % 60 - 30).cast("double")}
+        {"quantity": k % 7 - 3, "multiplier": F.lit(100), "is_index": k % 13 == 0, "cash": 40000.0 + k % 100000, "account": k % 20, "spot": (950 + k % 60 - 30).cast("double"), "shares": k % 4 * 100}
     )
 
 
 @query("option_settlement", "O13", f"""WITH {_OPOS}, v AS (SELECT *, greatest(CASE WHEN "right" = 'CALL' THEN px - strike ELSE strike - px END, 0) AS iv FROM op WHERE quantity <> 0),
-  e AS (SELECT *, CASE WHEN iv <= 0 THEN 'expired' WHEN is_index THEN 'cash_settled' WHEN quantity > 0 AND "right" = 'CALL' AND cash < quantity * 100 * strike THEN 'cash_settled' WHEN quantity > 0 THEN 'exercised' ELSE 'assigned' END AS event FROM v)
+  e AS (SELECT *, CASE WHEN iv <= 0 THEN 'expired' WHEN is_index THEN 'cash_settled' WHEN quantity > 0 AND CASE WHEN "right" = 'CALL' THEN cash < quantity * 100 * strike ELSE shares < quantity * 100 END THEN 'cash_settled' WHEN quantity > 0 THEN 'exercised' ELSE 'assigned' END AS event FROM v)
   SELECT account, underlying, "right", strike, expiration, event, 'option' AS leg, CASE WHEN quantity > 0 THEN 'sell' ELSE 'buy' END AS side, abs(quantity)::DOUBLE AS units, round(iv, 6) AS price,
   round(CASE WHEN event = 'cash_settled' THEN iv * quantity * 100 ELSE 0 END, 4) AS cash_change FROM e
   UNION ALL SELECT account, underlying, "right", strike, expiration, event, 'underlying', CASE WHEN ("right" = 'CALL') = (quantity > 0) THEN 'buy' ELSE 'sell' END, abs(quantity) * 100.0, round(strike, 6),
