@@ -307,14 +307,16 @@ def asof(
 
     Both sides are merged on one axis and the last right row is carried forward block by block; no side is
     broadcast and no pairs are formed. Right columns must not clash with left ones; they are null where
-    nothing precedes. ``right_rank`` breaks ties between right rows of one instant (greatest wins).
+    nothing precedes. ``right_rank`` breaks ties between right rows of one instant (greatest wins); what it leaves
+    tied is settled by a hash of the row, so a rerun gives the same result.
     """
     keys = list(keys)
     cols = [c for c in right.columns if c not in keys]
-    rows = right.select(*keys, F.col(right_ts).alias("_t"), F.struct(*cols).alias("_r"), *right_rank)
+    plain = [c for c in cols if "map<" not in right.schema[c].dataType.simpleString()]
+    rows = right.select(*keys, F.col(right_ts).alias("_t"), F.struct(*cols).alias("_r"), F.xxhash64(*plain).alias("_tie"), *right_rank)
     # One right row per instant; several left rows of an instant may then stand in any order, and are
     # spread by a hash so that an overfull instant can be cut.
-    rank = F.struct(*[F.col(c) for c in right_rank]) if right_rank else F.lit(1)
+    rank = F.struct(*[F.col(c) for c in right_rank], F.col("_tie"))
     one = rows.groupBy(*keys, "_t").agg(F.max_by("_r", rank).alias("_r"))
     boxed = F.struct(*left.columns)
     probe = left.select(
