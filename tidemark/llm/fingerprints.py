@@ -26,7 +26,7 @@ from tidemark.llm.common import text_or_empty
 from tidemark.plans.blocks import settle
 
 BITS, WORDS = 64, 5
-CHUNK = 1 << 15
+CHUNK = 1 << 14
 LANES = 0x0001000100010001
 RADIUS, BLOCKS = 3, 6
 BLOCK_ROWS = 1024
@@ -102,7 +102,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     if not span["n"]:
         return rows.select("*", F.col("text").alias("next_text"), F.col("doc_id").alias("prev_id"))
     n_blocks = max(1, span["n"] // BLOCK_ROWS)
-    share = (F.col("doc_id") - F.lit(span["lo"])) / F.lit(float(span["hi"] - span["lo"] + 1))
+    share = (F.col("doc_id").cast("double") - F.lit(float(span["lo"]))) / F.lit(float(span["hi"] - span["lo"] + 1))
     block = F.least(F.floor(share * n_blocks), F.lit(n_blocks - 1))
     rows = rows.withColumn("block", block)
     found = settle(rows.groupBy("block").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).withColumn("group", F.floor(F.col("block") / BLOCK_ROWS)))
@@ -112,14 +112,15 @@ def with_next(documents: DataFrame) -> DataFrame:
     starts = starts.select("group", F.lead("first").over(across).alias("next"), F.lead("first_low").over(across).alias("next_low"))
     chain = found.join(starts, "group").select(
         "block",
-        F.col("high").alias("doc_id"),
         F.coalesce(F.lead("block").over(inside), "next", F.lit(0)).alias("above"),
         F.coalesce(F.lead("low").over(inside), "next_low", F.lit(span["lo"])).alias("above_low"),
     )
-    heads = rows.join(chain.select("doc_id", "above"), "doc_id").groupBy(F.col("above").alias("block")).agg(F.min("text").alias("head"))
-    ends = heads.join(chain.select("block", "above_low"), "block")
     order = Window.partitionBy("block").orderBy(F.desc("doc_id"), "text")
-    dealt = rows.repartition("block").withColumn("before", F.lag("doc_id").over(order)).where("before IS NULL OR before <> doc_id")
+    # the same exchange serves the heads and the rows
+    dealt = rows.repartition("block").withColumn("before", F.lag("doc_id").over(order))
+    heads = dealt.where("before IS NULL").select("block", "text").join(chain, "block").select(F.col("above").alias("block"), F.col("text").alias("head"))
+    ends = heads.join(chain.select("block", "above_low"), "block")
+    dealt = dealt.where("before IS NULL OR before <> doc_id")
     dealt = dealt.select("block", "doc_id", "text", F.lead("text").over(order).alias("after"), F.lag("doc_id").over(order).alias("before"))
     return dealt.join(ends, "block").select(
         "doc_id", "text", F.coalesce("after", "head").alias("next_text"), F.coalesce("before", "above_low").alias("prev_id")
