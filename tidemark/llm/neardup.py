@@ -45,10 +45,10 @@ SHARE, OF = 80, 100
 #: (values, what is connected already, which to compare) -> links between the values' places.
 Confirm = Callable[[list, np.ndarray, np.ndarray], list[tuple[int, int]]]
 
-_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER = np.arange(256, dtype=np.uint16)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13, 32]] = 0
-_LOWER[0] = 1  # a NUL is an ordinary character and shares its value with U+0001
+_LOWER[0] = 256  # a NUL is an ordinary character
 _PICKS = mix(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64))
 _SLOPE, _SHIFT = (_PICKS[:SKETCH] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_PICKS[SKETCH:] >> np.uint64(32)).astype(np.uint32)
 
@@ -247,12 +247,14 @@ def _confirm_tiles(confirm: Confirm) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def confirmed_links(groups: DataFrame, payload: Callable[[DataFrame], DataFrame], confirm: Confirm) -> DataFrame:
+def confirmed_links(groups: DataFrame, payload: Callable[[DataFrame], DataFrame], confirm: Confirm, tile: int | None = None) -> DataFrame:
     """Confirmed links (a, b) within ``groups(node, component)``, joining all that ``confirm`` links.
 
     ``payload`` adds the column ``tokens`` to rows (id, ...); ``confirm(tokens, parts, probes)`` compares the values of
-    one tile. Tiles hold ``TILE`` values on average; a larger group goes through pivots, as the module says.
+    one tile. Tiles hold ``tile`` values on average; a larger group goes through pivots, as the module says. A node may be
+    in several groups.
     """
+    tile = tile or TILE
     keys = ["grp", "tile", "other"]
 
     def linked(tiles: DataFrame) -> DataFrame:
@@ -261,7 +263,7 @@ def confirmed_links(groups: DataFrame, payload: Callable[[DataFrame], DataFrame]
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     dealt = groups.join(sizes, "component").select(
-        F.col("node").alias("id"), F.col("component").alias("grp"), "n", F.ceil(F.col("n") / TILE).alias("tiles")
+        F.col("node").alias("id"), F.col("component").alias("grp"), "n", F.ceil(F.col("n") / tile).alias("tiles")
     )
     dealt = settle(dealt.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))))
     pivot = (F.col("tiles") > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("n"))
@@ -275,7 +277,7 @@ def confirmed_links(groups: DataFrame, payload: Callable[[DataFrame], DataFrame]
         return found
     parts = wide.join(components(found).withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     most = parts.groupBy("grp", "part").agg(F.count("*").alias("m")).groupBy("grp").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("m"))
-    open_ = most.where("all > m").select("grp", "main", F.ceil((F.col("all") - F.col("m")) / TILE).alias("others"))
+    open_ = most.where("all > m").select("grp", "main", F.ceil((F.col("all") - F.col("m")) / tile).alias("others"))
     parts = settle(parts.join(open_, "grp").withColumn("outside", F.col("part") != F.col("main")))
     if parts.isEmpty():
         return found
