@@ -82,7 +82,7 @@ def decode(ids: str | Column, rank_file: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def raw(lists: pa.Array) -> pa.Array:
         enc = encoding(rank_file, pattern)
-        return pa.array([enc.decode_bytes(x.as_py()) if x.is_valid else None for x in lists], pa.binary())
+        return pa.array([enc.decode_bytes(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.binary())
 
     return raw(F.col(ids) if isinstance(ids, str) else ids)
 
