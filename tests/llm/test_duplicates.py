@@ -5,7 +5,6 @@ import random
 import duckdb
 import numpy as np
 import pyarrow as pa
-import pytest
 from brute import near_duplicates, normal, removed_lines, rows_of
 
 from tidemark.llm import common, lines, neardup, vectors, words
@@ -56,22 +55,27 @@ def family(seed, n, size=60, change=2):
     return out
 
 
-SPECIAL = [None, "", " \n\t", "one", "ONE", "two words", "Two  words", "x y z", "\x1c y", "w " * 30_000, "w " * 30_001, "é É"]
+SPECIAL = [None, "", " \n\t", "one", "ONE", "two words", "Two  words", "x y z", "\x1c y", "\x00 y", "\x01 y", "w " * 30_000, "w " * 30_001, "é É"]
 
 
 def got_duplicates(frame):
-    return sorted(tuple(r) for r in neardup.near_duplicates(frame).collect())
+    return sorted((tuple(r) for r in neardup.near_duplicates(frame).collect()), key=lambda r: (r[0] is None, r[0] or 0, str(r)))
 
 
 def test_near_duplicates_of_odd_rows(docs):
     rows = list(enumerate([*SPECIAL, *family(1, 12), *family(2, 5, change=9)]))
     random.Random(1).shuffle(rows)
-    assert {d: (n, c, k) for d, n, c, k in got_duplicates(docs(rows))} == near_duplicates(rows)
+    odd = [rows[0], rows[0], (None, "two words"), (None, "two words")]
+    got = got_duplicates(docs(rows + odd))
+    assert len(got) == len(rows) + 4
+    assert {d: (n, c, k) for d, n, c, k in got if d is not None} == near_duplicates(rows)
+    assert [r[1:] for r in got if r[0] is None] == [(1, None, True)] * 2
+
+
+def test_rows_of_one_id_with_different_texts(docs):
+    rows = [(4, "a b c"), (2, "a b c"), (9, "d e f"), (4, "d e f")]
+    assert got_duplicates(docs(rows)) == [(2, 2, 2, True), (4, 2, 2, False), (4, 2, 4, True), (9, 2, 4, False)]
     assert got_duplicates(docs([])) == []
-    repeated = [(4, "a b c"), (4, "a b c"), (2, "a b c"), (9, "d e f"), (4, "d e f")]
-    assert got_duplicates(docs(repeated)) == [(2, 2, 2, True), (4, 2, 2, False), (4, 2, 2, False), (4, 2, 4, True), (9, 2, 4, False)]
-    nameless = neardup.near_duplicates(docs([(None, "a b c"), (None, "a b c"), (3, "a b c")])).collect()
-    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in nameless) == [(0, 0, True), (0, 0, True), (3, 3, True)]
 
 
 def test_large_groups_go_through_tiles(docs, monkeypatch):
@@ -112,7 +116,6 @@ def test_lines(docs):
         (8, text.replace("word7 ", "word8 ", 1)), (10, "Élan vital\nélan  vital"), (11, "tail\n"), (12, "tail"), (13, "9 lives\n7 lives\n" + "y " * 70_000), (-1, "tail\nown"),
     ]
     check_lines(docs(rows), rows)
-    assert lines.dedup_lines(docs([])).count() == 0
     repeated = lines.dedup_lines(docs([(1, "a\nb\na"), (1, "a\nb\na"), (None, "b")])).collect()
     assert sorted((r.doc_id or 0, r.text) for r in repeated) == [(0, "b"), (1, "a"), (1, "a")]
 
@@ -177,8 +180,7 @@ def vector_frame(spark, rows):
     return spark.createDataFrame([(*r, "x", "y", "z") for r in rows], names)
 
 
-@pytest.mark.parametrize("tile", [1024, 7])
-def test_vectors(spark, tile):
+def test_vectors(spark, tile=7):
     rng = np.random.default_rng(5)
     rows = []
     for c in range(12):

@@ -158,7 +158,7 @@ def test_fingerprints_against_plain_votes(spark, docs, small, monkeypatch):
     random.seed(4)
     rows = [(d, t) for d, t in zip(*(pq.read_table(f"{small}/documents.parquet").column(c).to_pylist() for c in ("doc_id", "text")))][:60]
     rows += [(10_000_000 + k * 977, "tail é " * k) for k in range(7)] + [(-5, None), (-4, ""), (-9, " \n"), (-8, "one"), (-7, "One"), (-6, "\U0001f600" * 9)]
-    rows += [rows[3], (rows[5][0], "another text"), (None, "left out"), (7_000_000, "w " * 70_000)]
+    rows += [rows[3], (rows[5][0], "another text"), (None, "left out"), (7_000_000, "w " * 70_000), (-(2**63), "least"), (2**63 - 1, "most")]
     got = {r.doc_id: tuple(r) for r in fingerprints.compared(docs(rows)).collect()}
     assert got == expected_fingerprints(rows)
 

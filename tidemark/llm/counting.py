@@ -8,8 +8,9 @@ be read as unknown at the least score less ten, and counts as its UTF-8 bytes.
 
 No piece holds a space mark after another character (``Vocabulary`` refuses a file where one does), so a text falls apart
 before each run of marks into words that are counted for themselves; words seen are remembered, in a memory of bounded
-size. Scores are summed exactly. The library sums a whole text in single precision, so the counts equal its best
-path (``nbest_encode`` with 1) as long as its sums are exact, and are those of the better segmentation where they are not.
+size. Scores are summed exactly. The counts equal the first path of the library's lattice search (``nbest_encode``) as long
+as the library's sums, in single precision over a whole text, are exact; its quick ``encode`` departs from that path
+for a few words of this vocabulary ("the" becomes one piece of score -13, where two pieces score -8).
 
 Null texts count as empty, with no tokens. Ties follow the rule above; repeated rows are counted alike.
 """

@@ -132,7 +132,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTERS
         tfs = [counts(t) for t in group.sort_values(["rank", "text"])["text"]]
         vectors = [vector(tf, idf) for tf in tfs if tf is not None]
         if not vectors:
-            return pd.DataFrame({"lang": [], "cluster": [], "centre": [], "least": []})
+            return pd.DataFrame({n: pd.Series(dtype=object) for n in ("lang", "cluster", "centre", "least")})
         centres, least = clusters(np.stack(vectors), k)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "cluster": range(len(centres)), "centre": list(centres.astype(np.float32)), "least": least})
 
