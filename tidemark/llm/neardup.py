@@ -77,7 +77,7 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 def _each(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch, "text", 1 << 19):
             yield make(part)
 
 

@@ -15,7 +15,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, 1 << 19), base, np.uint64)
         steps[0] = 1
         have = _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
     return have[:n]
