@@ -51,6 +51,14 @@ class Vocabulary(dict):
 
     def segment(self, word: str) -> tuple[int, int]:
         size = len(word)
+        if self.single.issuperset(word):
+            # every character is a piece, so every position is reached and nothing is unknown; longest matches come first
+            top, pieces = [0.0] + [float("-inf")] * size, [0] * (size + 1)
+            for end, (length, value) in self.automaton.iter(word):
+                start = end + 1 - length
+                if top[start] + value > top[end + 1]:
+                    top[end + 1], pieces[end + 1] = top[start] + value, pieces[start] + 1
+            return pieces[size], 0
         score, count, unknown = [0.0] * (size + 1), [0] * (size + 1), [0] * (size + 1)
         done = 0
         lowest = float("-inf")
