@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
     task are bounded by that or by its longest single value."""
     if not batch.num_rows:
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, start = np.cumsum(sizes, dtype=np.int64), 0
     while start < batch.num_rows:
         done = total[start - 1] if start else 0

@@ -150,7 +150,8 @@ def token_hash(token: str) -> int:
 
 
 def host(url: str = "url") -> Column:
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
+    """The host of a URL as a 64-bit hash, shorter to exchange than its name."""
+    return F.xxhash64(F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit(""))))
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -171,10 +172,10 @@ def occurrences(pages: DataFrame) -> DataFrame:
                         token.append(token_hash(t))
                         n.append(k)
                         place.append(first[t])
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (ids, token, n, place))], names=["host", "page", "token", "n", "place"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (hosts, ids, token, n, place))], names=["host", "page", "token", "n", "place"])
 
     rows = pages.select(host().alias("host"), F.xxhash64("page_id", "url").alias("page"), text_or_empty("html").alias("html"))
-    return rows.mapInArrow(make, "host string, page bigint, token bigint, n bigint, place bigint")
+    return rows.mapInArrow(make, "host bigint, page bigint, token bigint, n bigint, place bigint")
 
 
 def templates(pages: DataFrame) -> DataFrame:
