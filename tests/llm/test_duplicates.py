@@ -132,6 +132,43 @@ def test_many_variants_of_a_line(docs, monkeypatch):
     check_lines(docs(rows), rows)
 
 
+def edited_lines(n, seed):
+    """Pairs of a line of 3 to 100 words and a copy with words or letters replaced, with their edit similarity."""
+    from brute import distance
+
+    rnd = random.Random(seed)
+
+    def word():
+        return "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 10)))
+
+    out = []
+    for k in range(n):
+        words = [word() for _ in range((3, 5, 8, 20, 40, 100)[k % 6])]
+        copy = list(words)
+        if k % 4:
+            for p in rnd.sample(range(len(words)), max(1, len(words) * (k % 3 + 1) // 20)):
+                copy[p] = word()
+            copy = " ".join(copy)
+        else:
+            letters = list(" ".join(words))
+            for p in rnd.sample([i for i, c in enumerate(letters) if c != " "], max(1, len(letters) // 15)):
+                letters[p] = "q"
+            copy = "".join(letters)
+        line = " ".join(words)
+        out.append((line, copy, 1 - distance(line, copy) / max(len(line), len(copy))))
+    return out
+
+
+def test_lines_of_edit_similarity_are_found_without_a_fingerprint(docs):
+    pairs = edited_lines(600, 5)
+    rows = [(k, line) for k, (line, _, _) in enumerate(pairs)] + [(1000 + k, copy) for k, (_, copy, _) in enumerate(pairs)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs(rows)).collect()}
+    near = [k for k, (_, _, s) in enumerate(pairs) if s >= 0.8]
+    assert len(near) > 450
+    assert sum(got[1000 + k] for k in near) >= 0.97 * len(near)
+    assert all(got[d] == 0 for d in got if d < 1000 or d - 1000 not in near)
+
+
 def test_line_query(spark, small):
     rows = rows_of(small)
     gone = removed_lines(rows, fingerprints_of(rows))

@@ -107,12 +107,12 @@ def summaries(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda b: _each(b, make), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary")
 
 
-def children(node: str = "node", tokens: str = "sketch") -> Column:
+def children(size: int, node: str = "node", tokens: str = "sketch") -> Column:
     """The nodes a class goes to from a node."""
 
     def token(which: int) -> Column:
-        at = F.pmod(F.xxhash64(F.col(node), F.lit(which)), F.lit(SKETCH)).cast("int")
-        return F.xxhash64(at, F.substring(F.col(tokens), at + 1, F.lit(1)), F.substring(F.col(tokens), at + SKETCH + 1, F.lit(1)))
+        at = F.pmod(F.xxhash64(F.col(node), F.lit(which)), F.lit(size)).cast("int")
+        return F.xxhash64(at, F.substring(F.col(tokens), at + 1, F.lit(1)), F.substring(F.col(tokens), at + size + 1, F.lit(1)))
 
     first, other = (F.xxhash64(F.col(node), token(k), token(k + 1)) for k in (1, 3))
     second = F.pmod(F.xxhash64(F.col(node), F.lit(0)), F.lit(16)) < 9
@@ -153,18 +153,18 @@ def joined(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare_leaves(batches: Iterator[pa.RecordBatch], size: int, alike: int) -> Iterator[pa.RecordBatch]:
     """(a, b) for rows (node, id, low) sorted by node: links that join what a leaf's sketches show to be alike."""
     for batch in _groups(batches, ["node"]):
         node, ids = (batch.column(c).to_numpy() for c in ("node", "id"))
-        low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, size)
         left, right = [], []
         for lag in range(1, len(node)):
             near = np.flatnonzero(node[:-lag] == node[lag:])
             if not len(near):
                 break
             for part in np.array_split(near, len(near) // 8192 + 1):
-                hit = part[(low[part] == low[part + lag]).sum(1) >= ALIKE]
+                hit = part[(low[part] == low[part + lag]).sum(1) >= alike]
                 left.append(hit)
                 right.append(hit + lag)
         if left:
@@ -173,11 +173,11 @@ def compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], names=["a", "b"])
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, size: int = SKETCH, alike: int = ALIKE) -> DataFrame:
     """Links (a, b), one per class and tree at most, that join all classes found to be alike."""
     seeds = F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(TREES)]))
-    low = F.substring("sketch", 1, SKETCH).alias("low")
-    below = classes.select("id", "sketch", seeds.alias("node")).select("id", children().alias("node"))
+    low = F.substring("sketch", 1, size).alias("low")
+    below = classes.select("id", "sketch", seeds.alias("node")).select("id", children(size).alias("node"))
     found: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
         sizes = below.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
@@ -185,14 +185,14 @@ def candidates(classes: DataFrame) -> DataFrame:
         rows, wide = held.agg(F.count("*"), F.count_if(F.col("n") > LEAF)).first()
         held = held.coalesce(max(1, -(-rows // ROWS_A_PART)))
         leaves = held.where(F.col("n") <= LEAF).join(classes.select("id", low), "id").select("node", "id", "low")
-        found.append(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(compare_leaves, "a bigint, b bigint"))
+        found.append(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(lambda b: compare_leaves(b, size, alike), "a bigint, b bigint"))
         if not wide:
             break
         large = held.where(F.col("n") > LEAF)
         if depth == DEPTH:
             found.append(large.join(large.groupBy("node").agg(F.min("id").alias("b")), "node").select(F.col("id").alias("a"), "b"))
         else:
-            below = large.join(classes.select("id", "sketch"), "id").select("id", children().alias("node")).distinct()
+            below = large.join(classes.select("id", "sketch"), "id").select("id", children(size).alias("node")).distinct()
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
