@@ -105,6 +105,20 @@ def test_main_text(html, text):
     assert pages.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div style="overflow:hidden"><article><p>all</p></article></div>', "all"),
+        ('<article><p><a href="/hidden-gems" title="hidden">gems</a> <span data-id="related">here</span></p></article>', "gems here"),
+        ('<article><h2 id="related-work">Related</h2><section id="search"><p id=comments>on search</p></section></article>', "Related on search"),
+        ("<article><p hidden>no</p><p HIDDEN=''>no</p><div id=comments>no</div><p aria-hidden='true'>no</p><h2 class='promo'>no</h2>yes</article>", "yes"),
+        ("<div class = 'sidebar'>no</div><p data-x='class=\"ad\"'>yes</p><section id=related>no</section>", "yes"),
+    ],
+)
+def test_attributes_are_read_whole(html, text):
+    assert pages.main_text(html) == text
+
+
 def test_template_of_a_host_without_article(spark):
     def page(k):
         return f"<html><body><div><p>Welcome to our site</p></div><div><p>story {k} about {k * k}</p><p>second part {k}</p></div><div><p>All rights reserved</p></div></body></html>"

@@ -10,7 +10,7 @@ lie in one slot is nested there. A text run that belongs to a class is template
 The main text is the data of the slots inside the article element (or ``main``, or an element of that role); there no
 text run is taken for template text, since a host may hold many copies of one article. Where a page has neither, it is
 the data of all slots but those made up of links, without the template text. Elements whose name, role, class or id says that they are no part of an article are left
-out anywhere. A host with a single page has no vectors to compare: its page is one slot, read by its elements.
+out anywhere; the ids of headings, paragraphs and sections inside the article don't count. A host with a single page has no vectors to compare: its page is one slot, read by its elements.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
 one space. Null html is empty; a null url is the host ''; repeated rows are pages of their own with equal results; an
@@ -47,10 +47,12 @@ MAIN = frozenset(("article", "main"))
 SUPPORT = 0.6
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _IMPLIED = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("article main section div body table ul ol dl td th li blockquote nav aside header footer form".split())
+#: Inside the article an id on one of these is the target of a link and says nothing else.
+_ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
@@ -63,8 +65,8 @@ class Run:
         self.path, self.text, self.main, self.outside, self.block = path, text, main, outside, block
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """(outside, main) as an element's attributes say."""
+def _marks(attributes: str, anchored: bool = False) -> tuple[bool, bool]:
+    """(outside, main) as an element's attributes say; an ``anchored`` one's id doesn't count."""
     outside = main = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -72,7 +74,7 @@ def _marks(attributes: str) -> tuple[bool, bool]:
             outside |= name == "hidden" or value == "true"
         elif name == "role" and value in MAIN:
             main = True
-        else:
+        elif name == "class" or name == "role" or name == "id" and not anchored:
             outside |= any(w in MARKS for w in _WORD.findall(value))
     return outside, main
 
@@ -128,7 +130,7 @@ def read_page(html: str) -> tuple[list[str], list[Run]]:
                 if stack[k][0] in _SCOPE:
                     break
         _, path, main, outside = stack[-1]
-        said_outside, said_main = _marks(attributes) if attributes else (False, False)
+        said_outside, said_main = _marks(attributes, main and name in _ANCHORED) if attributes else (False, False)
         is_main = main or name in MAIN or said_main
         # a header inside the article holds its title; other such elements are outside anywhere
         is_out = outside or (name in OUTSIDE and not (name == "header" and main)) or (said_outside and name not in ("html", "body", *MAIN))
