@@ -133,6 +133,17 @@ def test_template_of_a_host_without_article(spark):
     assert pages.extract(table.limit(0)).count() == 0
 
 
+def test_copies_are_no_template(spark):
+    def page(k):
+        return f"<body><div><p>Welcome</p></div><div><p>story {k}</p><p>part {k}</p></div><div><p>All rights</p></div></body>"
+
+    rows = [(1, "http://two/1", page(1)), (2, "http://two/2", page(1)), (3, "http://row/", page(3)), (3, "http://row/", page(3))]
+    rows += [(10 + k, f"http://many/{k}", page(7 if k < 7 else k)) for k in range(10)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == got[2] == "Welcome story 1 part 1 All rights" and got[3] == "Welcome story 3 part 3 All rights"
+    assert all(got[10 + k] == f"story {max(k, 7)} part {max(k, 7)}" for k in range(10))
+
+
 def test_pages_query(spark, small):
     rows = {r["page_id"]: r["html"] for r in pq.read_table(f"{small}/pages.parquet").to_pylist()}
     got = pages.op9_html_extraction(spark, small).collect()

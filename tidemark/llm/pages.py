@@ -10,7 +10,9 @@ lie in one slot is nested there. A text run that belongs to a class is template
 The main text is the data of the slots inside the article element (or ``main``, or an element of that role); there no
 text run is taken for template text, since a host may hold many copies of one article. Where a page has neither, it is
 the data of all slots but those made up of links, without the template text. Elements whose name, role, class or id says that they are no part of an article are left
-out anywhere; the ids of headings, paragraphs and sections inside the article don't count. A host with a single page has no vectors to compare: its page is one slot, read by its elements.
+out anywhere; the ids of headings, paragraphs and sections inside the article don't count. Copies of a page, told by the hash of its text (of its article, if it has one), count once in the vectors, so a
+page copied over and over is not taken for a template. A host of fewer than ``FEW`` distinct contents has no vectors to
+compare: a page of it is one slot, read by its elements.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
 one space. Null html is empty; a null url is the host ''; repeated rows are pages of their own with equal results; an
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, text_or_empty
+from tidemark.plans.blocks import settle
 
 #: Elements of HTML by kind; fixed values of the standard.
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes")
@@ -45,6 +48,8 @@ MARKS = frozenset(
 MAIN = frozenset(("article", "main"))
 #: The share of a host's pages a template token is on at least.
 SUPPORT = 0.6
+#: The distinct contents a host has at least, for a template to be told from them.
+FEW = 3
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -156,38 +161,54 @@ def host(url: str = "url") -> Column:
     return F.xxhash64(F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit(""))))
 
 
+def own_runs(runs: list[Run]) -> list[Run]:
+    """The runs of the article, or where a page has none all that are not outside."""
+    inside = [r for r in runs if r.main and not r.outside]
+    return inside if any(not r.text.isspace() for r in inside) else [r for r in runs if not r.outside]
+
+
+def content_hash(runs: list[Run]) -> int:
+    """Equal for copies of a page, whatever stands around their articles."""
+    return token_hash("\n".join(" ".join(r.text.split()) for r in own_runs(runs) if not r.text.isspace()))
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, page, token, n, place): how often each token is on each page, and where first."""
+    """(host, page, token, n, place): how often each token is on each page, and where first. Copies of a page, by
+    their content, are one page. Every page has the token 0 once."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html", 1 << 20):
-                hosts, ids, token, n, place = [], [], [], [], []
-                for h, page, text in zip(*(c.to_pylist() for c in part.columns)):
-                    tokens = read_page(text)[0]
+                ids, token, n, place = [], [], [], []
+                for text in part.column("html").to_pylist():
+                    tokens, runs = read_page(text)
                     first: dict[str, int] = {}
                     for k, t in enumerate(tokens):
                         first.setdefault(t, k)
-                    for t, k in Counter(tokens).items():
-                        hosts.append(h)
-                        ids.append(page)
-                        token.append(token_hash(t))
-                        n.append(k)
-                        place.append(first[t])
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (hosts, ids, token, n, place))], names=["host", "page", "token", "n", "place"])
+                    counts = Counter(tokens)
+                    ids.append(content_hash(runs))
+                    token.append([0, *map(token_hash, counts)])
+                    n.append([1, *counts.values()])
+                    place.append([-1, *(first[t] for t in counts)])
+                lists = [pa.array(x, pa.list_(k)) for x, k in ((token, pa.int64()), (n, pa.int32()), (place, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(ids, pa.int64()), *lists], names=["host", "page", "token", "n", "place"])
 
-    rows = pages.select(host().alias("host"), F.xxhash64("page_id", "url").alias("page"), text_or_empty("html").alias("html"))
-    return rows.mapInArrow(make, "host bigint, page bigint, token bigint, n bigint, place bigint")
+    rows = pages.select(host().alias("host"), text_or_empty("html").alias("html"))
+    read = rows.mapInArrow(make, "host bigint, page bigint, token array<bigint>, n array<int>, place array<int>")
+    once = read.groupBy("host", "page").agg(F.min(F.struct("token", "n", "place")).alias("all"))
+    return once.select("host", "page", F.inline(F.arrays_zip("all.token", "all.n", "all.place")))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, outer, nested): hashes of the tokens of the outer template in page order, and of the nested classes.
-    Hosts of one page have none."""
+    Hosts of fewer than ``FEW`` distinct contents have none."""
     mark = F.xxhash64("page", "n")
     vectors = occurrences(pages).groupBy("host", "token").agg(
         F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor(mark).alias("v1"), F.sum(F.pmod(mark, F.lit(1 << 40))).alias("v2"), F.avg("place").alias("place")
     )
-    size = pages.select(host().alias("host")).groupBy("host").agg(F.count("*").alias("of")).where("of > 1")
+    vectors = settle(vectors.where("pages > 1 OR token = 0"))
+    size = vectors.where("token = 0").select("host", F.col("pages").alias("of")).where(F.col("of") >= FEW)
+    vectors = vectors.where("token <> 0")
     often = vectors.join(size, "host").where(F.col("pages") >= F.greatest(F.lit(2.0), F.col("of") * SUPPORT))
     token = F.struct("place", "token")
     classes = often.groupBy("host", "v1", "v2", "pages", "total").agg(F.collect_set(token).alias("tokens")).where(F.size("tokens") > 1)
