@@ -133,6 +133,29 @@ def test_template_of_a_host_without_article(spark):
     assert pages.extract(table.limit(0)).count() == 0
 
 
+def test_template_inside_articles(spark):
+    def page(k):
+        return f"<body><article><h1>title {k}</h1><div><p>Read this with our app</p></div><p>story {k} about {k * k} and more</p><p>second part {k} of it all</p></article></body>"
+
+    def version(k):
+        return f"<body><article><h1>one long title</h1><p>always the same long story</p><p>version {k}</p></article></body>"
+
+    rows = [(k, f"http://one/{k}", page(k)) for k in range(5)] + [(10 + k, f"http://copies/{k}", version(k)) for k in range(5)]
+    rows += [(20 + k, f"http://same/{k}", page(9)) for k in range(5)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(5):
+        assert got[k] == f"title {k} story {k} about {k * k} and more second part {k} of it all"
+        assert got[10 + k] == f"one long title always the same long story version {k}"
+        assert got[20 + k] == "title 9 Read this with our app story 9 about 81 and more second part 9 of it all"
+
+
+def test_nested_classes_stand_in_one_slot():
+    a, b = 7, 8
+    assert pages.in_one_slot([1, a, b, a, b, 2], pages.slot_of([1, a, b, a, b, 2], [1, 2]), [[a, b]]) == {a, b}
+    assert pages.in_one_slot([1, a, b, 2, a, b], pages.slot_of([1, a, b, 2, a, b], [1, 2]), [[a, b]]) == set()
+    assert pages.in_one_slot([1, a, b, b, a, 2], pages.slot_of([1, a, b, b, a, 2], [1, 2]), [[a, b]]) == set()
+
+
 def test_copies_are_no_template(spark):
     def page(k):
         return f"<body><div><p>Welcome</p></div><div><p>story {k}</p><p>part {k}</p></div><div><p>All rights</p></div></body>"

@@ -7,9 +7,11 @@ any size is aggregated in parallel. A class is valid with two tokens at least. T
 the outer template; its tokens, in page order, divide a page into slots, and a valid class whose occurrences all
 lie in one slot is nested there. A text run that belongs to a class is template text; what is left is data.
 
-The main text is the data of the slots inside the article element (or ``main``, or an element of that role); there no
-text run is taken for template text, since a host may hold many copies of one article. Where a page has neither, it is
-the data of all slots but those made up of links, without the template text. Elements whose name, role, class or id says that they are no part of an article are left
+The main text is the data of the slots inside the article element (or ``main``, or an element of that role). Template
+text inside the article is left out too, unless it is the larger part of the article: then the host holds many versions
+of one article, and all of it stays. Where a page has neither element, the main text is the data of all slots but those
+made up of links, without the template text. A nested class counts on the pages where its tokens stand in one slot, in
+the same order each time. Elements whose name, role, class or id says that they are no part of an article are left
 out anywhere; the ids of headings, paragraphs and sections inside the article don't count. Copies of a page, told by the hash of its text (of its article, if it has one), count once in the vectors, so a
 page copied over and over is not taken for a template. A host of fewer than ``FEW`` distinct contents has no vectors to
 compare: a page of it is one slot, read by its elements.
@@ -200,7 +202,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, outer, nested): hashes of the tokens of the outer template in page order, and of the nested classes.
+    """(host, outer, nested): hashes of the tokens of the outer template in page order, and of every nested class in order.
     Hosts of fewer than ``FEW`` distinct contents have none."""
     mark = F.xxhash64("page", "n")
     vectors = occurrences(pages).groupBy("host", "token").agg(
@@ -215,7 +217,7 @@ def templates(pages: DataFrame) -> DataFrame:
     once = F.col("pages") == F.col("total")
     return classes.groupBy("host").agg(
         F.array_sort(F.flatten(F.collect_list(F.when(once, F.col("tokens"))))).getField("token").alias("outer"),
-        F.flatten(F.collect_list(F.when(~once, F.col("tokens")))).getField("token").alias("nested"),
+        F.transform(F.collect_list(F.when(~once, F.array_sort("tokens"))), lambda c: c.getField("token")).alias("nested"),
     )
 
 
@@ -231,13 +233,32 @@ def slot_of(tokens: list[int], outer: list[int]) -> dict[int, int]:
     return slots
 
 
-def data_runs(tokens: list[str], runs: list[Run], outer: list[int], nested: list[int]) -> list[Run]:
+def in_one_slot(hashes: list[int], slots: dict[int, int], nested: list[list[int]]) -> set[int]:
+    """The tokens of the nested classes whose occurrences on a page stand in one slot, in order again and again."""
+    of = {t: k for k, c in enumerate(nested) for t in c}
+    seen: dict[int, list[int]] = {}
+    for place, t in enumerate(hashes):
+        if t in of:
+            seen.setdefault(of[t], []).append(place)
+    valid: set[int] = set()
+    for k, places in seen.items():
+        found = [hashes[p] for p in places]
+        ranks, start = {t: r for r, t in enumerate(dict.fromkeys(found))}, len(set(found))
+        repeats = all(ranks[t] == j % start for j, t in enumerate(found))
+        if repeats and len({slots[p] for p in places}) == 1:
+            valid.update(nested[k])
+    return valid
+
+
+def data_runs(tokens: list[str], runs: list[Run], outer: list[int], nested: list[list[int]]) -> list[Run]:
     """The runs that hold the main text: those in the article's slots, or else what the template leaves."""
+    hashes = [token_hash(t) for t in tokens] if outer or nested else [0] * len(tokens)
+    slots = slot_of(hashes, outer)
+    fixed = {*outer, *in_one_slot(hashes, slots, nested)}
     inside = [r for r in runs if r.main and not r.outside]
     if any(not r.text.isspace() for r in inside):
-        return inside
-    fixed = {*outer, *nested}
-    slots = slot_of([token_hash(t) for t in tokens], outer)
+        data = [r for r in inside if r.text.isspace() or token_hash(f"{r.path}\t{r.text}") not in fixed] if fixed else inside
+        return data if 2 * sum(len(r.text.strip()) for r in data) >= sum(len(r.text.strip()) for r in inside) else inside
     place = {t: k for k, t in reversed(list(enumerate(tokens)))}
     left, sizes, links = [], Counter(), Counter()
     for r in runs:
@@ -250,7 +271,7 @@ def data_runs(tokens: list[str], runs: list[Run], outer: list[int], nested: list
     return [r for slot, r in left if 2 * links[slot] <= sizes[slot]]
 
 
-def main_text(html: str, outer: list[int] | None = None, nested: list[int] | None = None) -> str:
+def main_text(html: str, outer: list[int] | None = None, nested: list[list[int]] | None = None) -> str:
     """The main text of a page, given its host's template."""
     chosen = data_runs(*read_page(html), outer or [], nested or [])
     blocks: list[str] = []
