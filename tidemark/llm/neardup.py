@@ -1,7 +1,7 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is the set of its distinct two-word shingles (bytes A-Z lower-cased, words between ASCII white space; a
-document of one word is that word, one without words is empty and linked with nothing). Documents with equal sets
+A document is the set of its distinct shingles of ``WIDTH`` words, or as many as are asked for (bytes A-Z lower-cased, words
+between ASCII white space; a document of fewer words is one shingle, one without words is empty and linked with nothing). Documents with equal sets
 form a class, and classes are represented by their smallest doc_id. Links are pairs of classes whose sets have
 100 * intersection >= 80 * union.
 
@@ -41,6 +41,7 @@ ROWS_A_PART = 50_000
 ALIKE = 82
 TILE, PIVOTS = 1024, 8
 SHARE, OF = 80, 100
+WIDTH = 2
 
 #: (values, what is connected already, which to compare) -> links between the values' places.
 Confirm = Callable[[list, np.ndarray, np.ndarray], list[tuple[int, int]]]
@@ -53,16 +54,23 @@ _PICKS = mix(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64))
 _SLOPE, _SHIFT = (_PICKS[:SKETCH] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_PICKS[SKETCH:] >> np.uint64(32)).astype(np.uint32)
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, offsets = byte_runs(texts)
     hashes, first = word_hashes(data, offsets, _LOWER)
-    pairs = mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    step = np.uint64(0x9E3779B97F4A7C15)
+    runs = hashes[: max(0, len(hashes) - width + 1)].copy()
+    for k in range(1, width):
+        runs = runs * step + hashes[k : k + len(runs)]
+    runs = mix(runs)
     for a, b in zip(first, first[1:]):
-        if b - a > 1:
-            yield np.unique(pairs[a : b - 1])
+        if b - a >= width:
+            yield np.unique(runs[a : b - width + 1])
         else:
-            yield mix(hashes[a:b] ^ np.uint64(0xD6E8FEB86659FD93))
+            own = hashes[a : a + (b > a)].copy()
+            for k in range(a + 1, b):
+                own = own * step + hashes[k]
+            yield mix(own ^ np.uint64(0xD6E8FEB86659FD93))
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -81,13 +89,13 @@ def _each(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], pa
             yield make(part)
 
 
-def summaries(documents: DataFrame) -> DataFrame:
+def summaries(documents: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, sketch): size, digest and sketch of every set. The sketch has 16 bits of each
     minwise token, first the low bytes of all, then the high ones."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         sizes, digests, sketches = [], [], []
-        for s in shingle_sets(part.column("text")):
+        for s in shingle_sets(part.column("text"), width):
             sizes.append(len(s))
             digests.append((int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0, int(s.sum(dtype=np.uint64))))
             sketches.append(sketch(s))
@@ -293,11 +301,11 @@ def confirmed_links(groups: DataFrame, payload: Callable[[DataFrame], DataFrame]
     return found.unionByName(linked(inner.unionByName(outer)))
 
 
-def links(documents: DataFrame, groups: DataFrame) -> DataFrame:
+def links(documents: DataFrame, groups: DataFrame, width: int) -> DataFrame:
     """Confirmed links (a, b) between classes, on their full sets."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())
+        sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())
         return pa.RecordBatch.from_arrays([*part.columns[:-1], sets], names=[*part.schema.names[:-1], "tokens"])
 
     def with_sets(chosen: DataFrame) -> DataFrame:
@@ -308,11 +316,12 @@ def links(documents: DataFrame, groups: DataFrame) -> DataFrame:
     return confirmed_links(groups, with_sets, lambda tokens, parts, probes: confirm([np.frombuffer(t, np.uint64) for t in tokens], parts, probes))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of ``documents(doc_id, text)``, a row for each row."""
+def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of ``documents(doc_id, text)``, a row for each row; by shingles of
+    ``width`` words."""
     spark = documents.sparkSession
     path = shared_dir(spark, "sketches")
-    summaries(documents).write.parquet(path)
+    summaries(documents, width).write.parquet(path)
     base = spark.read.parquet(path)
     digest = ["d1", "d2", "n_shingles"]
     rep = base.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("id"))
@@ -320,7 +329,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     base.join(rep, digest).where("doc_id = id").select("id", "sketch").write.parquet(path)
     classes = spark.read.parquet(path)
     groups = settle(components(candidates(classes)))
-    linked = components(links(documents, groups)).withColumnRenamed("node", "id")
+    linked = components(links(documents, groups, width)).withColumnRenamed("node", "id")
     members = rep.join(linked, "id", "left").select(*digest, F.coalesce("component", "id").alias("component_id"))
     out = base.select("doc_id", *digest).join(members, digest, "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
