@@ -13,8 +13,10 @@ from tidemark.llm.fingerprints import op1_fingerprints
 from tidemark.llm.language import op6_language_id
 from tidemark.llm.lines import op2_line_dedup
 from tidemark.llm.neardup import op10_minhash_near_dedup
+from tidemark.llm.negatives import OP11_SQL, op11_hard_negatives
 from tidemark.llm.packing import op5_best_fit_packing
 from tidemark.llm.pages import op9_html_extraction
+from tidemark.llm.shards import op13_shards
 from tidemark.llm.vectors import OP7_SQL, op7_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_html_extraction": op9_html_extraction,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_shards": op13_shards,
 }
 
-ORACLES: dict[str, str] = {"op4_chat_format": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op4_chat_format": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL, "op11_hard_negatives": OP11_SQL}
