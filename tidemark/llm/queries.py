@@ -16,6 +16,7 @@ from tidemark.llm.neardup import op10_minhash_near_dedup
 from tidemark.llm.negatives import OP11_SQL, op11_hard_negatives
 from tidemark.llm.packing import op5_best_fit_packing
 from tidemark.llm.pages import op9_html_extraction
+from tidemark.llm.phrases import OP12_SQL, op12_collocations
 from tidemark.llm.shards import op13_shards
 from tidemark.llm.vectors import OP7_SQL, op7_embedding_near_dedup
 
@@ -31,7 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
     "op13_shards": op13_shards,
 }
 
-ORACLES: dict[str, str] = {"op4_chat_format": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL, "op11_hard_negatives": OP11_SQL}
+ORACLES: dict[str, str] = {"op4_chat_format": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_collocations": OP12_SQL}
