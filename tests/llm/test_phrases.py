@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm.automata import CountAutomaton
-from tidemark.llm.phrases import Words, collocations, gram_codes, op12_collocations
+from tidemark.llm.phrases import Words, collocations, op12_collocations
 
 KEYS = st.dictionaries(st.lists(st.binary(max_size=2), min_size=1, max_size=4).map(tuple), st.integers(1, 5), max_size=30)
 
@@ -35,12 +35,11 @@ def test_automaton_is_minimal():
         CountAutomaton.build([((b"b",), 1), ((b"a",), 1)][::-1][:1] * 2)
 
 
-def test_hashes_of_grams_agree():
+def test_grams_stay_within_pieces():
     words = Words(pa.array(["A b\tc. a  b c", "", "b c\nd"]), ["en", "en", "de"])
-    at, code = words.grams(2, [])
-    keys = [words.key(k, 2) for k in at.tolist()]
-    assert keys == [(b"en", b"a", b"b"), (b"en", b"b", b"c"), (b"en", b"a", b"b"), (b"en", b"b", b"c"), (b"de", b"b", b"c")]
-    assert (gram_codes(keys) == code).all() and len(np.unique(code)) == 3
+    (_, _), (at, code) = words.grams(2, [])
+    assert [words.key(k, 2) for k in at.tolist()] == [(b"en", b"a", b"b"), (b"en", b"b", b"c"), (b"en", b"a", b"b"), (b"en", b"b", b"c"), (b"de", b"b", b"c")]
+    assert code[0] == code[2] and code[1] == code[3] and len(np.unique(code)) == 3
 
 
 def brute(rows, least, longest, top):

@@ -3,13 +3,14 @@
 Texts are lower-cased (A-Z only), split at ``[.,;:!?]`` and line ends into pieces and those at spaces and tabs into words. All
 counts are of one language; a null language is ``und``, a null text is empty.
 
-Counting goes by the number of words. Each task turns its texts' n-grams into a sorted list and that into a count
-transducer, cut by prefix range (a hash of the key up to the second byte of its last word, so that no common word is a
-range of its own); the transducers of a range are united, adding up counts, and pruned to those of at least ``least``. An
-n-gram can't be more frequent than the two shorter ones in it, so only n-grams whose two parts were frequent are counted
-on the next level. Which were is told by a table of hash bits of a fixed greatest size; a false hit costs time, never a
-wrong result. Counts of parts are looked up by composing the acceptor of the parts asked for in a range with its
-transducers. N-grams of one task are told apart by 64-bit hashes, those of different tasks by their words.
+An n-gram can't be more frequent than the two shorter ones in it, so n-grams are sifted by the number of words: those
+whose parts were frequent are counted by hash (sorted arrays, exchanged by hash range), and those of at least ``least`` are
+told to the next round by a table of hash bits of a fixed greatest size. A false hit costs time, never a wrong result.
+Then each task turns the n-grams that passed into a sorted list with counts and that into a count transducer, cut by
+prefix range (a hash of the key up to the second byte of its last word, so that no common word is a range of its own).
+The transducers of a range are united, adding up counts, and pruned to those of at least ``least``. Counts of parts are
+looked up by composing the acceptor of the parts asked for in a range with its transducer. N-grams of one task are told
+apart by 64-bit hashes, those of different tasks by their words.
 
 A candidate is scored by its worst cut. It is dropped if a longer candidate that contains it is as frequent; then one that
 is a word longer is, too, so its two longest parts are compared. Arithmetic is exact (whole numbers and decimals of 38
@@ -34,7 +35,7 @@ from tidemark.llm.words import byte_runs, mix, word_hashes
 from tidemark.plans.blocks import shared_dir
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-RANGE_BYTES, HELD, UNITE_BYTES = 16 << 20, 400_000, 16 << 20
+RANGE_BYTES, HELD, GRAMS, UNITE_BYTES = 16 << 20, 4_000_000, 400_000, 16 << 20
 #: Bits of the table of frequent n-grams, at most 32 MB.
 MOST_BITS = 28
 SALTS = 32
@@ -70,23 +71,29 @@ class Words:
         piece = np.cumsum(_BREAKS[raw])[self.first] if len(raw) else np.zeros(0, np.int64)
         self.joined = (self.text[1:] == self.text[:-1]) & (piece[1:] == piece[:-1])
         self.langs, self.salt = langs, language_salts(langs)
-        low = np.arange(256, dtype=np.uint8)
-        low[65:91] += 32
-        self.bytes = low[raw].tobytes()
+        self._raw, self._bytes = raw, None
 
-    def grams(self, n: int, frequent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The first words and the hashes of the n-grams whose parts are all frequent."""
+    def grams(self, n: int, frequent: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1 to n words the first words and the hashes of the n-grams; those that aren't frequent are left out, with
+        all longer ones around them, where a table is given."""
         at = np.arange(len(self.hash))
         code = mix(self.hash ^ self.salt[self.text]) if len(at) else self.hash
-        for size in range(2, n + 1):
-            good = known(frequent[size - 2], code) if size - 2 < len(frequent) else np.ones(len(at), bool)
-            pair = np.flatnonzero(good[:-1] & good[1:] & (at[1:] == at[:-1] + 1) & self.joined[at[:-1]]) if len(at) > 1 else np.zeros(0, np.int64)
-            # the pair's two parts overlap in all but their outer words, so what joins them joins the whole
-            at, code = at[pair], mix(code[pair] * _STEP + self.hash[at[pair] + size - 1])
-        return at, code
+        for size in range(1, n + 1):
+            if size > 1:
+                # the two parts overlap in all but their outer words, so what joins their first words joins the whole
+                pair = np.flatnonzero((at[1:] == at[:-1] + 1) & self.joined[at[:-1]]) if len(at) > 1 else np.zeros(0, np.int64)
+                at, code = at[pair], mix(code[pair] * _STEP + self.hash[at[pair] + size - 1])
+            if size <= len(frequent):
+                good = np.flatnonzero(known(frequent[size - 1], code))
+                at, code = at[good], code[good]
+            yield at, code
 
     def key(self, at: int, n: int) -> Key:
-        text = self.bytes
+        if self._bytes is None:
+            low = np.arange(256, dtype=np.uint8)
+            low[65:91] += 32
+            self._bytes = low[self._raw].tobytes()
+        text = self._bytes
         return (self.langs[self.text[at]].encode(), *[text[a:b] for a, b in zip(self.first[at : at + n].tolist(), self.last[at : at + n].tolist())])
 
 
@@ -100,131 +107,186 @@ def prefix_range(key: Key, ranges: int) -> int:
     return zlib.crc32(b"\n".join((*key[:-1], key[-1][:2]))) % ranges
 
 
-def cut_by_range(counted: dict[Key, int], ranges: int) -> Iterator[tuple[int, bytes]]:
+def cut_by_range(counted: dict[Key, int], ranges: int) -> Iterator[tuple[int, bytes, None]]:
     parts: dict[int, list[tuple[Key, int]]] = {}
     for item in counted.items():
         parts.setdefault(prefix_range(item[0], ranges), []).append(item)
     for r, items in parts.items():
-        yield r, CountAutomaton.build(sorted(items)).to_bytes()
+        yield r, CountAutomaton.build(sorted(items)).to_bytes(), None
 
 
-def shard_counts(n: int, ranges: int, tables: list[Broadcast]):
-    """Texts -> count transducers of their n-grams, by prefix range."""
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes with the sums of their counts."""
+    codes, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+
+
+def sift_shards(n: int, ranges: int, tables: list[Broadcast]):
+    """Texts -> hashes and counts of their n-grams whose parts are frequent, by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = [t.value for t in tables]
-        held: dict[int, list] = {}
+        borders = np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def emit() -> pa.RecordBatch:
-            found = list(cut_by_range({key: count for key, count in held.values()}, ranges))
+            codes, counts = _added(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["range", "counts"])
+            cut = np.concatenate([[0], np.searchsorted(codes, borders), [len(codes)]])
+            some = np.flatnonzero(np.diff(cut))
+            both = [pa.array([x[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary()) for x in (codes, counts)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *both], names=["range", "codes", "counts"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(part.column("text"), part.column("lang").to_pylist())
-                at, code = words.grams(n, frequent)
-                codes, where, counts = np.unique(code, return_index=True, return_counts=True)
-                for c, k, m in zip(codes.tolist(), at[where].tolist(), counts.tolist()):
-                    if c in held:
-                        held[c][1] += m
-                    else:
-                        held[c] = [words.key(k, n), m]
-                if len(held) > HELD:
-                    yield emit()
+                *_, (_, code) = Words(part.column("text"), part.column("lang").to_pylist()).grams(n, frequent)
+                code = np.sort(code)
+                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+                held.append((code[first], np.diff(first, append=len(code))))
+                if sum(len(c) for c, _ in held) > HELD:
+                    held[:] = [_added(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield emit()
         if held:
             yield emit()
 
     return run
 
 
-def unite(least: int):
-    """Transducers sorted by range -> one of each range, pruned; with the total count of each language in it."""
+def frequent_codes(least: int):
+    """Hashes and counts sorted by range -> the hashes that are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, size = None, [], 0
+        now, held = None, []
 
         def done() -> pa.RecordBatch:
-            whole = CountAutomaton.union(parts)
-            total: dict[str, int] = {}
-            for key, count in whole:
-                lang = key[0].decode()
-                total[lang] = total.get(lang, 0) + count
-            kept = CountAutomaton.build((k, n) for k, n in whole if n >= least)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([kept.to_bytes()], pa.binary()), pa.array([list(total.items())], pa.map_(pa.string(), pa.int64()))], names=["range", "counts", "total"]
-            )
+            codes, counts = _added(held)
+            return pa.RecordBatch.from_arrays([pa.array(codes[counts >= least].view(np.int64))], names=["code"])
 
         for batch in batches:
-            for r, raw in zip(batch.column("range").to_pylist(), batch.column("counts").to_pylist()):
+            for r, codes, counts in zip(*(batch.column(c).to_pylist() for c in ("range", "codes", "counts"))):
                 if r != now:
-                    if parts:
+                    if held:
                         yield done()
-                    now, parts, size = r, [], 0
-                parts.append(CountAutomaton.from_bytes(raw))
-                size += len(raw)
-                if size > UNITE_BYTES and len(parts) > 1:
-                    parts, size = [CountAutomaton.union(parts)], 0
-        if parts:
+                    now, held = r, []
+                held.append((np.frombuffer(codes, np.uint64), np.frombuffer(counts, np.int64)))
+                if sum(len(c) for c, _ in held) > 2 * HELD and len(held) > 1:
+                    held = [_added(held)]
+        if held:
             yield done()
 
     return run
 
 
-def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[Key, int]]:
-    for raw in batch.column("counts").to_pylist():
-        yield from CountAutomaton.from_bytes(raw)
+def frequent_table(codes: DataFrame, n: int) -> np.ndarray:
+    """Hash bits of ``n`` n-grams: the bytes of a table of 2**bits bits, a hash's place being its leading bits."""
+    bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
+    table = np.zeros(1 << (bits - 6), np.int64)
+    at = F.shiftrightunsigned("code", 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(code, {64 - bits}) & 63 AS int))")
+    cells = codes.groupBy(F.shiftright(at, 6).alias("cell")).agg(F.bit_or(bit).alias("bits"))
+    for batch in cells.toArrow().to_batches():
+        table[batch.column("cell").to_numpy()] = batch.column("bits").to_numpy()
+    return table.view(np.uint8)
 
 
-def gram_codes(keys: list[Key]) -> np.ndarray:
-    """The hashes of n-grams, as ``Words.grams`` gives them."""
-    texts = pa.array([b" ".join(k[1:]).decode() for k in keys], pa.string())
-    words = Words(texts, [k[0].decode() for k in keys])
-    if not keys:
-        return words.hash
-    at, code = words.grams(len(keys[0]) - 1, [])
-    return code
+def shard_counts(ranges: int, tables: list[Broadcast]):
+    """Texts -> count transducers of their frequent n-grams, by prefix range, and the words of each language."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = [t.value for t in tables]
+        held: list[dict[int, list]] = [{} for _ in frequent]
+        total: dict[str, int] = {}
 
-def frequent_table(level: DataFrame) -> tuple[np.ndarray, int]:
-    """Hash bits of the n-grams of a level, and how many n-grams there are."""
+        def emit() -> pa.RecordBatch:
+            found = list(cut_by_range({key: count for level in held for key, count in level.values()}, ranges))
+            found += [(zlib.crc32(lang.encode()) % ranges, None, [(lang, n)]) for lang, n in total.items()]
+            total.clear()
+            for level in held:
+                level.clear()
+            columns = zip(*found) if found else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), _TOTAL))], names=["range", "counts", "total"])
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code = gram_codes([k for k, _ in keys_of(batch)])
-            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64))], names=["code"])
+            for part in slices(batch, "text"):
+                langs = part.column("lang").to_pylist()
+                words = Words(part.column("text"), langs)
+                for text, n in enumerate(np.bincount(words.text, minlength=len(langs)).tolist()):
+                    total[langs[text]] = total.get(langs[text], 0) + n
+                for size, (at, code) in enumerate(words.grams(len(frequent), frequent), 1):
+                    level = held[size - 1]
+                    codes, where, counts = np.unique(code, return_index=True, return_counts=True)
+                    for c, k, m in zip(codes.tolist(), at[where].tolist(), counts.tolist()):
+                        if c in level:
+                            level[c][1] += m
+                        else:
+                            level[c] = [words.key(k, size), m]
+                if sum(map(len, held)) > GRAMS:
+                    yield emit()
+        yield emit()
+
+    return run
+
+
+_TOTAL = pa.map_(pa.string(), pa.int64())
 
-    found = level.select("counts").mapInArrow(codes, "code bigint")
-    n = found.count()
-    bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
-    table = np.zeros(1 << (bits - 6), np.int64)
-    at = F.shiftrightunsigned("code", 64 - bits)
-    cells = found.groupBy(F.shiftright(at, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(code, {64 - bits}) & 63 AS int))")).alias("bits"))
-    for batch in cells.toArrow().to_batches():
-        table[batch.column("cell").to_numpy()] = batch.column("bits").to_numpy()
-    return table.view(np.uint8), n
 
+def unite(least: int):
+    """Transducers sorted by range -> one of each range, pruned; totals are added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, size, total = None, [], 0, {}
 
-def count_levels(documents: DataFrame, least: int, longest: int) -> tuple[list[DataFrame], int]:
-    """The count transducers of each number of words: (range, counts, total), and the number of ranges."""
+        def done() -> pa.RecordBatch:
+            kept = CountAutomaton.union(parts, least).to_bytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([kept], pa.binary()), pa.array([list(total.items())], _TOTAL)], names=["range", "counts", "total"])
+
+        for batch in batches:
+            for r, raw, told in zip(*(batch.column(c).to_pylist() for c in ("range", "counts", "total"))):
+                if r != now:
+                    if now is not None:
+                        yield done()
+                    now, parts, size, total = r, [], 0, {}
+                for lang, n in told or []:
+                    total[lang] = total.get(lang, 0) + n
+                if raw is not None:
+                    parts.append(CountAutomaton.from_bytes(raw))
+                    size += len(raw)
+                if size > UNITE_BYTES and len(parts) > 1:
+                    parts, size = [CountAutomaton.union(parts)], 0
+        if now is not None:
+            yield done()
+
+    return run
+
+
+def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[Key, int]]:
+    for raw in batch.column("counts").to_pylist():
+        yield from CountAutomaton.from_bytes(raw)
+
+
+def count_phrases(documents: DataFrame, least: int, longest: int) -> tuple[DataFrame, int]:
+    """The count transducers of all frequent phrases, (range, counts, total), and the number of ranges."""
     spark = documents.sparkSession
     texts = documents.select(text_or_empty("text").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     ranges = max(8, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
-    levels: list[DataFrame] = []
     tables: list[Broadcast] = []
     for n in range(1, longest + 1):
-        shards = texts.mapInArrow(shard_counts(n, ranges, tables), "range int, counts binary")
-        united = shards.repartition("range").sortWithinPartitions("range").mapInArrow(unite(least), "range int, counts binary, total map<string,bigint>")
-        path = shared_dir(spark, f"counts-{n}")
-        united.write.parquet(path)
-        levels.append(spark.read.parquet(path))
-        if n == longest:
-            break
-        table, found = frequent_table(levels[-1])
+        sifted = texts.mapInArrow(sift_shards(n, ranges, tables), "range int, codes binary, counts binary")
+        path = shared_dir(spark, f"frequent-{n}")
+        sifted.repartition("range").sortWithinPartitions("range").mapInArrow(frequent_codes(least), "code bigint").write.parquet(path)
+        codes = spark.read.parquet(path)
+        found = codes.count()
         if not found:
             break
-        tables.append(spark.sparkContext.broadcast(table))
-    return levels, ranges
+        tables.append(spark.sparkContext.broadcast(frequent_table(codes, found)))
+    shards = texts.mapInArrow(shard_counts(ranges, tables), "range int, counts binary, total map<string,bigint>")
+    path = shared_dir(spark, "counts")
+    shards.repartition("range").sortWithinPartitions("range").mapInArrow(unite(least), "range int, counts binary, total map<string,bigint>").write.parquet(path)
+    return spark.read.parquet(path), ranges
 
 
 def cuts(ranges: int):
@@ -272,16 +334,10 @@ def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of ``documents(text, lang)``: the ``top`` phrases of each language."""
     spark = documents.sparkSession
-    levels, ranges = count_levels(documents, least, longest)
-    table = levels[0]
-    for level in levels[1:]:
-        table = table.unionByName(level)
-    totals = levels[0].select(F.explode("total").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    table, ranges = count_phrases(documents, least, longest)
+    totals = table.select(F.explode("total").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"))
     path = shared_dir(spark, "cuts")
-    longer = table.where("false") if len(levels) == 1 else levels[1]
-    for level in levels[2:]:
-        longer = longer.unionByName(level)
-    longer.select("counts").mapInArrow(cuts(ranges), "lang string, phrase string, a bigint, words int, k int, first string, rest string, first_range int, rest_range int").write.parquet(path)
+    table.select("counts").mapInArrow(cuts(ranges), "lang string, phrase string, a bigint, words int, k int, first string, rest string, first_range int, rest_range int").write.parquet(path)
     cut = spark.read.parquet(path)
 
     parts = cut.select(F.inline(F.array(F.struct(F.col("first_range").alias("range"), "lang", F.col("first").alias("part")), F.struct(F.col("rest_range").alias("range"), "lang", F.col("rest").alias("part"))))).distinct()
