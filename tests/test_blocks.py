@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as ind
-from tidemark.plans.blocks import BLOCK, DAY, HOUR, SECOND, Axis, asof, latest_by, rolling, scan, settle, shift, trailing, with_blocks
+from tidemark.plans.blocks import BLOCK, DAY, HOUR, SECOND, Axis, asof, fade, latest_by, rolling, scan, settle, shift, trailing, with_blocks
 
 
 def skewed(spark, n=900, seed=7):
@@ -138,3 +138,20 @@ def test_ema_is_exact_across_blocks(spark, n):
 
 def test_step_units():
     assert SECOND * 3600 == HOUR
+
+
+@pytest.mark.parametrize("ax, kind", [(AXES[3], "mixed"), (AXES[0], "slow"), (AXES[1], "fast")])
+def test_fade_equals_recursion(spark, ax, kind):
+    """Resets, rows that keep everything, and falls far beyond what one power can hold."""
+    df = skewed(spark, 700).withColumn("h", F.pmod(F.xxhash64("seq"), F.lit(100)))
+    h = F.col("h")
+    keep = {"mixed": F.when(h < 3, 0.0).when(h < 50, 1.0).when(h < 60, None).otherwise(h / 100), "slow": F.lit(0.999), "fast": F.when(h < 50, 1e-150).otherwise(0.3)}[kind]
+    df = df.withColumn("k", keep.cast("double"))
+    got = fade(df, ax, {"y": (F.col("k"), F.col("x")), "z": (F.lit(0.5), F.col("x"))}).orderBy("asset", "ts", "seq").collect()
+    assert got[0].asDict().keys() == {*df.columns, "y", "z"} and len(got) == 700
+    last, y, z = None, 0.0, 0.0
+    for r in got:
+        if r.asset != last:
+            last, y, z = r.asset, 0.0, 0.0
+        y, z = (1.0 if r.k is None else r.k) * y + (r.x or 0.0), 0.5 * z + (r.x or 0.0)
+        assert r.y == pytest.approx(y, rel=1e-11) and r.z == pytest.approx(z, rel=1e-11)

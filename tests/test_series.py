@@ -164,7 +164,9 @@ def test_futures_closed(spark):
     assert [r[0] for r in t.select(times.futures_closed(F.col("ts"))).collect()] == [False, True, True, False, True]
 
 
-def test_recurrences_pass_over_nulls(spark):
+@pytest.mark.parametrize("every", [5, 40])
+def test_recurrences_pass_over_nulls(spark, every):
+    """Every fifth value missing, or all but every fortieth of a long series."""
     import math
     import random
 
@@ -172,7 +174,8 @@ def test_recurrences_pass_over_nulls(spark):
 
     rnd = random.Random(4)
     t0 = dt.datetime(2024, 1, 1)
-    closes = [None if k % 5 == 3 or k in (0, 7) else 100 + 10 * rnd.random() for k in range(400)]
+    gone = (lambda k: k % 5 == 3 or k in (0, 7)) if every == 5 else (lambda k: k % 40)
+    closes = [None if gone(k) else 100 + 10 * rnd.random() for k in range(400 if every == 5 else 9000)]
     rows = [("A", t0 + dt.timedelta(hours=k), c, None if c is None else c + 2, None if c is None else c - 3) for k, c in enumerate(closes)]
     bars = spark.createDataFrame(rows, "asset string, ts timestamp, close double, high double, low double")
 

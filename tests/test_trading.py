@@ -309,3 +309,33 @@ def test_rebalance_buys_equal_the_loop(spark):
                 left -= q * limit
                 want[(account, r.asset)] = float(q)
     assert got == want and len(want) > 10
+
+
+def test_average_prices_through_flips(spark):
+    """Adds, partial closes, exact closes and flips, also with one row a block."""
+    import random
+
+    from tidemark.operators import ledger
+    from tidemark.plans.blocks import HOUR, Axis
+
+    rnd, t0 = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = [(a, t0 + dt.timedelta(hours=k // 2), k, rnd.choice(("buy", "sell")), float(rnd.choice((1, 2, 2.5, 5, 9))), 100 + 10 * rnd.random()) for a in (1, 2) for k in range(120)]
+    fills = spark.createDataFrame(rows, "account int, ts timestamp, n long, side string, quantity double, price double")
+    want = {}
+    for a in (1, 2):
+        q, avg = 0.0, None
+        for _, _, k, side, size, price in [r for r in rows if r[0] == a]:
+            d = size if side == "buy" else -size
+            if q * d >= 0:
+                avg = (abs(q) * (avg or 0) + abs(d) * price) / abs(q + d)
+            elif abs(d) > abs(q):
+                avg = price
+            q += d
+            want[a, k] = (q, avg if q else None)
+    for width in (HOUR, 24 * HOUR, 999 * HOUR):
+        got = ledger.average_prices(fills, Axis(("account",), "ts", ("n",), width=width, measured=False)).filter("final").collect()
+        assert len(got) == len(want)
+        for r in got:
+            q, avg = want[r.account, r.n]
+            assert float(r.position) == q and (r.average_price is None) == (avg is None)
+            assert avg is None or abs(r.average_price - avg) < 1e-9

@@ -6,8 +6,8 @@ evaluates many studies in one pass over number-balanced blocks (see ``plans.bloc
 Exponential averages y[t] = (1-a)*y[t-1] + a*x[t] are sums of x weighted by powers of d = 1-a, so a running
 window sum inside a block gives them without Python. A row older than ``halo`` rows weighs less than 1e-36
 of the newest one, which is below double precision, so the copied halo rows make every block exact. The
-seed is the simple average of the first n values. Nulls are no inputs: they are passed over, and their rows
-repeat the last result.
+seed is the simple average of the first n values. Nulls are no inputs: rows without one are set aside, so that blocks
+and halos consist of inputs however many rows are null, and get the last result afterwards.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ class Study:
     halo: int
     stages: tuple[Stage, ...]
     room: float = field(default=math.inf)  # most rows a block may have
+    inputs: tuple[str, ...] = ()  # rows without a value in one of these are passed over
+    previous: tuple[str, ...] = ()  # columns whose last value is wanted as ``_before_<column>``
 
 
 def _rows(w: Window, n: int) -> Window:
@@ -49,11 +51,8 @@ def _decay(alpha: float) -> tuple[int, float]:
 
 
 def _smooth(out: str, src: Callable[[], Column], n: int, alpha: float) -> tuple[Stage, Stage]:
-    """Two stages: the weighted input with its seed, then the running sum.
-
-    Only values that are not null are inputs and are counted; the n-th one has the first result, and a row without
-    an input has the last result again. Counting begins anew in each block, which holds the start of its series or
-    ``halo`` rows in front; ``halo`` leaves room for every second row being null.
+    """Two stages: the weighted input with its seed, then the running sum. Counting begins anew in each block, which
+    holds the start of its series or ``halo`` inputs in front.
     """
     d = 1 - alpha
     count = f"_n_{out}"
@@ -73,11 +72,6 @@ def _smooth(out: str, src: Callable[[], Column], n: int, alpha: float) -> tuple[
     return feed, total
 
 
-def _before(src: str, w: Window) -> Column:
-    """The last value before this row that is not null."""
-    return F.last(src, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-
-
 def sma(n: int, src: str = "close", name: str | None = None) -> Study:
     out = name or f"sma_{n}"
     return Study((out,), n - 1, (lambda w, rn: {out: _full(rn, n, F.avg(src).over(_rows(w, n)))},))
@@ -86,7 +80,7 @@ def sma(n: int, src: str = "close", name: str | None = None) -> Study:
 def ema(n: int, src: str = "close", name: str | None = None) -> Study:
     out, alpha = name or f"ema_{n}", 2 / (n + 1)
     halo, room = _decay(alpha)
-    return Study((out,), halo + n, _smooth(out, lambda: F.col(src), n, alpha), room)
+    return Study((out,), halo + n, _smooth(out, lambda: F.col(src), n, alpha), room, (src,))
 
 
 def rsi(n: int = 14, src: str = "close") -> Study:
@@ -94,7 +88,7 @@ def rsi(n: int = 14, src: str = "close") -> Study:
     halo, room = _decay(alpha)
 
     def moves(w, rn):
-        step = F.col(src) - _before(src, w)
+        step = F.col(src) - F.col(f"_before_{src}")
         return {f"_up_{out}": F.when(step >= 0, step).when(step < 0, 0.0), f"_dn_{out}": F.when(step <= 0, -step).when(step > 0, 0.0)}
 
     up = _smooth(f"_au_{out}", lambda: F.col(f"_up_{out}"), n, alpha)
@@ -105,7 +99,7 @@ def rsi(n: int = 14, src: str = "close") -> Study:
         g, loss = F.col(f"_au_{out}"), F.col(f"_ad_{out}")
         return {out: 100 * g / F.nullif(g + loss, F.lit(0.0))}
 
-    return Study((out,), halo + n + 1, (moves, *both, ratio), room)
+    return Study((out,), halo + n + 1, (moves, *both, ratio), room, (src,), (src,))
 
 
 def macd(fast: int = 12, slow: int = 26, signal: int = 9, src: str = "close") -> Study:
@@ -114,13 +108,14 @@ def macd(fast: int = 12, slow: int = 26, signal: int = 9, src: str = "close") ->
     s = _smooth("_macd_s", lambda: F.col(src), slow, 2 / (slow + 1))
     both = [lambda w, rn, a=a, b=b: {**a(w, rn), **b(w, rn)} for a, b in zip(f, s)]
     line = lambda w, rn: {"macd": F.col("_macd_f") - F.col("_macd_s")}
-    sig = _smooth("macd_signal", lambda: F.when(F.col(src).isNotNull(), F.col("macd")), signal, 2 / (signal + 1))
+    sig = _smooth("macd_signal", lambda: F.col("macd"), signal, 2 / (signal + 1))
     hist = lambda w, rn: {"macd_hist": F.col("macd") - F.col("macd_signal")}
     return Study(
         ("macd", "macd_signal", "macd_hist"),
         halos[1][0] + slow + halos[2][0] + signal,
         (*both, line, *sig, hist),
         min(h[1] for h in halos),
+        (src,),
     )
 
 
@@ -146,12 +141,12 @@ def atr(n: int = 14) -> Study:
     halo, room = _decay(alpha)
 
     def true_range(w, rn):
-        prev = _before("close", w)
+        prev = F.col("_before_close")
         spread = F.col("high") - F.col("low")
         return {f"_tr_{out}": F.when(spread.isNotNull(), F.greatest(spread, F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))}
 
     return Study(
-        (out,), halo + n + 1, (true_range, *_smooth(out, lambda: F.col(f"_tr_{out}"), n, alpha)), room
+        (out,), halo + n + 1, (true_range, *_smooth(out, lambda: F.col(f"_tr_{out}"), n, alpha)), room, ("high", "low"), ("close",)
     )
 
 
@@ -188,6 +183,29 @@ def momentum(n: int, src: str = "close") -> Study:
 
 def compute(bars: DataFrame, studies: Sequence[Study], ax: Axis = BARS, block_rows: int | None = None) -> DataFrame:
     """All studies, in as few passes as their block sizes allow (normally one)."""
+    out, kept = bars, list(bars.columns)
+    for inputs in dict.fromkeys(s.inputs for s in studies):
+        same = [s for s in studies if s.inputs == inputs]
+        names = [o for s in same for o in s.outputs]
+        if not inputs:
+            out = _computed(out, same, ax, block_rows, kept)
+        else:
+            before = sorted({c for s in same for c in s.previous})
+            if before:
+                out = scan(out, ax, {f"_before_{c}": ("last", F.col(c)) for c in before}, exclusive=True)
+            given = F.lit(True)
+            for c in inputs:
+                given = given & F.col(c).isNotNull()
+            told = _computed(out.filter(given), same, ax, block_rows, kept)
+            told = told.select(*kept, F.struct(*names).alias("_told")).unionByName(out.filter(~given).select(*kept), allowMissingColumns=True)
+            last = scan(told, ax, {"_told": ("last", F.col("_told"))})
+            out = last.select(*kept, *[F.col("_told")[c].alias(c) for c in names])
+        kept += names
+    return out.select(*bars.columns, *[o for s in studies for o in s.outputs])
+
+
+def _computed(rows: DataFrame, studies: Sequence[Study], ax: Axis, block_rows: int | None, kept: list[str]) -> DataFrame:
+    """``kept`` and the outputs of studies of the same inputs, in as few passes as their block sizes allow."""
     groups: list[list[Study]] = []
     for s in sorted(studies, key=lambda s: s.halo):
         for g in groups:
@@ -197,7 +215,7 @@ def compute(bars: DataFrame, studies: Sequence[Study], ax: Axis = BARS, block_ro
                 break
         else:
             groups.append([s])
-    out, kept = bars, list(bars.columns)
+    out, kept = rows, [*kept, *(c for c in rows.columns if c.startswith("_before_"))]
     for g in groups:
         halo, room = max(s.halo for s in g), min(s.room for s in g)
         size = int(min(block_rows or 16 * max(halo, 1024), room - halo))

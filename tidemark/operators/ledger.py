@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import cash, money, times
 from tidemark.functions.symbols import side_sign
-from tidemark.plans.blocks import DAY, Axis, asof, scan, settle
+from tidemark.plans.blocks import BLOCK, DAY, Axis, asof, fade, scan, settle, with_blocks
 
 MONEY = "decimal(38,9)"
 
@@ -96,6 +96,35 @@ def futures_cash(fills: DataFrame, ax: Axis, margin: Column, multiplier: Column
     return out.withColumn("cash_change", change)
 
 
+def average_prices(fills: DataFrame, ax: Axis) -> DataFrame:
+    """Position and average entry price of the keys of ``ax`` after every part of every fill.
+
+    A fill that crosses zero has a closing part, then an opening one; others have one part. Opening moves the average
+    towards the price in proportion to the quantity, closing leaves it; the first opening after zero sets it. Given the
+    running position, each of these is a step average -> keep * average + add, which composes (``plans.blocks.fade``),
+    so a long or hot series is cut like any other. Rows with a null side (marks) move nothing.
+    Adds part (0 closing, 1 opening), moved (signed), position, final (the fill's last part), entry_price (the average that
+    a closing part is closed at) and average_price (that of the position left; null where there is none).
+    """
+    exact = F.coalesce(side_sign(F.col("side")) * F.col("quantity"), F.lit(0)).cast("decimal(28,6)")
+    rows = scan(with_blocks(fills.withColumn("_d", exact), ax), ax, {"_net": ("sum", F.col("_d"))})
+    net, d = F.col("_net"), F.col("_d")
+    was = net - d
+    across = (was != 0) & (F.signum(was) != F.signum(net)) & (net != 0)
+    piece = lambda part, moved, position, final: F.struct(
+        part.cast("long").alias("part"), moved.cast("decimal(28,6)").alias("moved"), position.cast("decimal(28,6)").alias("position"), F.lit(final).alias("final")
+    )
+    crossing = F.array(piece(F.lit(0), -was, F.lit(0), False), piece(F.lit(1), net, net, True))
+    pieces = F.when(across, crossing).otherwise(F.array(piece(F.abs(net) > F.abs(was), d, net, True)))
+    parts = rows.select(*[c for c in rows.columns if c not in ("_net", "_d")], F.inline(pieces))
+    size, moved = F.abs("position").cast("double"), F.abs("moved").cast("double")
+    opening = (F.col("part") == 1) & (size > 0)
+    keep = F.when(opening, 1 - moved / size).otherwise(1.0)
+    px = Axis(ax.keys, ax.ts, (*ax.seq, "part"), ax.width, ax.max_rows, ax.measured)
+    out = fade(parts, px, {"average_price": (keep, F.when(opening, moved / size * F.col("price")).otherwise(0.0))})
+    return out.withColumn("entry_price", F.col("average_price")).withColumn("average_price", F.when(size > 0, F.col("average_price"))).drop(BLOCK)
+
+
 def portfolio_value(
     fills: DataFrame,
     prices: DataFrame,
@@ -104,32 +133,65 @@ def portfolio_value(
     cash_ax: Axis,
     start_cash: float,
     account: str = "account",
+    open_min: int = 570,
+    close_min: int = 960,
 ) -> DataFrame:
     """Cash plus positions at their last known price at every stamp of ``clock`` (an array of timestamps, the
     same for all accounts). Positions without any price yet are left out.
 
-    Fills: account, asset, ts, side, quantity, price, multiplier, fee. Prices: asset, ts, close. Each pair of
-    account and asset gets one row per clock stamp: these are the marks the answer sums.
+    Fills: account, asset, ts, side, quantity, price, multiplier, fee and, if there are others than stocks, asset_type and
+    margin (per contract). Prices: asset, ts, close. Futures tie up margin instead of their price: cash gets the profit
+    of what is closed against the average entry price, and the position is worth its margin and the profit not yet
+    taken. Options are marked between ``open_min`` and ``close_min`` (minutes of the market's day) only; at other stamps
+    they have the price of the last such stamp at which they were held. The multiplier counts for options and futures.
+    Each pair of account and asset gets one row per clock stamp: these are the marks the answer sums.
     """
     keys = list(ax.keys)
+    if "asset_type" not in fills.columns:
+        fills = fills.withColumns({"asset_type": F.lit("any"), "margin": F.lit(None).cast("double")})
+    future = F.coalesce(F.col("asset_type") == "future", F.lit(False))
+    times_ = F.when(F.col("asset_type").isin("option", "future", "any"), F.col("multiplier")).otherwise(1)
+    traded = F.coalesce("fee", F.lit(0.0))
+    clocked = lambda of: of.withColumn("ts", F.explode(F.filter(clock, lambda t: t >= F.col("_first"))))
+
+    # Stocks and options. Net quantity per stamp first: a partial aggregate, so busy accounts shrink before they are exchanged.
+    plain = fills.filter(~future).withColumn("_m", times_)
     flow = side_sign(F.col("side")) * F.col("quantity")
-    # Net quantity per stamp first: a partial aggregate, so busy accounts shrink before they are exchanged.
-    net = fills.groupBy(*keys, ax.ts).agg(F.sum(flow).alias("_q"), F.max("multiplier").alias("multiplier"))
-    begun = net.groupBy(*keys).agg(F.min(ax.ts).alias("_first"), F.max("multiplier").alias("multiplier"))
-    marks = begun.withColumn("ts", F.explode(F.filter(clock, lambda t: t >= F.col("_first"))))
+    net = plain.groupBy(*keys, ax.ts).agg(F.sum(flow).alias("_q"), F.max("_m").alias("_m"), F.max("asset_type").alias("asset_type"))
+    begun = net.groupBy(*keys).agg(F.min(ax.ts).alias("_first"), F.max("_m").alias("_m"), F.max("asset_type").alias("asset_type"))
     timed = net.select(*keys, F.col(ax.ts).alias("ts"), "_q", F.lit(0).cast("long").alias("_mark")).unionByName(
-        marks.select(*keys, "ts", "multiplier", F.lit(1).cast("long").alias("_mark")), allowMissingColumns=True
+        clocked(begun).select(*keys, "ts", "_m", "asset_type", F.lit(1).cast("long").alias("_mark")), allowMissingColumns=True
     )
-    held = scan(timed, Axis(ax.keys, "ts", ("_mark",), ax.width, ax.max_rows, ax.measured), {"position": ("sum", F.col("_q"))})
-    marks = settle(held.filter((F.col("_mark") == 1) & (F.col("position") != 0)).select(*keys, "ts", "position", "multiplier"))
+    mx = Axis(ax.keys, "ts", ("_mark",), ax.width, ax.max_rows, ax.measured)
+    held = scan(timed, mx, {"position": ("sum", F.col("_q"))}).filter((F.col("_mark") == 1) & (F.col("position") != 0))
+    minute = times.minute_of_day(times.local(F.col("ts"))) + F.second("ts") / 60
+    seen = F.when((F.col("asset_type") != "option") | minute.between(open_min, close_min), F.col("ts"))
+    held = scan(held, mx, {"_seen": ("last", seen)}).filter(F.col("_seen").isNotNull())
+    none = F.lit(None).cast("double")
+    marks = held.select(*keys, "ts", "_seen", F.col("position").cast("double").alias("position"), F.col("_m").cast("double").alias("_m"), none.alias("margin"), none.alias("average_price"))
+    paid = plain.groupBy(account, cash_ax.ts).agg(F.sum(-flow * F.col("price") * F.col("_m") - traded).alias("_c"))
+
+    # Futures: every fill counts, in order, with the clock's stamps among them.
+    only = fills.filter(future)
+    some = only.groupBy(*keys).agg(F.min(ax.ts).alias("_first"), F.max("multiplier").alias("multiplier"), F.max("margin").alias("margin"))
+    rows = only.select(*keys, F.col(ax.ts).alias("ts"), *[c for c in ax.seq if c not in (*keys, "ts")], "side", *[c for c in ("quantity", "price") if c not in ax.seq], "multiplier", "margin", "fee", F.lit(0).cast("long").alias("_mark"))
+    rows = rows.unionByName(clocked(some).select(*keys, "ts", "multiplier", "margin", F.lit(1).cast("long").alias("_mark")), allowMissingColumns=True)
+    priced = average_prices(rows, Axis(ax.keys, "ts", ("_mark", *ax.seq), ax.width, ax.max_rows, ax.measured))
+    signed = F.col("moved").cast("double")
+    taken = F.when(F.col("part") == 0, (F.col("entry_price") - F.col("price")) * signed * F.col("multiplier")).otherwise(0.0)
+    tied = F.when(F.col("part") == 0, 1).otherwise(-1) * F.abs(signed) * F.col("margin")
+    moves = priced.filter("_mark = 0").groupBy(account, "ts").agg(F.sum(taken + tied - F.when(F.col("final"), traded).otherwise(0.0)).alias("_c"))
+    open_ = priced.filter((F.col("_mark") == 1) & (F.col("position") != 0))
+    marks = marks.unionByName(open_.select(*keys, "ts", F.col("ts").alias("_seen"), F.col("position").cast("double").alias("position"), F.col("multiplier").cast("double").alias("_m"), F.col("margin").cast("double").alias("margin"), "average_price"))
+
     good = prices.filter((F.col("close") > 0) & ~F.isnan("close")).select("asset", F.col("ts").alias("_pts"), "close")
-    marks = asof(marks, good, ["asset"], "ts", "_pts", width=30 * DAY)
-    value = F.col("position") * F.col("close") * F.col("multiplier")
-    worth = marks.filter(F.col("close").isNotNull()).groupBy(account, "ts").agg(F.sum(value).alias("positions_value"))
-    paid = -flow * F.col("price") * F.col("multiplier") - F.coalesce("fee", F.lit(0.0))
-    moved = fills.groupBy(account, cash_ax.ts).agg(F.sum(paid).alias("_c"))
-    stamps = moved.select(account).distinct().select(account, F.explode(clock).alias("ts"), F.lit(1).cast("long").alias("_mark"))
-    lines = moved.select(account, F.col(cash_ax.ts).alias("ts"), "_c", F.lit(0).cast("long").alias("_mark")).unionByName(stamps, allowMissingColumns=True)
+    marks = asof(settle(marks), good, ["asset"], "_seen", "_pts", width=30 * DAY).filter(F.col("close").isNotNull())
+    kind = F.when(F.col("margin").isNotNull(), "future").otherwise("option")
+    value = position_value(kind, F.col("position"), F.col("close"), F.col("_m"), F.col("margin"), F.col("average_price"))
+    worth = marks.groupBy(account, "ts").agg(F.sum(value).alias("positions_value"))
+    moved = paid.select(account, F.col(cash_ax.ts).alias("ts"), "_c").unionByName(moves)
+    stamps = fills.select(account).distinct().select(account, F.explode(clock).alias("ts"), F.lit(1).cast("long").alias("_mark"))
+    lines = moved.withColumn("_mark", F.lit(0).cast("long")).unionByName(stamps, allowMissingColumns=True)
     cx = Axis((account,), "ts", ("_mark",), cash_ax.width, cash_ax.max_rows, cash_ax.measured)
     book = scan(lines, cx, {"_run": ("sum", F.col("_c"))}).filter(F.col("_mark") == 1)
     book = book.select(account, "ts", (F.coalesce("_run", F.lit(0.0)) + start_cash).alias("cash"))

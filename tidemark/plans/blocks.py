@@ -229,6 +229,46 @@ def shift(df: DataFrame, ax: Axis, outs: dict[str, tuple[int, Column]]) -> DataF
     return scan(df, ax, {n: ("prev" if off < 0 else "next", x) for n, (off, x) in outs.items()})
 
 
+#: Natural logarithms that a stretch of ``fade`` spans, so that their powers fit a double; and that of a reset.
+_STRETCH, _FORGET = 300.0, 1000.0
+
+
+def fade(df: DataFrame, ax: Axis, outs: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Fading sums in axis order: name -> (keep, add) gives y = keep * y_before + add, starting from 0.
+
+    ``keep`` lies between 0 and 1; a null one counts as 1, a null ``add`` as 0. Such steps compose: a block passes on
+    y * (product of its keeps) + its own sum, whatever y it is given, so the blocks of a series are joined up by one
+    small window. A sum is a running sum of ``add`` weighed by powers. A stretch of rows over which the logarithms of
+    the keeps add up to ``_STRETCH`` needs itself and the stretch before; all else has faded beyond a double.
+    """
+    had = BLOCK in df.columns
+    keys, on, past = list(ax.keys), [*ax.keys, BLOCK], (Window.unboundedPreceding, Window.currentRow)
+    base = with_blocks(df, ax)
+    names = [c for c in base.columns if c not in outs and (had or c != BLOCK)]
+
+    def faded(rows: DataFrame, within: list[str], order: list[Column], i: int, add: Column, fall: Column) -> DataFrame:
+        """Adds ``_y{i}``, the sum as if the rows of ``within`` began with 0, and ``_t{i}``, how far they have fallen."""
+        rows = rows.withColumn(f"_t{i}", F.sum(fall).over(Window.partitionBy(*within).orderBy(*order).rowsBetween(*past)))
+        rows = rows.withColumn(f"_p{i}", F.floor(F.col(f"_t{i}") / _STRETCH))
+        deep = F.col(f"_t{i}") - F.col(f"_p{i}") * _STRETCH
+        here = F.sum(add * F.exp(deep)).over(Window.partitionBy(*within, f"_p{i}").orderBy(*order).rowsBetween(*past))
+        rows = rows.withColumn(f"_y{i}", here)
+        front = F.sum(add * F.exp(deep - _STRETCH)).over(Window.partitionBy(*within).orderBy(f"_p{i}").rangeBetween(-1, -1))
+        return rows.withColumn(f"_y{i}", (F.col(f"_y{i}") + F.coalesce(front, F.lit(0.0))) * F.exp(-deep)).drop(f"_p{i}")
+
+    for i, (keep, add) in enumerate(outs.values()):
+        keep = F.coalesce(keep.cast("double"), F.lit(1.0))
+        fall = F.when(keep > 0, F.least(-F.log(keep), F.lit(_FORGET))).otherwise(_FORGET)
+        base = faded(base, on, ax.order, i, F.coalesce(add.cast("double"), F.lit(0.0)), fall)
+    ends = base.groupBy(*on).agg(*[F.max_by(f"_{c}{i}", ax.rank).alias(f"_{c}{i}") for i in range(len(outs)) for c in "yt"])
+    series = Window.partitionBy(*keys).orderBy(BLOCK)
+    for i in range(len(outs)):
+        ends = faded(ends.withColumnsRenamed({f"_y{i}": "_add", f"_t{i}": "_fall"}), keys, [F.col(BLOCK)], i, F.col("_add"), F.col("_fall")).drop("_add", "_fall")
+    given = ends.select(*on, *[F.coalesce(F.lag(f"_y{i}").over(series), F.lit(0.0)).alias(f"_g{i}") for i in range(len(outs))])
+    values = [(F.col(f"_y{i}") + F.exp(-F.col(f"_t{i}")) * F.col(f"_g{i}")).alias(name) for i, name in enumerate(outs)]
+    return base.join(given, on).select(*names, *values)
+
+
 def rolling(
     df: DataFrame,
     ax: Axis,

@@ -216,18 +216,31 @@ def futures_cash(spark, sf):
     return rounded(out.select(*IDENT, "closing_qty", "opening_qty", "cash_change"), 3)
 
 
-@query("portfolio_value", "P12 W12", f"""WITH {lens.FILLS_SQL}, clock AS (SELECT unnest(generate_series(TIMESTAMP '1995-06-30', TIMESTAMP '2001-12-31', INTERVAL 182 DAY)) AS ts),
-  pos AS (SELECT c.ts, account, asset, sum({_SGN}) AS q FROM clock c JOIN fills f ON f.ts <= c.ts GROUP BY ALL),
+_KINDS = "CASE asset WHEN 4 THEN 'future' WHEN 3 THEN 'option' ELSE 'stock' END"
+_SIZES = "CASE asset WHEN 4 THEN 10 WHEN 3 THEN 100 ELSE 1 END"
+
+
+@query("portfolio_value", "P12 W12", f"""WITH RECURSIVE {lens.FILLS_SQL}, clock AS (SELECT unnest(generate_series(TIMESTAMP '1995-06-30 15:00:00', TIMESTAMP '2001-12-31', INTERVAL '182 days 7 hours')) AS ts),
   px AS (SELECT asset, f.ts, arg_max(price, (l_orderkey, l_linenumber, l_partkey, l_suppkey, quantity, price)) AS close FROM fills f GROUP BY asset, f.ts),
-  val AS (SELECT p.ts, account, sum(q * close * CASE WHEN p.asset = 4 THEN 10 ELSE 1 END) AS v FROM (SELECT * FROM pos WHERE q <> 0) p ASOF JOIN px ON p.asset = px.asset AND p.ts >= px.ts GROUP BY ALL),
-  csh AS (SELECT c.ts, account, 1000000 + sum(-({_SGN}) * price * {_MULT} - fee) AS cash FROM clock c JOIN fills f ON f.ts <= c.ts GROUP BY ALL), acc AS (SELECT DISTINCT account FROM fills)
-  SELECT account, clock.ts, round(coalesce(cash, 1000000), 2) AS cash, round(coalesce(v, 0), 2) AS positions_value, round(coalesce(cash, 1000000) + coalesce(v, 0), 2) AS portfolio_value
-  FROM acc CROSS JOIN clock LEFT JOIN csh USING (account, ts) LEFT JOIN val USING (account, ts)""")
+  pos AS (SELECT c.ts, account, asset, sum({_SGN}) AS q FROM clock c JOIN fills f ON f.ts <= c.ts WHERE asset < 4 GROUP BY ALL),
+  held AS (SELECT *, last_value(CASE WHEN asset < 3 OR CAST(timezone('America/New_York', ts AT TIME ZONE 'UTC') AS TIME) BETWEEN TIME '09:30' AND TIME '16:00' THEN ts END IGNORE NULLS) OVER (PARTITION BY account, asset ORDER BY ts) AS seen FROM pos WHERE q <> 0),
+  plain AS (SELECT h.ts, account, sum(q * close * {_SIZES.replace("asset", "h.asset")}) AS v FROM held h ASOF JOIN px ON h.asset = px.asset AND h.seen >= px.ts GROUP BY ALL),
+  fut AS MATERIALIZED (SELECT account, ts, price, fee, {_SGN} AS d, row_number() OVER (PARTITION BY account ORDER BY {lens.FILL_ORDER}) AS rn FROM fills WHERE asset = 4),
+  st AS (SELECT account, rn, ts, d AS q, price AS avg, -1200.0 * abs(d) - fee AS c FROM fut WHERE rn = 1 UNION ALL
+    SELECT f.account, f.rn, f.ts, s.q + f.d, CASE WHEN s.q + f.d = 0 THEN 0 WHEN s.q = 0 OR sign(s.q + f.d) <> sign(s.q) THEN f.price WHEN sign(f.d) = sign(s.q) THEN (abs(s.q) * s.avg + abs(f.d) * f.price) / abs(s.q + f.d) ELSE s.avg END,
+      CASE WHEN s.q * f.d < 0 THEN (f.price - s.avg) * sign(s.q) * least(abs(s.q), abs(f.d)) * 10 ELSE 0 END + 1200.0 * (abs(s.q) - abs(s.q + f.d)) - f.fee FROM st s JOIN fut f ON f.account = s.account AND f.rn = s.rn + 1),
+  fnow AS (SELECT c.ts, account, arg_max(q, rn) AS q, arg_max(avg, rn) AS avg, sum(st.c) AS cash FROM clock c JOIN st ON st.ts <= c.ts GROUP BY ALL),
+  fval AS (SELECT f.ts, account, 1200.0 * abs(q) + (close - avg) * q * 10 AS v FROM (SELECT 4 AS asset, * FROM fnow WHERE q <> 0) f ASOF JOIN px ON f.asset = px.asset AND f.ts >= px.ts),
+  csh AS (SELECT c.ts, account, sum(-({_SGN}) * price * {_SIZES} - fee) AS cash FROM clock c JOIN fills f ON f.ts <= c.ts WHERE asset < 4 GROUP BY ALL), acc AS (SELECT DISTINCT account FROM fills),
+  total AS (SELECT account, clock.ts, 1000000 + coalesce(csh.cash, 0) + coalesce(fnow.cash, 0) AS cash, coalesce(plain.v, 0) + coalesce(fval.v, 0) AS v
+    FROM acc CROSS JOIN clock LEFT JOIN csh USING (account, ts) LEFT JOIN fnow USING (account, ts) LEFT JOIN plain USING (account, ts) LEFT JOIN fval USING (account, ts))
+  SELECT account, ts, round(cash, 2) AS cash, round(v, 2) AS positions_value, round(cash + v, 2) AS portfolio_value FROM total""")
 def portfolio_value(spark, sf):
-    f = fills(spark, sf)
+    kind, size = F.expr(_KINDS), F.expr(_SIZES)
+    f = lens.fills(spark, sf).withColumns({"asset_type": kind, "multiplier": size, "margin": F.lit(1200.0)})
     seq = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "quantity", "price")
     px = f.groupBy("asset", "ts").agg(F.max_by("price", F.struct(*seq)).alias("close"))
-    clock = F.sequence(F.lit(dt.datetime(1995, 6, 30)).cast("timestamp"), F.lit(dt.datetime(2001, 12, 31)).cast("timestamp"), F.expr("interval 182 days"))
+    clock = F.sequence(F.lit(dt.datetime(1995, 6, 30, 15)).cast("timestamp"), F.lit(dt.datetime(2001, 12, 31)).cast("timestamp"), F.expr("interval '182 07' day to hour"))
     return rounded(ledger.portfolio_value(f, px, clock, lens.FILLS, ACCOUNT, 1_000_000.0), 2)
 
 
