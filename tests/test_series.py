@@ -210,3 +210,23 @@ def test_recurrences_pass_over_nulls(spark, every):
         for k, (row, value) in enumerate(zip(got, values)):
             assert (row[name] is None) == (value is None), (name, k)
             assert value is None or math.isclose(row[name], value, rel_tol=1e-9), (name, k)
+
+
+def test_benchmark_comparison(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    b = rng.normal(0, 0.01, 50)
+    r = 0.5 * b + rng.normal(0.001, 0.002, 50)
+    rows = [("x", dt.date(2024, 1, 1) + dt.timedelta(days=k), float(p), float(q)) for k, (p, q) in enumerate(zip(r, b))]
+    rows += [("flat", dt.date(2024, 1, k), 0.0, 0.0) for k in (1, 2, 3)] + [("one", dt.date(2024, 1, 1), 0.5, 0.5)]
+    out = {x.run_id: x for x in returns.benchmark_comparison(spark.createDataFrame(rows, "run_id string, day date, return double, benchmark_return double")).collect()}
+    r, b, x = r[1:], b[1:], out["x"]
+    beta = np.cov(r, b)[0, 1] / b.var(ddof=1)
+    want = {
+        "days": 49, "total_return": np.prod(1 + r) - 1, "benchmark_total_return": np.prod(1 + b) - 1, "correlation": np.corrcoef(r, b)[0, 1], "beta": beta, "alpha": (r.mean() - beta * b.mean()) * 365,
+        "tracking_error": (r - b).std(ddof=1) * 365**0.5, "information_ratio": (r - b).mean() / (r - b).std(ddof=1) * 365**0.5, "up_capture": r[b > 0].mean() / b[b > 0].mean(), "down_capture": r[b < 0].mean() / b[b < 0].mean(),
+    }
+    for name, value in want.items():
+        assert x[name] == pytest.approx(value), name
+    assert out["flat"].beta is None and out["flat"].information_ratio is None and "one" not in out

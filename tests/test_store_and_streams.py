@@ -26,6 +26,20 @@ def test_merge_keeps_newest_and_untouched_days(spark, tmp_path):
     assert sorted(r.close for r in tables.read_series(spark, str(tmp_path / "b")).collect()) == [1.0, 5.0]
 
 
+def test_merge_in_place_leaves_other_days_alone(spark, tmp_path):
+    days = [dt.datetime(2024, 1, d) for d in range(1, 6)]
+    kinds = "asset string, ts timestamp, close double"
+    path = tmp_path / "store"
+    tables.write_series(spark.createDataFrame([(a, t, float(t.day)) for a in "AB" for t in days], kinds), str(path))
+    before = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    update = [("A", days[1], 50.0), ("C", days[1] + dt.timedelta(hours=1), 51.0), ("A", dt.datetime(2024, 2, 1), 52.0)]
+    tables.merge_series(spark, str(path), spark.createDataFrame(update, kinds))
+    after = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    assert {p: m for p, m in before.items() if "2024-01-02" not in str(p)}.items() <= after.items()
+    got = {(r.asset, r.ts): r.close for r in tables.read_series(spark, str(path)).collect()}
+    assert got == {(a, t): float(t.day) for a in "AB" for t in days} | {(a, t): c for a, t, c in update}
+
+
 def test_header_payload_lacks_a_column(spark):
     text = '{"header": {"format": ["a", "b"]}, "response": [["1", "x"], ["2", "y"]]}'
     out = tables.header_payload(spark.createDataFrame([(text,)], "j string"), "j", {"b": "string", "a": "int", "c": "double"}).collect()
@@ -186,3 +200,14 @@ def test_option_symbols_of_any_shape(spark):
     assert got[1].asset_type == "stock" and got[1].expiration is None
     assert (got[2].root, got[2].strike, got[2].right) == ("LONGROOT7", 5.0, "PUT")
     assert got[3].asset_type == "stock" and got[4].root is None
+
+
+def test_item_1b_and_unknown_items(spark):
+    text = "intro\nItem 1A. Risks\nrisk text\n\n  ITEM 1b\tUnresolved\nstaff\nItem 20. none\nItem 15x\nItem 2. Places\nplace\n"
+    rows = texts.filing_sections(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "Item 3.")], "doc_id int, text string"), heading_chars=8).collect()
+    assert {(r.doc_id, r.section_id): (r.heading, r.text) for r in rows} == {
+        (1, "item_1a"): ("Item 1A.", "Item 1A. Risks\nrisk text\n"),
+        (1, "item_1b"): ("ITEM 1b\t", "  ITEM 1b\tUnresolved\nstaff\nItem 20. none\nItem 15x"),
+        (1, "item_2"): ("Item 2. ", "Item 2. Places\nplace\n"),
+        (4, "item_3"): ("Item 3.", "Item 3."),
+    }

@@ -162,24 +162,15 @@ def shift_sessions(dates: DataFrame, calendar: DataFrame, n: int, market: str =
     from the session before it when going forward and from the one after when going back."""
     from pyspark.sql import Window
 
+    from tidemark.plans.blocks import asof
+
     days = calendar.filter(F.col("market") == market).select("session_date")
     # One market's calendar: about 250 rows a year, so one window task is fine.
     ranked = days.select("session_date", F.row_number().over(Window.orderBy("session_date")).alias("k"))
-    edge = F.lead("session_date").over(Window.orderBy("session_date"))
-    prev = F.lag("session_date").over(Window.orderBy("session_date"))
-    spans = ranked.withColumn("nxt", edge).withColumn("prv", prev)
-    if n >= 0:
-        hit = (F.col("date") >= F.col("session_date")) & (F.col("nxt").isNull() | (F.col("date") < F.col("nxt")))
-    else:
-        hit = (F.col("date") <= F.col("session_date")) & (F.col("prv").isNull() | (F.col("date") > F.col("prv")))
+    way = 1 if n >= 0 else -1
+    start = ranked.select(F.lit(market).alias("_market"), (way * F.unix_date("session_date")).alias("_from"), "k")
+    known = dates.filter(F.col("date").isNotNull()).withColumns({"_market": F.lit(market), "_at": way * F.unix_date(F.col("date").cast("date"))})
+    placed = asof(known, start, ["_market"], "_at", "_from", width=3650)
     target = ranked.select((F.col("k") - n).alias("k"), F.col("session_date").alias("shifted"))
-    # Both are calendar dates, a few ten thousand at most: small whatever the market data weigh.
-    placed = dates.join(F.broadcast(spans), hit, "left").join(F.broadcast(target), "k", "left")
-    return placed.select(*dates.columns, "shifted")
-
-
-def futures_closed(ts: Column) -> Column:
-    """Weekend and the 17:00-18:00 New York maintenance hour: Friday 17:00 to Sunday 18:00."""
-    at = local(ts)
-    wd, hour = F.weekday(at), F.hour(at)
-    return (wd == 5) | ((wd == 4) & (hour >= 17)) | ((wd == 6) & (hour < 18)) | (hour == 17)
+    out = placed.join(target, "k", "left").select(*dates.columns, "shifted")
+    return out.unionByName(dates.filter(F.col("date").isNull()), allowMissingColumns=True)

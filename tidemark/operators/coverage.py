@@ -114,9 +114,8 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     per = lambda n, p: F.col(n) * F.col(p) / 1_000_000
     fresh = (F.col("input_tokens") - F.col("cached_tokens")) * F.col("input_price") / 1_000_000
     cost = fresh + per("cached_tokens", "cached_price") + per("output_tokens", "output_price")
-    # The price list has one row per model: a few dozen.
     return (
-        usage.join(F.broadcast(prices), "model")
+        usage.join(prices, "model")
         .groupBy("model")
         .agg(
             F.count(F.lit(1)).alias("calls"),

@@ -92,8 +92,7 @@ def statement(facts: DataFrame, tags: DataFrame, as_of, tie: Sequence[str] = ("a
     best candidate of the anchor's filing or period; a field that has candidates but none of that period
     keeps its newest one with ``matched`` false, a warning rather than a value.
     """
-    # The tag table has a few dozen fixed rows.
-    rows = known(facts, as_of).join(F.broadcast(tags), "tag").withColumn("form_priority", form_priority(F.col("form")))
+    rows = known(facts, as_of).join(tags, "tag").withColumn("form_priority", form_priority(F.col("form")))
     rank = F.struct(*FACT_ORDER, "form_priority", *tie)
     anchor = rows.groupBy("entity").agg(F.max_by(F.struct("accn", "end", "start", "fy", "fp", "form"), rank).alias("_a"))
     near = rows.join(anchor, "entity")

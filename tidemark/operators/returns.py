@@ -158,6 +158,35 @@ def daily_table(curve: DataFrame, benchmark: DataFrame | None = None, ax: Axis =
     return out.join(bench, "day", "left").fillna(0.0, ["benchmark_return"])
 
 
+def benchmark_comparison(daily: DataFrame, keys: Sequence[str] = ("run_id",), days_a_year: float = 365.0, risk_free: float = 0.0) -> DataFrame:
+    """Each run against its benchmark, from ``daily_table`` rows with return and benchmark_return.
+
+    Counts, means, variances and the covariance are mergeable moments: one partial aggregate, whatever a run's length. The
+    first day of a run has no return and is left out. beta = covariance / variance of the benchmark; alpha is the yearly
+    mean return beyond ``risk_free`` that beta doesn't explain; the tracking error is the yearly deviation of the
+    difference, the information ratio its yearly mean over that; up and down capture divide mean returns on days on which
+    the benchmark rose or fell. What has no variance to divide by is null.
+    """
+    r, b = F.col("return"), F.col("benchmark_return")
+    first = daily.groupBy(*keys).agg(F.min("day").alias("_first"))
+    rows = daily.join(first, list(keys)).filter(F.col("day") > F.col("_first"))
+    mean = lambda x, when: F.avg(F.when(when, x))
+    m = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("days"), F.avg(r).alias("_mr"), F.avg(b).alias("_mb"), F.var_pop(b).alias("_vb"), F.var_pop(r).alias("_vr"), F.covar_pop(r, b).alias("_cov"),
+        F.stddev_samp(r - b).alias("_te"), F.product(1 + r).alias("_pr"), F.product(1 + b).alias("_pb"),
+        mean(r, b > 0).alias("_ru"), mean(b, b > 0).alias("_bu"), mean(r, b < 0).alias("_rd"), mean(b, b < 0).alias("_bd"),
+    )
+    over = lambda a, c: a / F.nullif(c, F.lit(0.0))
+    beta, daily_free = over(F.col("_cov"), F.col("_vb")), risk_free / days_a_year
+    alpha = (F.col("_mr") - daily_free - beta * (F.col("_mb") - daily_free)) * days_a_year
+    error = F.col("_te") * F.sqrt(F.lit(days_a_year))
+    return m.select(
+        *keys, "days", (F.col("_pr") - 1).alias("total_return"), (F.col("_pb") - 1).alias("benchmark_total_return"), over(F.col("_cov"), F.sqrt(F.col("_vr") * F.col("_vb"))).alias("correlation"), beta.alias("beta"), alpha.alias("alpha"),
+        error.alias("tracking_error"), over((F.col("_mr") - F.col("_mb")) * days_a_year, error).alias("information_ratio"),
+        over(F.col("_ru"), F.col("_bu")).alias("up_capture"), over(F.col("_rd"), F.col("_bd")).alias("down_capture"),
+    )
+
+
 def daily_from_returns(rows: DataFrame, ret: str = "return", keys: Sequence[str] = ("run_id",)) -> DataFrame:
     return rows.groupBy(*keys, F.to_date("ts").alias("day")).agg((F.product(1 + F.col(ret)) - 1).alias("return"))
 

@@ -11,29 +11,25 @@ from tidemark.functions.text import count_hits
 from tidemark.plans.blocks import latest_by
 
 # The numbered items of annual and quarterly reports, and those with a lettered part.
-ITEM_NUMBERS = frozenset(str(n) for n in range(1, 16)) | {"1a", "7a", "9a", "9b"}
+ITEM_NUMBERS = frozenset(str(n) for n in range(1, 16)) | {"1a", "1b", "7a", "9a", "9b"}
 HEADING_CHARS = 120
-HEADING = r"^\s*(?i:item)\s+(\d+[A-Za-z]?)(?:[.\s]|$)"
+_ITEM = r"[^\S\n]*(?i:item)[^\S\n]+(?i:" + "|".join(sorted(ITEM_NUMBERS)) + r")(?=[.\s]|$)"
 
 
-def filing_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def filing_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", heading_chars: int = HEADING_CHARS) -> DataFrame:
     """Split texts at their item headings: one row per (document, section), the longest of its name.
 
     A heading is a line that begins with the word item and the number of a known item. A section runs to the next
-    heading; lines before the first one are dropped. ``heading`` is the start of the heading line.
+    heading; lines before the first one are dropped. ``heading`` is the start of the heading line. The text is cut in one
+    pass at the line ends that a heading follows.
     """
-    lines = docs.select(key, F.split(F.col(text), "\n").alias("_lines"))
-    names = F.transform("_lines", lambda line: F.lower(F.regexp_extract(line, HEADING, 1)))
-    at = F.filter(F.sequence(F.lit(0), F.size("_names") - 1), lambda i: F.get(F.col("_names"), i).isin(*sorted(ITEM_NUMBERS)))
-    found = lines.withColumn("_names", names).withColumn("_at", at).select("*", F.posexplode("_at").alias("pos", "_from"))
-    until = F.coalesce(F.get("_at", F.col("pos") + 1), F.size("_lines"))
-    body = F.array_join(F.slice("_lines", F.col("_from") + 1, until - F.col("_from")), "\n")
-    rows = found.select(
+    cut = F.split(F.concat(F.lit("\n"), F.col(text)), r"\n(?=" + _ITEM + ")")
+    rows = docs.select(key, F.posexplode(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0)))).alias("pos", "text")).select(
         key,
-        F.concat(F.lit("item_"), F.get("_names", "_from")).alias("section_id"),
+        F.concat(F.lit("item_"), F.lower(F.regexp_extract("text", r"^\s*(?i:item)\s+(\d+[A-Za-z]?)", 1))).alias("section_id"),
         "pos",
-        F.substring(F.trim(F.get("_lines", "_from")), 1, HEADING_CHARS).alias("heading"),
-        body.alias("text"),
+        F.substring(F.trim(F.split("text", "\n", 2)[0]), 1, heading_chars).alias("heading"),
+        "text",
     )
     return latest_by(rows, [key, "section_id"], F.struct(F.length("text"), -F.col("pos"))).drop("pos")
 

@@ -334,15 +334,16 @@ def actions_joined(spark, sf):
     return rounded(out)
 
 
-@query("curves_aligned", "J8", f"""WITH {lens.DAYS}, a AS (SELECT CAST(days.ts AS DATE) AS day, close AS click FROM days WHERE asset = 'click' AND dayofmonth(days.ts) > 3),
-  b AS (SELECT CAST(days.ts AS DATE) AS day, close AS view FROM days WHERE asset = 'view' AND dayofmonth(days.ts) < 27),
-  c AS (SELECT CAST(days.ts AS DATE) AS day, volume AS traded FROM days WHERE asset = 'error' AND dayofmonth(days.ts) % 2 = 0)
-  SELECT * FROM a FULL JOIN b USING (day) FULL JOIN c USING (day)""")
+@query("curves_aligned", "J8", f"""WITH {lens.DAYS}, a AS (SELECT CAST(days.ts AS DATE) AS day, close AS click FROM days WHERE asset = 'click'),
+  b AS (SELECT CAST(days.ts AS DATE) AS day, close AS view FROM days WHERE asset = 'view'),
+  c AS (SELECT CAST(days.ts AS DATE) AS day, volume AS traded FROM days WHERE asset = 'error'), d AS (SELECT CAST(days.ts AS DATE) AS day, open AS bought FROM days WHERE asset = 'purchase'),
+  e AS (SELECT CAST(days.ts AS DATE) AS day, high AS signed FROM days WHERE asset = 'signup')
+  SELECT * FROM a FULL JOIN b USING (day) FULL JOIN c USING (day) FULL JOIN d USING (day) FULL JOIN e USING (day)""")
 def curves_aligned(spark, sf):
     d = lens.bars(spark, sf, "1d").withColumn("day", F.to_date("ts"))
-    pick = lambda name, col, out, cond: d.filter((F.col("asset") == name) & cond).select("day", F.col(col).alias(out))
-    dom = F.dayofmonth("day")
-    return joins.align(pick("click", "close", "click", dom > 3), pick("view", "close", "view", dom < 27), pick("error", "volume", "traded", dom % 2 == 0), on=["day"])
+    pick = lambda name, col, out: d.filter(F.col("asset") == name).select("day", F.col(col).alias(out))
+    sides = [("click", "close", "click"), ("view", "close", "view"), ("error", "volume", "traded"), ("purchase", "open", "bought"), ("signup", "high", "signed")]
+    return joins.align(*[pick(*x) for x in sides], on=["day"])
 
 
 @query("provider_parity", "J9", f"""WITH {lens.BARS} SELECT asset, count(*) AS rows, round(max(abs(open - close)), 6) AS max_diff, count(*) FILTER (abs(open - close) > 50) AS bad_rows,

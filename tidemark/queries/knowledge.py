@@ -147,7 +147,7 @@ def filing_texts(spark, sf):
 
 
 @query("filing_sections", "X5", rf"""WITH {_DOCSEC}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM doc),
-  h AS (SELECT *, lower(regexp_extract(line, '^\s*[Ii][Tt][Ee][Mm]\s+([0-9]+[A-Za-z]?)([.\s]|$)', 1)) AS id FROM l), f AS (SELECT *, (id IN ('1a', '7a', '9a', '9b') OR try_cast(id AS INT) BETWEEN 1 AND 15) AS begins FROM h),
+  h AS (SELECT *, lower(regexp_extract(line, '^\s*[Ii][Tt][Ee][Mm]\s+([0-9]+[A-Za-z]?)([.\s]|$)', 1)) AS id FROM l), f AS (SELECT *, (id IN ('1a', '1b', '7a', '9a', '9b') OR try_cast(id AS INT) BETWEEN 1 AND 15) AS begins FROM h),
   n AS (SELECT *, sum(coalesce(begins, false)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM f),
   s AS (SELECT doc_id, pos, max(id) FILTER (begins) AS id, string_agg(line, chr(10) ORDER BY i) AS text FROM n WHERE pos > 0 GROUP BY 1, 2)
   SELECT doc_id, 'item_' || id AS section_id, arg_max(text, (length(text), -pos)) AS text FROM s GROUP BY 1, 2""")
@@ -179,11 +179,11 @@ def memory_search(spark, sf):
     return texts.memory_search(c, "la The une", 40, "conv_id", "text", "turn", role="user").select("conv_id", "turn", "score")
 
 
-@query("search_without_repeats", "U4", """SELECT conv_id, CASE WHEN bool_or(role = 'system') THEN 'index' ELSE 'event' END AS origin FROM conversations WHERE role IN ('system', 'user') GROUP BY 1""")
+@query("search_without_repeats", "U4", """SELECT conv_id, CASE WHEN bool_or(role = 'system') THEN 'index' ELSE 'event' END AS origin FROM conversations GROUP BY 1""")
 def search_without_repeats(spark, sf):
     c = lens.table(spark, sf, "conversations")
     idx = c.filter(F.col("role") == "system").select("conv_id", F.lit("index").alias("origin")).distinct()
-    ev = c.filter(F.col("role") == "user").select("conv_id", F.lit("event").alias("origin")).distinct()
+    ev = c.filter(~F.col("role").eqNullSafe("system")).select("conv_id", F.lit("event").alias("origin")).distinct()
     return texts.without_repeats(idx, ev, "conv_id")
 
 

@@ -315,14 +315,13 @@ def strikes_normalized(spark, sf):
 
 
 
-@query("dividend_cash", "D5", f"""WITH {lens.FILLS_SQL}, divs AS (SELECT l_suppkey % 5 AS asset, CAST(l_shipdate AS DATE) AS event_date, max(l_tax) AS cash FROM lineitem WHERE dayofmonth(l_shipdate) = 15 AND month(l_shipdate) % 3 = 0 GROUP BY 1, 2),
+@query("dividend_cash", "D5", f"""WITH {lens.FILLS_SQL}, divs AS (SELECT l_suppkey % 5 AS asset, last_day(CAST(l_shipdate AS DATE)) AS event_date, max(l_tax) AS cash FROM lineitem GROUP BY 1, 2),
   net AS (SELECT account, asset, ts, sum(sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END)) OVER (PARTITION BY account, asset ORDER BY ts) AS held FROM fills GROUP BY 1, 2, 3),
   due AS (SELECT account, asset, event_date, cash FROM (SELECT DISTINCT account, asset FROM fills) JOIN divs USING (asset))
   SELECT d.account, d.asset, event_date, held, round(held * cash, 6) AS amount FROM due d ASOF JOIN net n ON d.account = n.account AND d.asset = n.asset AND CAST(d.event_date AS TIMESTAMP) > n.ts WHERE held <> 0""")
 def dividend_cash(spark, sf):
     li = lens.table(spark, sf, "lineitem")
-    cond = (F.dayofmonth("l_shipdate") == 15) & (F.month("l_shipdate") % 3 == 0)
-    divs = li.filter(cond).select((F.col("l_suppkey") % 5).alias("asset"), F.to_date("l_shipdate").alias("event_date"), F.col("l_tax").alias("cash_amount"))
+    divs = li.select((F.col("l_suppkey") % 5).alias("asset"), F.last_day("l_shipdate").alias("event_date"), F.col("l_tax").alias("cash_amount"))
     return rounded(actions.dividend_cash(lens.fills(spark, sf), divs, lens.FILLS))
 
 

@@ -198,16 +198,38 @@ def cash_adjusted_curve(spark, sf):
     return returns.cash_adjusted_curve(c, "v", "total").select("run_id", "ts", F.round("adjusted_value", 3).alias("adjusted_value"))
 
 
-@query("daily_return_table", "A10 A24", f"""WITH {lens.CURVE_SQL}, dv AS (SELECT run_id, CAST(ts AS DATE) AS day, arg_max(portfolio_value, ts) AS value,
-  arg_max(external_flow_total, ts) AS total FROM (SELECT run_id, ts, portfolio_value, coalesce(external_flow_total, -1) AS external_flow_total FROM curve) GROUP BY 1, 2),
-  st AS (SELECT run_id, arg_min(portfolio_value, ts) AS v0, min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM curve GROUP BY 1),
-  grid AS (SELECT run_id, v0, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM st),
-  f AS (SELECT run_id, v0, day, last_value(value IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM grid LEFT JOIN dv USING (run_id, day))
-  SELECT run_id, day, v AS value, round(coalesce((v - coalesce(lag(v) OVER w, v0)) / coalesce(lag(v) OVER w, v0), 0), 6) AS "return" FROM f
-  WINDOW w AS (PARTITION BY run_id ORDER BY day)""")
+_DAILY = f"""{lens.CURVE_SQL}, dv AS (SELECT run_id, CAST(ts AS DATE) AS day, arg_max(portfolio_value, ts) AS value,
+  arg_max({{'t': external_flow_total}}, ts).t AS total FROM curve GROUP BY 1, 2),
+  st AS (SELECT run_id, arg_min(portfolio_value, ts) AS v0, coalesce(arg_min({{'t': external_flow_total}}, ts).t, 0) AS f0, min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM curve GROUP BY 1),
+  grid AS (SELECT run_id, v0, f0, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM st),
+  f AS (SELECT run_id, v0, f0, day, last_value(value IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v,
+    last_value(total IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM grid LEFT JOIN dv USING (run_id, day)),
+  p AS (SELECT *, coalesce(lag(v) OVER w, v0) AS pv, coalesce(lag(t) OVER w, f0) AS pt FROM f WINDOW w AS (PARTITION BY run_id ORDER BY day)),
+  mark AS (SELECT CAST(l_shipdate AS DATE) AS day, sum(l_extendedprice) / sum(l_quantity) AS c FROM lineitem GROUP BY 1),
+  bench AS (SELECT day, c / lag(c) OVER (ORDER BY day) - 1 AS br FROM mark),
+  dt AS (SELECT run_id, day, v AS value, coalesce((v - pv - (coalesce(t, 0) - coalesce(pt, 0))) / nullif(pv, 0), 0) AS r, coalesce(br, 0) AS b FROM p LEFT JOIN bench USING (day))"""
+
+
+def run_days(spark, sf):
+    """Daily returns of the runs, external flows taken out, beside those of the mean price of all shipments."""
+    li = lens.table(spark, sf, "lineitem")
+    mark = li.groupBy(F.to_date("l_shipdate").alias("ts")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
+    return returns.daily_table(lens.cash_totals(spark, sf), mark)
+
+
+@query("daily_return_table", "A10 A24", f"""WITH {_DAILY} SELECT run_id, day, value, round(r, 6) AS "return", round(b, 6) AS benchmark_return FROM dt""")
 def daily_return_table(spark, sf):
-    c = lens.cash_totals(spark, sf).withColumn("external_flow_total", F.lit(0.0))
-    return rounded(returns.daily_table(c))
+    return rounded(run_days(spark, sf))
+
+
+@query("benchmark_comparison", "P18 A10", f"""WITH {_DAILY}, k AS (SELECT *, min(day) OVER (PARTITION BY run_id) AS d0 FROM dt),
+  m AS (SELECT run_id, count(*) AS days, avg(r) AS mr, avg(b) AS mb, var_samp(b) AS vb, covar_samp(r, b) AS cov, corr(r, b) AS correlation, stddev_samp(r - b) * sqrt(365.0) AS te,
+    product(1 + r) - 1 AS total_return, product(1 + b) - 1 AS bt, avg(r) FILTER (b > 0) / avg(b) FILTER (b > 0) AS up, avg(r) FILTER (b < 0) / avg(b) FILTER (b < 0) AS dn FROM k WHERE day > d0 GROUP BY 1)
+  SELECT run_id, days, round(ln(abs(1 + total_return)), 6) AS log_growth, round(bt, 6) AS benchmark_total_return, round(correlation, 6) AS correlation, round(cov / vb, 6) AS beta,
+    round((mr - 0.02 / 365 - cov / vb * (mb - 0.02 / 365)) * 365, 6) AS alpha, round(te, 6) AS tracking_error, round((mr - mb) * 365 / te, 6) AS information_ratio, round(up, 6) AS up_capture, round(dn, 6) AS down_capture FROM m""")
+def benchmark_comparison(spark, sf):
+    out = returns.benchmark_comparison(run_days(spark, sf), risk_free=0.02)
+    return rounded(out.withColumn("log_growth", F.log(F.abs(1 + F.col("total_return")))).drop("total_return"))
 
 
 @query("daily_from_returns", "A10", f"""WITH {_MONTH_RET} SELECT run_id, CAST(date_trunc('year', ts) AS DATE) AS day, round(product(1 + r) - 1, 6) AS "return"

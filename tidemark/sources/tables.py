@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.joins import upsert
-from tidemark.plans.blocks import latest_by
+from tidemark.plans.blocks import latest_by, settle
 
 # Columns of the trades export, in order.
 TRADE_COLUMNS = (
@@ -38,16 +38,20 @@ def write_series(df: DataFrame, path: str, partition: Sequence[str] = ("day",),
     stored.write.mode(mode).partitionBy(*partition).parquet(path)
 
 
-def merge_series(spark: SparkSession, path: str, update: DataFrame, target: str, keys: Sequence[str] = ("asset", "ts")) -> None:
-    """Write the stored series with newer rows merged in to ``target``. Only the days the update touches are
-    merged; the others are copied as they are."""
+def merge_series(spark: SparkSession, path: str, update: DataFrame, target: str | None = None, keys: Sequence[str] = ("asset", "ts")) -> None:
+    """Merge newer rows into the stored series. Only the days that the update touches are read and merged; in place
+    (without ``target``) only their partitions are replaced, and all other files stay as they are. With a ``target`` the
+    whole series is written there, untouched days as copies."""
     stored = spark.read.parquet(path)
     update = update.withColumn("day", F.to_date("ts"))
     touched = update.select("day").distinct()
-    # Days of an update: calendar rows, not data rows.
-    old = stored.join(F.broadcast(touched), "day", "left_semi")
-    rest = stored.join(F.broadcast(touched), "day", "left_anti")
-    write_series(upsert(old, update, list(keys)).unionByName(rest, allowMissingColumns=True), target)
+    merged = upsert(stored.join(touched, "day", "left_semi"), update, list(keys))
+    if target is None:
+        # Settled first: the files that are read are the ones that get replaced.
+        settle(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(path)
+    else:
+        rest = stored.join(touched, "day", "left_anti")
+        write_series(merged.unionByName(rest, allowMissingColumns=True), target)
 
 
 def write_stats(df: DataFrame, path: str) -> None:
