@@ -23,6 +23,12 @@ def library():
     return t
 
 
+@pytest.fixture(scope="module")
+def packer():
+    """As the packing query's contract names it: strings of special tokens become these."""
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 ODD = ["", " ", "  ", "a", "a  b", "a   b\n c", " \n\n x ", "'s 're", "\x1c a", "a\x85 b", "tab\t x", "　 a", "<|endoftext|>", "\U0001f600é日本", "x" * 300_000,
        " " * 5000 + "a", "a" + " \n" * 3000, "b " + "\n" * 4000 + "c d", ("word, " * 30_000) + " " * 2500, "\t" * 1500]
 
@@ -85,30 +91,31 @@ def packed_ok(pieces, texts, library, capacity=2048):
     return len(by_sequence)
 
 
-def test_packing_query(spark, small, library):
+def test_packing_query(spark, small, packer):
     import pyarrow.parquet as pq
 
     texts = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{small}/documents.parquet").to_pylist()]
     pieces = packing.op5_best_fit_packing(spark, small).collect()
-    n = packed_ok(pieces, texts, library)
+    n = packed_ok(pieces, texts, packer)
     least = -(-sum(r.length for r in pieces) // 2048)
     assert n <= least + 2
 
 
-def test_packing_odd_rows(docs, library):
-    texts = [(1, None), (2, ""), (3, "a b c"), (4, " ".join(["word"] * 9000)), (5, " ".join(["word"] * 2047)), (6, " ".join(["word"] * 2048)), (None, "x")]
+def test_packing_odd_rows(docs, packer):
+    texts = [(1, None), (2, ""), (3, "a b c"), (4, " ".join(["word"] * 9000)), (5, " ".join(["word"] * 2047)), (6, " ".join(["word"] * 2048)), (None, "x"),
+             (8, "<|endoftext|>"), (9, "one<|endoftext|> two <|endoftext|><|endoftext|>\n\nthree"), (10, "<|endoftext| >"), (11, "ab <|endoftext|>" * 400)]
     pieces = packing.packed_documents(docs(texts)).collect()
-    packed_ok(pieces, texts, library)
+    packed_ok(pieces, texts, packer)
     repeated = packing.packed_documents(docs([(7, "the same"), (7, "the same")])).collect()
     assert sorted((r.doc_id, r.offset) for r in repeated) == [(7, 0), (7, 3)] and len({r.sequence_id for r in repeated}) == 1
     assert packing.packed_documents(docs([])).count() == 0
 
 
-def test_a_length_that_many_share_is_dealt_over_groups(docs, library, monkeypatch):
+def test_a_length_that_many_share_is_dealt_over_groups(docs, packer, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ROWS", 7)
     texts = [(k, "same text") for k in range(300)] + [(1000 + k, "other " * (k % 40)) for k in range(100)]
     pieces = packing.packed_documents(docs(texts), capacity=64).collect()
-    n = packed_ok(pieces, texts, library, 64)
+    n = packed_ok(pieces, texts, packer, 64)
     assert n <= -(-sum(r.length for r in pieces) // 64) + 1
 
 

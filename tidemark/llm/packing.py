@@ -16,6 +16,8 @@ doc_id (nulls first), piece and checksum; rows equal in all three are the same.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,15 +35,29 @@ GROUP_ROWS = 4096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(documents: DataFrame, rank_file: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every row of ``documents(doc_id, text)``."""
+def special_ids(tokenizer_file: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file; their strings in a text stand for them."""
+    with open(tokenizer_file) as f:
+        return {t["content"]: int(t["id"]) for t in json.load(f)["added_tokens"]}
+
+
+def pieces(documents: DataFrame, rank_file: str, pattern: str, capacity: int = CAPACITY, special: dict[str, int] | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every row of ``documents(doc_id, text)``. Strings in ``special``
+    become their ids, and what stands between them is encoded by itself."""
+    told = {name: int(n).to_bytes(4, "little") for name, n in (special or {}).items()}
+    parts = re.compile("(" + "|".join(map(re.escape, sorted(told, key=len, reverse=True))) + ")") if told else None
+
+    def encoded(enc, text: str) -> bytes:
+        if not parts or not parts.search(text):
+            return id_bytes(enc, text)
+        return b"".join(told[x] if k % 2 else id_bytes(enc, x) for k, x in enumerate(parts.split(text)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
             ids, piece, start, length, crc = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = id_bytes(enc, text.as_py()) + b"\0\0\0\0"
+                raw = encoded(enc, text.as_py()) + b"\0\0\0\0"
                 n = len(raw) // 4
                 edges = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -167,11 +183,16 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return put.select(*cut.columns, "put.sequence_id", "put.offset")
 
 
-def packed_documents(documents: DataFrame, rank_file: str | None = None, pattern: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed_documents(
+    documents: DataFrame, rank_file: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, special: dict[str, int] | None = None
+) -> DataFrame:
     """Pieces of ``documents(doc_id, text)`` with their sequence and place; by default with the 50,257-id vocabulary."""
     import public_tokenizers
 
-    return pack(pieces(documents, rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN, capacity), capacity)
+    if special is None and rank_file is None:
+        special = special_ids(public_tokenizers.path("byte_bpe_50k.json"))
+    cut = pieces(documents, rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN, capacity, special)
+    return pack(cut, capacity)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
