@@ -5,7 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pyarrow as pa
-from brute import near_duplicates, normal, removed_lines, rows_of
+from brute import lost_lines, near_duplicates, removed_lines, rows_of
 
 from tidemark.llm import common, lines, neardup, vectors, words
 
@@ -92,14 +92,8 @@ def test_near_duplicate_query(spark, small):
     assert got == near_duplicates(rows)
 
 
-def fingerprints_of(rows):
-    names = sorted({normal(x) for _, t in rows for x in (t or "").split("\n")} - {""})
-    hashes, first = words.word_hashes(*words.byte_runs(pa.array(names)), lines._NORMAL)
-    return dict(zip(names, map(int, lines.simhashes(hashes, first))))
-
-
 def check_lines(frame, rows):
-    gone = removed_lines(rows, fingerprints_of(rows))
+    gone = removed_lines(rows, 10**6)
     got = {r.doc_id: r for r in lines.dedup_lines(frame).collect()}
     assert len(got) == len(rows)
     for d, text in rows:
@@ -120,8 +114,7 @@ def test_lines(docs):
     assert sorted((r.doc_id or 0, r.text) for r in repeated) == [(0, "b"), (1, "a"), (1, "a")]
 
 
-def test_many_variants_of_a_line(docs, monkeypatch):
-    monkeypatch.setattr(lines, "LINES_A_TILE", 8)
+def test_many_variants_of_a_line(docs):
     rnd = random.Random(9)
     base = [f"w{k % 30}" for k in range(90)]
     rows = []
@@ -170,11 +163,14 @@ def test_lines_of_edit_similarity_are_found_without_a_fingerprint(docs):
 
 
 def test_line_query(spark, small):
+    """Against a join of all lines at edit similarity 0.8: nothing else goes, and nearly all of it does."""
     rows = rows_of(small)
-    gone = removed_lines(rows, fingerprints_of(rows))
+    gone = removed_lines(rows)
     got = {r.doc_id: r for r in lines.op2_line_dedup(spark, small).collect()}
-    for d, text in rows:
-        assert got[d].text == "\n".join(x for k, x in enumerate((text or "").split("\n")) if k not in gone[d])
+    lost = {d: lost_lines(text, got[d].text) for d, text in rows}
+    assert all(lost[d] <= gone[d] for d, text in rows if max(map(len, (text or "").split("\n"))) <= 6000)
+    assert sum(map(len, lost.values())) >= 0.97 * sum(map(len, gone.values()))
+    assert {d: got[d].n_removed for d, _ in rows} == {d: len(x) for d, x in lost.items()}
 
 
 def test_edit_distance():
