@@ -233,6 +233,13 @@ def test_vectors_of_no_rows(spark):
     assert sorted(tuple(r) for r in twice) == [(0, 2, 0, True), (1, 2, 0, False), (1, 2, 0, False)]
 
 
+def test_vectors_of_one_id(spark):
+    """Different vectors under one id are classes of their own: each keeps its links."""
+    rows = [(5, [1.0, 0.0, 0.0], 1), (5, [0.0, 1.0, 0.0], 1), (0, [1.0, 0.01, 0.0], 1), (2, [0.01, 1.0, 0.0], 1), (9, [0.0, 0.0, 1.0], 1)]
+    got = sorted(tuple(r) for r in vectors.near_vectors(vector_frame(spark, rows)).collect())
+    assert got == [(0, 1, 0, True), (2, 1, 2, True), (5, 1, 0, False), (5, 1, 0, False), (9, 0, 9, True)]
+
+
 def test_vector_query_against_sql(spark, small):
     import pyarrow.parquet as pq
 

@@ -11,7 +11,9 @@ threshold, and goes on with those left.
 
 A tile pair returns for each class how many vectors it is linked to there, and one link that joins it to its part:
 rows grow with classes, not pairs. Null, zero, non-finite vectors, vectors with a null component or no label, and
-rows without a vec_id are linked with nothing. Repeated rows count as other vectors. An empty table gives no rows.
+rows without a vec_id are linked with nothing. Repeated rows count as other vectors. Classes go by a digest of the vector,
+so different vectors under one vec_id keep their links; the rows of such a vec_id have the greatest n_links and the
+smallest component_id among them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -180,9 +182,9 @@ def near_vectors(embeddings: DataFrame, least: float = LEAST, tile: int = TILE)
     digest = [F.xxhash64("label", "unit").alias("d1"), F.xxhash64(F.lit(1), "unit", "label").alias("d2")]
     unit_rows(embeddings).select("*", *digest).write.parquet(path)
     rows = spark.read.parquet(path)
-    members = rows.groupBy("d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    members = rows.groupBy("d1", "d2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     path = shared_dir(spark, "vectors")
-    rows.join(members, ["d1", "d2"]).where("vec_id = id").select("id", "label", "dim", "copies", "unit").dropDuplicates(["id"]).write.parquet(path)
+    rows.join(members, ["d1", "d2"]).where("vec_id = first").select(F.col("d1").alias("id"), "label", "dim", "copies", "unit").dropDuplicates(["id"]).write.parquet(path)
     classes = spark.read.parquet(path)
     cells = rotated(classes, principal_axes(classes), float(np.sqrt(max(2 - 2 * least, 1e-6))) * (1 + 1e-9))
     pairs = tile_pairs(cells, tile).withColumn("label_no", F.xxhash64("label"))
@@ -193,9 +195,11 @@ def near_vectors(embeddings: DataFrame, least: float = LEAST, tile: int = TILE)
     found = spark.read.parquet(path)
     linked = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "id")
     parts = components(found.select("a", "b")).withColumnRenamed("node", "id")
-    known = members.join(linked, "id", "left").join(parts, "id", "left")
+    named = members.withColumn("id", F.col("d1"))
+    heads = named.join(parts, "id").groupBy("component").agg(F.min("first").alias("head"))
+    known = named.join(linked, "id", "left").join(parts, "id", "left").join(heads, "component", "left")
     told = rows.select("vec_id", "d1", "d2").join(known, ["d1", "d2"]).select(
-        "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+        "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("head", "first").alias("component_id")
     )
     told = told.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id")).join(told, "vec_id", "left")
