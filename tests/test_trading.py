@@ -339,3 +339,13 @@ def test_average_prices_through_flips(spark):
             q, avg = want[r.account, r.n]
             assert float(r.position) == q and (r.average_price is None) == (avg is None)
             assert avg is None or abs(r.average_price - avg) < 1e-9
+
+
+def test_brackets_fill_at_prices_of_zero_where_any_price_counts(spark):
+    prices = [(100.0, 101.0, 99.0), (100.0, 100.0, 0.0), (100.0, 101.0, 99.0)]
+    bars = spark.createDataFrame([("A", T0 + dt.timedelta(days=i), o, h, lo, o) for i, (o, h, lo) in enumerate(prices)], BAR)
+    rows = [(*order(3, "buy", "market"), None, None), (*order(4, "buy", "limit", limit=5.0), 3, "g"), (*order(5, "buy", "stop", stop=150.0), 3, "g")]
+    frame = spark.createDataFrame(rows, ORDER + ", parent_id long, oco_group string")
+    for any_price, want in ((True, 5.0), (False, None)):
+        out = {r.order_id: r for r in orders.match_brackets(frame, bars, any_price=any_price).collect()}
+        assert out[3].fill_price == 100.0 and out[4].fill_price == want

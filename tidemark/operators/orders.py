@@ -23,16 +23,22 @@ CLOSE_HOUR = 16
 IMMEDIATE = ("ioc", "immediate_or_cancel", "fok", "fill_or_kill")
 
 
-def limit_fill(limit: Column, side: Column, open_: Column, high: Column, low: Column) -> Column:
+def _usable(open_: Column, high: Column, low: Column, any_price: bool) -> Column:
+    """Open, high and low are above 0; with ``any_price`` it is enough that they are there."""
+    one = lambda p: p.isNotNull() if any_price else p > 0
+    return one(open_) & one(high) & one(low)
+
+
+def limit_fill(limit: Column, side: Column, open_: Column, high: Column, low: Column, any_price: bool = False) -> Column:
     """Open if the limit is already met there (a sell at or below 0 always is), the limit if the bar spans it."""
-    valid = (open_ > 0) & (high > 0) & (low > 0)
+    valid = _usable(open_, high, low, any_price)
     at_open = ((side == "sell") & ((limit <= 0) | (limit <= open_))) | ((side == "buy") & (limit >= open_))
     return F.when(valid & at_open, open_).when(valid & (low <= limit) & (limit <= high), limit)
 
 
-def stop_fill(stop: Column, side: Column, open_: Column, high: Column, low: Column) -> Column:
+def stop_fill(stop: Column, side: Column, open_: Column, high: Column, low: Column, any_price: bool = False) -> Column:
     """Open if the bar opens beyond the stop, the stop if the bar spans it."""
-    valid = (open_ > 0) & (high > 0) & (low > 0) & (stop > 0)
+    valid = _usable(open_, high, low, any_price) & (stop > 0)
     at_open = ((side == "sell") & (stop >= open_)) | ((side == "buy") & (stop <= open_))
     return F.when(valid & at_open, open_).when(valid & (low <= stop) & (stop <= high), stop)
 
@@ -46,9 +52,9 @@ def deadline(tif: Column, submitted: Column, good_till: Column, close: Column |
     return F.when(F.lower(tif).isin(*DAY_ORDERS), regular if close is None else close).when(F.lower(tif).isin(*DATED_ORDERS), good_till)
 
 
-def valid_bar(b) -> Column:
-    """Whether a bar can trade: open, high and low above 0."""
-    return F.coalesce((b["open"] > 0) & (b["high"] > 0) & (b["low"] > 0), F.lit(False))
+def valid_bar(b, any_price: bool = False) -> Column:
+    """Whether a bar can trade: open, high and low above 0, or merely there."""
+    return F.coalesce(_usable(b["open"], b["high"], b["low"], any_price), F.lit(False))
 
 
 def _block(ts: Column, width: int) -> Column:
@@ -56,7 +62,7 @@ def _block(ts: Column, width: int) -> Column:
     return pos - F.pmod(pos, F.lit(width))
 
 
-def _fold(bars: Column, state: Column, o: str = "") -> Column:
+def _fold(bars: Column, state: Column, o: str = "", any_price: bool = False) -> Column:
     """Run an order over the bars of one box. State: fill ts, fill price, stop already triggered, best price
     since submission (trailing), any bar seen."""
     c = lambda n: F.col(o + n)
@@ -69,15 +75,15 @@ def _fold(bars: Column, state: Column, o: str = "") -> Column:
             & (c("deadline_ts").isNull() | (b["ts"] < c("deadline_ts")))
             & ~(c("immediate") & acc["seen"])
         )
-        lim = limit_fill(c("limit_price"), side, b["open"], b["high"], b["low"])
-        stp = stop_fill(c("stop_price"), side, b["open"], b["high"], b["low"])
+        lim = limit_fill(c("limit_price"), side, b["open"], b["high"], b["low"], any_price)
+        stp = stop_fill(c("stop_price"), side, b["open"], b["high"], b["low"], any_price)
         # On its trigger bar a stop-limit order tests the limit as if the bar opened at the stop fill.
-        first = limit_fill(c("limit_price"), side, stp, b["high"], b["low"])
+        first = limit_fill(c("limit_price"), side, stp, b["high"], b["low"], any_price)
         away = F.when(side == "sell", acc["mark"] - c("trail_price")).otherwise(acc["mark"] + c("trail_price"))
         rel = F.when(side == "sell", acc["mark"] * (1 - c("trail_percent"))).otherwise(acc["mark"] * (1 + c("trail_percent")))
-        trail = stop_fill(F.coalesce(away, rel), side, b["open"], b["high"], b["low"])
+        trail = stop_fill(F.coalesce(away, rel), side, b["open"], b["high"], b["low"], any_price)
         price = (
-            F.when(kind == "market", F.when(b["open"] > 0, b["open"]))
+            F.when(kind == "market", b["open"] if any_price else F.when(b["open"] > 0, b["open"]))
             .when(kind == "limit", lim)
             .when(kind == "stop", stp)
             .when(kind == "stop_limit", F.when(acc["trig"], lim).otherwise(first))
@@ -85,7 +91,7 @@ def _fold(bars: Column, state: Column, o: str = "") -> Column:
         )
         hit = live & price.isNotNull()
         mark = F.when(side == "sell", F.greatest(acc["mark"], b["high"])).otherwise(F.least(acc["mark"], b["low"]))
-        mark = F.when(valid_bar(b), mark).otherwise(acc["mark"])
+        mark = F.when(valid_bar(b, any_price), mark).otherwise(acc["mark"])
         return F.struct(
             F.when(hit, b["ts"]).otherwise(acc["ts"]).alias("ts"),
             F.when(hit, price).otherwise(acc["price"]).alias("price"),
@@ -138,7 +144,8 @@ def _later_blocks(blocks: Column, acc: Column) -> Column:
     def walk(a, b):
         mark = F.when(sell, F.greatest(a["mark"], b["hi"])).otherwise(F.least(a["mark"], b["lo"]))
         may = F.when(sell, b["lo"] <= level(mark)).otherwise(b["hi"] >= level(mark))
-        sure = F.coalesce(F.when(sell, b["lo"] <= level(a["mark"])).otherwise(b["hi"] >= level(a["mark"])), no)
+        reached = F.when(sell, b["lo"] <= level(a["mark"])).otherwise(b["hi"] >= level(a["mark"]))
+        sure = F.coalesce(reached & (level(a["mark"]) > 0), no)
         return F.struct(
             F.when(~a["done"] & may, F.array_append(a["out"], pick(b, no, a["mark"]))).otherwise(a["out"]).alias("out"),
             mark.alias("mark"),
@@ -161,21 +168,22 @@ def _later_blocks(blocks: Column, acc: Column) -> Column:
     return F.coalesce(found, empty)
 
 
-def match_orders(orders: DataFrame, bars: DataFrame, width: int = DAY) -> DataFrame:
+def match_orders(orders: DataFrame, bars: DataFrame, width: int = DAY, any_price: bool = False) -> DataFrame:
     """First fill of every order: adds ``fill_ts`` and ``fill_price`` (null if it never fills).
 
     Orders: order_id, asset, side (buy, sell), type (market, limit, stop, stop_limit, trail), limit_price,
     stop_price, trail_price, trail_percent, submitted_ts, deadline_ts, immediate (only its first bar counts).
     Valid bars (open, high and low above 0) must satisfy low <= open <= high; others fill nothing but market orders
-    at their open. ``width`` is the block and changes the effort only: a day of minute bars is 1440 rows.
+    at their open. ``any_price``: bars of 0 trade like others. ``width`` is the block and changes the effort only: a
+    day of minute bars is 1440 rows.
     """
     boxed = bars.filter(F.col("open").isNotNull()).withColumn("_blk", _block(F.col("ts"), width))
-    valid = valid_bar({c: F.col(c) for c in ("open", "high", "low")})
+    valid = valid_bar({c: F.col(c) for c in ("open", "high", "low")}, any_price)
     per_block = boxed.groupBy("asset", "_blk").agg(
         F.array_sort(F.collect_list(F.struct("ts", "open", "high", "low"))).alias("_bars"),
         F.min(F.when(valid, F.col("low"))).alias("_lo"),
         F.max(F.when(valid, F.col("high"))).alias("_hi"),
-        F.max(F.col("open") > 0).alias("_opens"),
+        F.max(F.col("open").isNotNull() if any_price else F.col("open") > 0).alias("_opens"),
     )
     # One entry per block of an asset: its calendar, not its rows.
     ranges = per_block.groupBy("asset").agg(
@@ -185,7 +193,7 @@ def match_orders(orders: DataFrame, bars: DataFrame, width: int = DAY) -> DataFr
     none = F.lit(None).cast("double")
     own = rows.join(per_block.select("asset", "_blk", "_bars"), ["asset", "_blk"], "left")
     fresh = _state(F.lit(False), none, F.lit(False))
-    own = own.withColumn("_acc", F.coalesce(_fold(F.col("_bars"), fresh), fresh)).drop("_bars")
+    own = own.withColumn("_acc", F.coalesce(_fold(F.col("_bars"), fresh, any_price=any_price), fresh)).drop("_bars")
     own = settle(own)
     filled = own.filter(F.col("_acc")["ts"].isNotNull()).select(*orders.columns, F.struct(F.col("_acc")["ts"].alias("ts"), F.col("_acc")["price"].alias("price")).alias("_f"))
     listed = own.filter(F.col("_acc")["ts"].isNull()).join(ranges, "asset", "left")
@@ -194,7 +202,7 @@ def match_orders(orders: DataFrame, bars: DataFrame, width: int = DAY) -> DataFr
     boxes = per_block.select("asset", F.col("_blk").alias("_nb"), "_bars")
     there = spread.join(boxes, ["asset", "_nb"], "left")
     carried = _state(F.col("_n")["trig"], F.col("_n")["mark"], F.lit(False))
-    there = there.withColumn("_late", _fold(F.col("_bars"), carried))
+    there = there.withColumn("_late", _fold(F.col("_bars"), carried, any_price=any_price))
     late = F.col("_late")
     best = there.select(*orders.columns, F.struct(late["ts"].alias("ts"), late["price"].alias("price")).alias("_f")).unionByName(filled)
     keys = ["order_id"]
@@ -203,16 +211,16 @@ def match_orders(orders: DataFrame, bars: DataFrame, width: int = DAY) -> DataFr
     return done.select(*keys, *[F.col("_o")[c].alias(c) for c in rest], F.col("_f")["ts"].alias("fill_ts"), F.col("_f")["price"].alias("fill_price"))
 
 
-def match_brackets(orders: DataFrame, bars: DataFrame, width: int = DAY) -> DataFrame:
+def match_brackets(orders: DataFrame, bars: DataFrame, width: int = DAY, any_price: bool = False) -> DataFrame:
     """Orders with ``parent_id`` and ``oco_group``: children start working after their parent's fill; within an
     OCO group the first fill wins (lowest order_id on the same bar) and the others are canceled. ``status`` is
     fill, canceled or open."""
-    parents = match_orders(orders.filter(F.col("parent_id").isNull()), bars, width)
+    parents = match_orders(orders.filter(F.col("parent_id").isNull()), bars, width, any_price)
     started = parents.filter(F.col("fill_ts").isNotNull()).select(F.col("order_id").alias("parent_id"), F.col("fill_ts").alias("_from"))
     children = orders.filter(F.col("parent_id").isNotNull()).join(started, "parent_id", "left")
     active = children.filter(F.col("_from").isNotNull())
     active = active.withColumn("submitted_ts", F.greatest("submitted_ts", F.timestamp_micros(F.unix_micros("_from") + 1)))
-    matched = match_orders(active.select(*orders.columns), bars, width)
+    matched = match_orders(active.select(*orders.columns), bars, width, any_price)
     waiting = children.filter(F.col("_from").isNull()).select(*orders.columns)
     every = parents.unionByName(matched).unionByName(waiting, allowMissingColumns=True)
     first = (
@@ -228,12 +236,12 @@ def match_brackets(orders: DataFrame, bars: DataFrame, width: int = DAY) -> Data
     ).drop("_winner")
 
 
-def quote_fills(orders: DataFrame, quotes: DataFrame, tolerance_us: int, max_spread: float | None = None) -> DataFrame:
+def quote_fills(orders: DataFrame, quotes: DataFrame, tolerance_us: int, max_spread: float | None = None, any_price: bool = False) -> DataFrame:
     """Fill price of orders at ``ts`` from the latest fresh quote.
 
     Market crosses the spread. A limit at or beyond the far side takes it, one at or inside the near side rests
     there. A stop triggers on the far side. ``max_spread`` (share of mid) holds back market orders and limits
-    filled at their own price.
+    filled at their own price. ``any_price``: fills at 0 count.
     """
     hit = asof_within(orders, quotes, tolerance_us)
     buy = F.col("side") == "buy"
@@ -247,32 +255,35 @@ def quote_fills(orders: DataFrame, quotes: DataFrame, tolerance_us: int, max_spr
         .when((F.col("type") == "stop") & F.when(buy, far >= stp).otherwise(far <= stp), far)
     )
     crossed = (F.col("type") == "stop") | ((F.col("type") == "limit") & beyond(lim, far))
-    out = hit.withColumn("_p", F.when(price > 0, price))
+    out = hit.withColumn("_p", price if any_price else F.when(price > 0, price))
     if max_spread is not None:
         m = mid(F.col("bid"), F.col("ask"))
-        wide = (m > 0) & ((F.col("ask") - F.col("bid")) / m > max_spread)
+        share = F.when(m != 0, (F.col("ask") - F.col("bid")) / m > max_spread)
+        # A mid of 0 has no spread to speak of: as a price it is too wide a market.
+        wide = F.coalesce(share, m == 0) if any_price else (m > 0) & share
         out = out.withColumn("_p", F.when(F.coalesce(~(wide & ~crossed), F.lit(True)), F.col("_p")))
     return out.withColumnRenamed("_p", "fill_price")
 
 
 def smart_limit_price(
-    bid: Column, ask: Column, side: Column, slippage: Column, final_pct: Column, open_: Column, tick: Column | None = None
+    bid: Column, ask: Column, side: Column, slippage: Column, final_pct: Column, open_: Column, tick: Column | None = None, any_price: bool = False
 ) -> Column:
     """Mid plus slippage, held inside the quote, rounded to the tick (buys up, sells down); nothing if that is
-    beyond the final price. Without a quote the bar's open."""
+    beyond the final price. Without a quote (sides of 0 are one only with ``any_price``) the bar's open."""
     m = mid(bid, ask)
     raw = expected_fill(m, slippage, side)
     held = F.when(side == "buy", F.least(raw, ask)).otherwise(F.greatest(raw, bid))
     fill = round_to_tick(held, tick if tick is not None else infer_tick(bid, ask), side)
     last = final_price(bid, ask, side, final_pct)
     fine = F.when(side == "buy", fill <= last).otherwise(fill >= last)
-    return F.when((bid > 0) & (ask > 0), F.when(fine, fill)).otherwise(open_)
+    quoted = bid.isNotNull() & ask.isNotNull() if any_price else (bid > 0) & (ask > 0)
+    return F.when(quoted, F.when(fine, fill)).otherwise(open_)
 
 
-def smart_limit_fills(orders: DataFrame, quotes: DataFrame, tolerance_us: int) -> DataFrame:
+def smart_limit_fills(orders: DataFrame, quotes: DataFrame, tolerance_us: int, any_price: bool = False) -> DataFrame:
     """Smart-limit orders (side, slippage, final_pct, open) at ``ts`` against the latest fresh quote."""
     hit = asof_within(orders, quotes, tolerance_us)
-    price = smart_limit_price(F.col("bid"), F.col("ask"), F.col("side"), F.col("slippage"), F.col("final_pct"), F.col("open"))
+    price = smart_limit_price(F.col("bid"), F.col("ask"), F.col("side"), F.col("slippage"), F.col("final_pct"), F.col("open"), any_price=any_price)
     return hit.withColumn("fill_price", price)
 
 
