@@ -370,3 +370,8 @@ def test_smart_limits_see_quotes_of_zero_where_any_price_counts(spark, zero_quot
     frame = spark.createDataFrame([(1, "A", T0, "buy", 0.05, 0.5, 7.0)], "order_id long, asset string, ts timestamp, side string, slippage double, final_pct double, open double")
     got = [orders.smart_limit_fills(frame, zero_quote, 1, any_price=p).collect()[0].fill_price for p in (False, True)]
     assert got == [7.0, 0.0]
+
+
+def test_snapshot_of_a_trade_at_zero(spark):
+    one = lambda p: money.snapshot_price(F.lit(0.0), F.lit(1), F.lit(None).cast("double"), F.lit(1), F.lit(0.5), F.lit(1), 60, any_price=p)
+    assert list(spark.range(1).select(one(False), one(True)).collect()[0]) == [0.5, 0.0]

@@ -109,9 +109,11 @@ def quote_flags(bid: Column, ask: Column, last: Column, max_spread: float) -> Co
 
 
 def snapshot_price(
-    trade: Column, trade_age: Column, bid: Column, bid_age: Column, ask: Column, ask_age: Column, max_age: float
+    trade: Column, trade_age: Column, bid: Column, bid_age: Column, ask: Column, ask_age: Column, max_age: float, any_price: bool = False
 ) -> Column:
-    """Fresh trade, else mid of fresh quotes, else the fresh side, else the stale trade."""
-    b = F.when(bid_age <= max_age, positive(bid))
-    a = F.when(ask_age <= max_age, positive(ask))
-    return F.coalesce(F.when(trade_age <= max_age, positive(trade)), mid(b, a), b, a, positive(trade))
+    """Fresh trade, else mid of fresh quotes, else the fresh side, else the stale trade; only those above 0, unless
+    ``any_price``."""
+    usable = (lambda p: p) if any_price else positive
+    b = F.when(bid_age <= max_age, usable(bid))
+    a = F.when(ask_age <= max_age, usable(ask))
+    return F.coalesce(F.when(trade_age <= max_age, usable(trade)), mid(b, a), b, a, usable(trade))
