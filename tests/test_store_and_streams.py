@@ -211,3 +211,15 @@ def test_item_1b_and_unknown_items(spark):
         (1, "item_2"): ("Item 2. ", "Item 2. Places\nplace\n"),
         (4, "item_3"): ("Item 3.", "Item 3."),
     }
+
+
+def test_quotes_of_zero_and_of_a_cent(spark, tmp_path):
+    q = spark.createDataFrame([(0.0, 0.0), (1.0, None), (1.0, 3.0)], "bid double, ask double")
+    assert [r.mid for r in live.quote_stream(q).collect()] == [2.0]
+    assert [r.mid for r in live.quote_stream(q, any_price=True).collect()] == [0.0, 2.0]
+    from tidemark.queries.live import stream_scaled_symbols
+
+    events = [(0, dt.datetime(2024, 1, 1), 0, "click", 0.01, "{}"), (2, dt.datetime(2024, 1, 1), 0, "click", 0.0, "{}")]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(0, "N")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    assert {r.seq: r.mid for r in stream_scaled_symbols(spark, str(tmp_path)).collect()} == {0: 0.01, 2: 0.0}

@@ -56,9 +56,10 @@ def without_replays(stream: DataFrame, key: str = "event_id", ts: str = "ts", ov
     return stream.withWatermark(ts, overlap).dropDuplicatesWithinWatermark([key])
 
 
-def quote_stream(stream: DataFrame) -> DataFrame:
-    """Mid and spread of two-sided quotes."""
-    live = stream.filter((F.col("bid") > 0) & (F.col("ask") > 0))
+def quote_stream(stream: DataFrame, any_price: bool = False) -> DataFrame:
+    """Mid and spread of two-sided quotes: both sides above 0, or with ``any_price`` both there."""
+    two = F.col("bid").isNotNull() & F.col("ask").isNotNull() if any_price else (F.col("bid") > 0) & (F.col("ask") > 0)
+    live = stream.filter(two)
     return live.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid")})
 
 
