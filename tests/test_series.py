@@ -230,3 +230,9 @@ def test_benchmark_comparison(spark):
     for name, value in want.items():
         assert x[name] == pytest.approx(value), name
     assert out["flat"].beta is None and out["flat"].information_ratio is None and "one" not in out
+
+
+def test_growth_beyond_a_double_keeps_its_logarithm(spark):
+    bars = bars_of(spark, [2.0**i for i in range(20)]).withColumn("dividend", F.col("close") * 1e20)
+    top = max(r.log_growth for r in returns.symbol_returns(bars).collect())
+    assert top == pytest.approx(19 * 20 * 2.302585092994046)

@@ -269,6 +269,9 @@ def latest(rows: DataFrame, keys: Sequence[str] = ("asset",), order: Sequence[st
 
 
 def symbol_returns(bars: DataFrame, ax: Axis = BARS) -> DataFrame:
-    """Returns with dividends and the growth of one unit, 1 at the first row."""
+    """Returns with dividends and the growth of one unit, 1 at the first row, with its logarithm, which stays finite
+    where a long series of high returns grows beyond a double; it is negative infinity once all is lost."""
     out = simple_returns(bars, ax)
-    return scan(out, ax, {"growth": ("prod", 1 + F.coalesce("return", F.lit(0.0)))})
+    r = F.coalesce("return", F.lit(0.0))
+    log = F.when(r > -1, F.log1p(r)).otherwise(float("-inf"))
+    return scan(out, ax, {"growth": ("prod", 1 + r), "log_growth": ("sum", log)})

@@ -123,7 +123,7 @@ def simple_returns(spark, sf):
   SELECT asset, ts, round(sum(ln(1 + coalesce(r, 0))) OVER (PARTITION BY asset ORDER BY ts), 6) AS log_growth FROM r""")
 def symbol_growth(spark, sf):
     b = lens.bars(spark, sf).select("asset", "ts", "close", (F.col("volume") / 1000).alias("dividend"))
-    return rounded(returns.symbol_returns(b).select("asset", "ts", F.log("growth").alias("log_growth")))
+    return rounded(returns.symbol_returns(b).select("asset", "ts", "log_growth"))
 
 
 # Month-to-month moves, damped so that products over years stay in range.
