@@ -169,13 +169,17 @@ def daily_with_limited_fill(bars: DataFrame, days: int = 3, ax: Axis = BARS) ->
     """One row per calendar day of a series: up to ``days`` missing days repeat the last close with no
     volume; days in longer gaps stay null and are flagged ``missing``."""
     keys = list(ax.keys)
-    daily = bars.withColumn("day", F.to_date("ts")).select(*keys, "day", *OHLC, "volume")
-    span = daily.groupBy(*keys).agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    grid = span.select(*keys, F.explode(F.sequence("a", "b")).alias("day"))
-    full = grid.join(daily, [*keys, "day"], "left")
+    daily = bars.withColumn("day", F.to_date("ts")).select(*keys, "day", *OHLC, "volume").filter(F.col("day").isNotNull())
     dax = Axis(ax.keys, "day", width=ax.width, measured=False)
     seen = F.when(F.col("close").isNotNull(), F.struct("day", "close"))
-    done = scan(full, dax, {"_seen": ("last", seen)})
+    # Each bar brings along the empty days up to the next one, so the calendar is neither joined nor exchanged.
+    told = scan(daily, dax, {"_seen": ("last", seen), "_next": ("next", F.col("day"))})
+    ahead = F.coalesce(F.datediff("_next", "day"), F.lit(1))
+    told = told.withColumn("_ahead", F.explode(F.sequence(F.lit(0), F.greatest(ahead, F.lit(1)) - 1)))
+    real = F.col("_ahead") == 0
+    done = told.select(
+        *keys, F.date_add("day", F.col("_ahead")).alias("day"), *[F.when(real, F.col(c)).alias(c) for c in (*OHLC, "volume")], "_seen"
+    )
     fill = F.when(F.datediff(F.col("day"), F.col("_seen")["day"]) <= days, F.col("_seen")["close"])
     gap = F.col("close").isNull()
     return done.select(
