@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.resample import bars_from_trades
-from tidemark.plans.blocks import DAY, Axis
+from tidemark.plans.blocks import DAY, Axis, stored
 
 SHIP_SEQ = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
 SHIPMENTS = Axis(("asset",), "ts", SHIP_SEQ, width=180 * DAY)
@@ -92,10 +92,13 @@ MONTHLY = f"""{SHIPMENTS_SQL}, monthly AS (SELECT asset, date_trunc('month', s.t
 
 
 def fills(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem as fills: accounts trading five assets, returns sell."""
+    """lineitem as fills: accounts trading five assets, returns sell. The join is stored: operators go over fills
+    several times (row counts of blocks, their totals, the rows), and each time would exchange both tables anew."""
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
-        (F.col("o_custkey") % 100).alias("account"),
+    used = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag", "l_shipdate")
+    joined = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(*used, (F.col("o_custkey") % 100).alias("account"))
+    return stored(joined, "fills").select(
+        "account",
         (F.col("l_suppkey") % 5).alias("asset"),
         F.col("l_shipdate").alias("ts"),
         F.when((F.col("l_returnflag") == "R") | (F.col("l_linenumber") % 3 == 0), "sell").otherwise("buy").alias("side"),
