@@ -58,11 +58,10 @@ def normalize_strikes(chain: DataFrame, by: tuple[str, ...] = ("underlying", "ex
 def dividend_cash(fills: DataFrame, dividends: DataFrame, ax: Axis) -> DataFrame:
     """Cash per account and ex-date: the position held before the day times the amount per share; one payment
     per (account, asset, date), options left out beforehand. Fills: account, asset, ts, side, quantity."""
-    held = scan(
-        fills, ax, {"held": ("sum", (side_sign(F.col("side")) * F.col("quantity")))}
-    )
-    seq = list(ax.seq)
-    eod = latest_by(held.select("account", "asset", "ts", *seq, "held"), ["account", "asset", "ts"], F.struct(*seq, "held"))
+    # Only the position after the last fill of a stamp counts, so fills are summed by stamp before they are exchanged.
+    flow = side_sign(F.col("side")) * F.col("quantity")
+    net = fills.groupBy("account", "asset", "ts").agg(F.sum(flow).alias("_q"))
+    eod = scan(net, Axis(ax.keys, "ts", (), ax.width, ax.max_rows, ax.measured), {"held": ("sum", F.col("_q"))})
     pays = dividends.groupBy("asset", "event_date").agg(F.max("cash_amount").alias("cash_amount"))
     # Accounts that ever traded the asset, times its dividends: the rows the answer is made of.
     due = fills.select("account", "asset").distinct().join(pays, "asset")
