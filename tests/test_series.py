@@ -236,3 +236,20 @@ def test_growth_beyond_a_double_keeps_its_logarithm(spark):
     bars = bars_of(spark, [2.0**i for i in range(20)]).withColumn("dividend", F.col("close") * 1e20)
     top = max(r.log_growth for r in returns.symbol_returns(bars).collect())
     assert top == pytest.approx(19 * 20 * 2.302585092994046)
+
+
+def test_limited_fill_joins_no_calendar(spark):
+    days = [dt.datetime(2024, 1, d) for d in (1, 3, 8)]
+    bars = spark.createDataFrame([("A", t, *[float(t.day)] * 4, 1.0) for t in days], "asset string, ts timestamp, open double, high double, low double, close double, volume double")
+    out = ingest.daily_with_limited_fill(bars)
+    assert [(r.day.day, r.close, r.volume, r.missing) for r in out.orderBy("day").collect()] == [
+        (1, 1.0, 1.0, False), (2, 1.0, 0.0, False), (3, 3.0, 1.0, False), (4, 3.0, 0.0, False), (5, 3.0, 0.0, False), (6, 3.0, 0.0, False), (7, None, None, True), (8, 8.0, 1.0, False),
+    ]
+    # one join, of the few block totals
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_fills_are_joined_once(spark):
+    from tidemark.queries import lens
+
+    assert "Join" not in lens.fills(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
