@@ -246,3 +246,81 @@ def test_vector_query_against_sql(spark, small):
     embeddings = pq.read_table(f"{small}/embeddings.parquet")  # noqa: F841
     expected = sorted(duckdb.sql(vectors.OP7_SQL).fetchall())
     assert sorted(tuple(r) for r in vectors.op7_embedding_near_dedup(spark, small).collect()) == expected
+
+
+def test_distances_of_many_pairs():
+    from brute import distance
+
+    rnd = random.Random(3)
+    pairs = []
+    for k in range(400):
+        a = "".join(rnd.choices("abcdé 0", k=rnd.randint(1, 200)))
+        b = "".join(c if rnd.random() > 0.15 else rnd.choice("xyz") for c in a) if k % 2 else "".join(rnd.choices("abcdé 0", k=rnd.randint(1, 200)))
+        pairs.append((a, b) if len(a) <= len(b) else (b, a))
+    codes = [[np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in side] for side in zip(*pairs)]
+    want = np.array([distance(a, b) for a, b in pairs])
+    assert (lines.distances(*codes, np.full(400, 1e9)) == want).all()
+    most = np.array([0.2 * len(b) for _, b in pairs])
+    got = lines.distances(*codes, most)
+    assert ((got <= most) == (want <= most)).all() and (got == want)[want <= most].all()
+    assert (lines.all_alike(pairs) == (want <= most + 1e-9)).all() and (want <= most).any()
+
+
+def sketched(n, seed, length=104, bits=3):
+    """Lines (id, print, more, third, keys) of one block: SimHashes a few bits apart, or anywhere."""
+    rnd = random.Random(seed)
+    base = [rnd.getrandbits(56) for _ in range(5)]
+    out = []
+    for k in range(n):
+        x = base[k % 5]
+        for _ in range(bits if k % 3 else 40):
+            x ^= 1 << rnd.randrange(56)
+        code = length + k % 9
+        out.append((k, x | code << 56, 0, 0, [7]))
+    return out
+
+
+def test_large_blocks_lose_no_candidate(spark):
+    """Every line of a block meets every other that its SimHash lets through, however many they are and whatever their order,
+    unless both are connected by then. Links here are pairs of an odd sum, so no line speaks for the others."""
+    rows = sketched(700, 4)
+    frame = spark.createDataFrame(rows, "id bigint, print bigint, more bigint, third bigint, keys array<int>")
+    prints = np.array([r[1] for r in rows], np.uint64)
+    zero = np.zeros(len(rows), np.uint64)
+    a, b = np.triu_indices(len(rows), 1)
+    near = lines.candidates(prints, zero, zero, a, b)
+    want = {(int(x), int(y)) for x, y in zip(a[near], b[near])}
+    got = {(min(p), max(p)) for part in lines.block_pairs(prints, zero, zero) for p in zip(*(lines_.tolist() for lines_ in part))}
+    assert got == want and len(want) > 30 * lines.SMALL
+    odd = [(x, y) for x, y in want if (x // 50 + y // 50) % 7 == 1]
+    heads = list(range(len(rows)))
+
+    def head(x):
+        while heads[x] != x:
+            x = heads[x]
+        return x
+
+    for x, y in odd:
+        x, y = head(x), head(y)
+        heads[max(x, y)] = min(x, y)
+    linked = {x for p in odd for x in p}
+    expected = {x: head(x) for x in linked}
+    for most in (lines.HOT, 200):
+        tried = []
+
+        def confirm(pairs):
+            tried.append(pairs.count())
+            return pairs.where("(int(a / 50) + int(b / 50)) % 7 = 1")
+
+        found = lines.linked_lines(frame, confirm, most)
+        assert {r.node: r.component for r in found.collect()} == expected
+        assert len(tried) == 2 and 0 < tried[0] <= 16 * len(rows) * (1 if most > 700 else 12)
+
+
+def test_codes_of_very_long_lines_begin_anew():
+    prints = np.array([(c % 256) << 56 for c in [*range(240, 270)] * 2], np.uint64)
+    zero = np.zeros(len(prints), np.uint64)
+    a, b = np.triu_indices(len(prints), 1)
+    near = lines.candidates(prints, zero, zero, a, b)
+    got = [(min(p), max(p)) for part in lines.block_pairs(prints, zero, zero) for p in zip(*(x.tolist() for x in part))]
+    assert set(got) == set(zip(a[near].tolist(), b[near].tolist()))
