@@ -155,3 +155,13 @@ def test_fade_equals_recursion(spark, ax, kind):
             last, y, z = r.asset, 0.0, 0.0
         y, z = (1.0 if r.k is None else r.k) * y + (r.x or 0.0), 0.5 * z + (r.x or 0.0)
         assert r.y == pytest.approx(y, rel=1e-11) and r.z == pytest.approx(z, rel=1e-11)
+
+
+def test_asof_of_unique_right_rows(spark):
+    """``unique`` spares the aggregate of the right side and changes nothing else."""
+    left = spark.range(400).selectExpr("cast(id % 7 as string) asset", "timestamp_micros(id * 5000000) ts", "id")
+    right = spark.range(150).selectExpr("cast(id % 7 as string) asset", "timestamp_micros(id * 14000000) q_ts", "id * 1.5 q")
+    for strict in (False, True):
+        plain = asof(left, right, right_ts="q_ts", strict=strict, width=60_000_000)
+        told = asof(left, right, right_ts="q_ts", strict=strict, width=60_000_000, unique=True)
+        assert sorted(told.collect(), key=str) == sorted(plain.collect(), key=str)

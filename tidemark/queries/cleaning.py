@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import times
 from tidemark.operators import coverage, ingest, joins, resample
-from tidemark.plans.blocks import DAY, HOUR, Axis, asof
+from tidemark.plans.blocks import DAY, HOUR, Axis, asof, stored
 from tidemark.queries import lens
 from tidemark.queries.registry import query
 from tidemark.queries.series import rounded
@@ -284,7 +284,8 @@ def asof_strict(spark, sf):
     right = s.select("asset", F.col("ts").alias("prev_ts"), F.col("price").alias("prev_price"), *lens.SHIP_SEQ)
     left = s.select("asset", "ts", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     slim = right.groupBy("asset", "prev_ts").agg(F.max_by("prev_price", F.struct(*lens.SHIP_SEQ)).alias("prev_price"))
-    return asof(left, slim, right_ts="prev_ts", strict=True, width=180 * DAY)
+    # asof goes over both sides several times; the daily prices are found once
+    return asof(left, stored(slim, "daily-prices"), right_ts="prev_ts", strict=True, width=180 * DAY, unique=True)
 
 
 @query("asof_within_tolerance", "J2", f"""WITH {_QUOTES}, h AS (SELECT p.asset, ts, seq, q_ts, bid FROM probes p ASOF LEFT JOIN quotes q ON p.asset = q.asset AND p.ts >= q.q_ts)
