@@ -1,5 +1,7 @@
 import collections
+import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm.automata import CountAutomaton
-from tidemark.llm.phrases import Words, collocations, op12_collocations
+from tidemark.llm.phrases import Words, collocations, op12_collocations, sift_shards
 
 KEYS = st.dictionaries(st.lists(st.binary(max_size=2), min_size=1, max_size=4).map(tuple), st.integers(1, 5), max_size=30)
 
@@ -93,3 +95,16 @@ def test_odd_texts(spark):
 @pytest.mark.parametrize("rows", [[], [(None, None)], [("only one each", "en")], [("word " * 3, "en")]])
 def test_nothing_frequent(spark, rows):
     assert found(collocations(frame(spark, rows))) == []
+
+
+def test_sifting_a_large_batch_takes_little_memory():
+    """Several tasks share an executor, so the work arrays must not grow with the batch."""
+    rnd = random.Random(1)
+    words = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(5000)]
+    texts = [" ".join(rnd.choices(words, k=300)) for _ in range(6000)]
+    batch = pa.record_batch({"text": texts, "lang": ["en"] * len(texts)})
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in sift_shards(2, 8, [])(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and peak < 120 << 20

@@ -35,7 +35,9 @@ from tidemark.llm.words import byte_runs, mix, word_hashes
 from tidemark.plans.blocks import shared_dir
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-RANGE_BYTES, HELD, GRAMS, UNITE_BYTES = 16 << 20, 4_000_000, 400_000, 16 << 20
+RANGE_BYTES, HELD, GRAMS, UNITE_BYTES = 16 << 20, 1_000_000, 200_000, 16 << 20
+#: Bytes of texts that are cut into words at once; the work arrays of a task take some sixty times as much.
+PART_BYTES = 1 << 19
 #: Bits of the table of frequent n-grams, at most 32 MB.
 MOST_BITS = 28
 SALTS = 32
@@ -131,6 +133,7 @@ def sift_shards(n: int, ranges: int, tables: list[Broadcast]):
         frequent = [t.value for t in tables]
         borders = np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def emit() -> pa.RecordBatch:
             codes, counts = _added(held)
@@ -141,15 +144,18 @@ def sift_shards(n: int, ranges: int, tables: list[Broadcast]):
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *both], names=["range", "codes", "counts"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 *_, (_, code) = Words(part.column("text"), part.column("lang").to_pylist()).grams(n, frequent)
                 code = np.sort(code)
                 first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
                 held.append((code[first], np.diff(first, append=len(code))))
-                if sum(len(c) for c, _ in held) > HELD:
+                size += len(first)
+                if size > HELD:
                     held[:] = [_added(held)]
-                    if len(held[0][0]) > HELD // 2:
+                    size = len(held[0][0])
+                    if size > HELD // 2:
                         yield emit()
+                        size = 0
         if held:
             yield emit()
 
@@ -160,21 +166,24 @@ def frequent_codes(least: int):
     """Hashes and counts sorted by range -> the hashes that are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, size = None, [], 0
 
         def done() -> pa.RecordBatch:
             codes, counts = _added(held)
             return pa.RecordBatch.from_arrays([pa.array(codes[counts >= least].view(np.int64))], names=["code"])
 
         for batch in batches:
-            for r, codes, counts in zip(*(batch.column(c).to_pylist() for c in ("range", "codes", "counts"))):
+            for r, codes, counts in zip(batch.column("range").to_pylist(), batch.column("codes"), batch.column("counts")):
                 if r != now:
                     if held:
                         yield done()
-                    now, held = r, []
-                held.append((np.frombuffer(codes, np.uint64), np.frombuffer(counts, np.int64)))
-                if sum(len(c) for c, _ in held) > 2 * HELD and len(held) > 1:
+                    now, held, size = r, [], 0
+                # copies, so that no batch stays for the part of it that is held
+                held.append((np.frombuffer(codes.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64)))
+                size += len(held[-1][0])
+                if size > 2 * max(HELD, len(held[0][0])) and len(held) > 1:
                     held = [_added(held)]
+                    size = len(held[0][0])
         if held:
             yield done()
 
@@ -211,7 +220,7 @@ def shard_counts(ranges: int, tables: list[Broadcast]):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), _TOTAL))], names=["range", "counts", "total"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 langs = part.column("lang").to_pylist()
                 words = Words(part.column("text"), langs)
                 for text, n in enumerate(np.bincount(words.text, minlength=len(langs)).tolist()):
