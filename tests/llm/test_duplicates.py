@@ -1,6 +1,7 @@
 """Near-duplicate documents, lines and vectors, and connected components, against plain versions."""
 
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -266,6 +267,35 @@ def test_distances_of_many_pairs():
     assert (lines.all_alike(pairs) == (want <= most + 1e-9)).all() and (want <= most).any()
 
 
+def test_wide_lines_are_compared_together(monkeypatch):
+    """Lines of any usual length go through arrays, of bounded size; the plain way one pair at a time is for the last few."""
+    from brute import distance
+
+    rnd = random.Random(6)
+
+    def line(n):
+        return " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(n))
+
+    def edited(text, share):
+        return "".join(rnd.choice("xyz") if rnd.random() < share else c for c in text)
+
+    def one_by_one(a, b):
+        raise AssertionError(f"compared alone: {len(a)}, {len(b)}")
+
+    wide = [(a, edited(a, (0.02, 0.17, 0.2, 0.23)[k % 4]) if k % 5 else line(240)) for k, a in enumerate(line(240) for _ in range(40))]
+    want = [distance(a, b) <= 0.2 * max(len(a), len(b)) for a, b in wide]
+    assert min(len(a) for a, _ in wide) > 1200 and 5 < sum(want) < 35
+    with monkeypatch.context() as m:
+        m.setattr(lines, "alike", one_by_one)
+        assert lines.all_alike(wide).tolist() == want
+    many = [(line(140), line(140)) for _ in range(2000)]
+    tracemalloc.start()
+    assert not lines.all_alike(many).any()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
 def sketched(n, seed, length=104, bits=3):
     """Lines (id, print, more, third, keys) of one block: SimHashes a few bits apart, or anywhere."""
     rnd = random.Random(seed)
