@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 from brute import lost_lines, near_duplicates, removed_lines, rows_of
+from pyspark.sql import functions as F
 
 from tidemark.llm import common, lines, neardup, vectors, words
 
@@ -163,6 +164,49 @@ def test_lines_of_edit_similarity_are_found_without_a_fingerprint(docs):
     assert all(got[d] == 0 for d in got if d < 1000 or d - 1000 not in near)
 
 
+def syllable_lines(n, seed, least, most):
+    """Lines of words of a few syllables, as the given documents have them."""
+    r = random.Random(seed)
+    parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+    usual = ["".join(r.choices(parts, k=r.randint(1, 2))) for _ in range(60)]
+    out = []
+    for _ in range(n):
+        size, line = r.randint(least, most), ""
+        while len(line) < size:
+            line += (r.choice(usual) if r.random() < 0.6 else "".join(r.choices(parts, k=r.randint(1, 4)))) + " "
+        out.append(line.strip())
+    return out
+
+
+def candidates_of(docs, rows):
+    found = lines.line_rows(docs(rows).withColumn("row", F.col("doc_id"))).where("keys IS NOT NULL")
+    blocks = lines.block_rows(found.select(F.col("doc_id").alias("id"), "keys", "print", "more", "third"), lines.HOT)
+    return {(min(p), max(p)) for p in lines.compared(blocks, False).where("print IS NULL").select("a", "b").collect()}
+
+
+def test_unrelated_lines_of_the_same_syllables_are_seldom_compared(docs):
+    rows = list(enumerate(syllable_lines(1200, 3, 500, 900)))
+    assert len(candidates_of(docs, rows)) < 3000
+
+
+def test_lines_with_letters_replaced_are_compared(docs):
+    """Lines of 140 to 300 code points of which one in twelve is another: found in over three quarters of cases."""
+    r = random.Random(8)
+    first = syllable_lines(400, 4, 140, 300)
+    copies = ["".join(r.choice("abcdefghijklmnop") if c != " " and r.random() < 1 / 12 else c for c in x) for x in first]
+    got = candidates_of(docs, list(enumerate(first)) + [(1000 + k, x) for k, x in enumerate(copies)])
+    assert sum((k, 1000 + k) in got for k in range(400)) > 300
+
+
+def test_the_kinds_of_blocks_overlap_where_lines_can_be_near(docs):
+    """Pairs of a shorter and a longer line about the length at which the kind of blocks changes."""
+    longer = syllable_lines(200, 6, lines.LINE, lines.LINE + 8)
+    rows = [(k, x) for k, x in enumerate(longer)] + [(1000 + k, x[: lines.LINE - 1 - k % 3]) for k, x in enumerate(longer)]
+    near = [k for k, x in enumerate(longer) if lines.alike(x, lines.normalised(rows[200 + k][1]))]
+    got = candidates_of(docs, rows)
+    assert len(near) > 100 and sum((k, 1000 + k) in got for k in near) > 0.95 * len(near)
+
+
 def test_line_query(spark, small):
     """Against a join of all lines at edit similarity 0.8: nothing else goes, and nearly all of it does."""
     rows = rows_of(small)
