@@ -164,6 +164,25 @@ def test_lines_of_edit_similarity_are_found_without_a_fingerprint(docs):
     assert all(got[d] == 0 for d in got if d < 1000 or d - 1000 not in near)
 
 
+def test_a_worker_gives_free_memory_back():
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    def make(batches):
+        for batch in batches:
+            held = [bytes(3000) for _ in range(50_000)]
+            last = bytes(3000)  # keeps what was before it from being given back by itself
+            del held
+            yield batch
+        del last
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["a"])
+    run = common.giving_back(make)(iter([batch, batch]))
+    assert next(run) is batch
+    before = resident()
+    assert list(run) == [batch] and resident() < before - (50 << 20)
+
+
 def syllable_lines(n, seed, least, most):
     """Lines of words of a few syllables, as the given documents have them."""
     r = random.Random(seed)
