@@ -205,16 +205,18 @@ def candidates_of(docs, rows):
 
 def test_unrelated_lines_of_the_same_syllables_are_seldom_compared(docs):
     rows = list(enumerate(syllable_lines(1200, 3, 500, 900)))
-    assert len(candidates_of(docs, rows)) < 3000
+    found = lines.line_rows(docs(rows).withColumn("row", F.col("doc_id"))).select("doc_id", F.explode("keys").alias("key"))
+    pairs = found.alias("a").join(found.alias("b"), "key").where("a.doc_id < b.doc_id").select("a.doc_id", "b.doc_id").distinct()
+    assert pairs.count() < 30_000
 
 
 def test_lines_with_letters_replaced_are_compared(docs):
-    """Lines of 140 to 300 code points of which one in twelve is another: found in over three quarters of cases."""
+    """Lines of 140 to 300 code points of which one in twelve is another."""
     r = random.Random(8)
     first = syllable_lines(400, 4, 140, 300)
     copies = ["".join(r.choice("abcdefghijklmnop") if c != " " and r.random() < 1 / 12 else c for c in x) for x in first]
     got = candidates_of(docs, list(enumerate(first)) + [(1000 + k, x) for k, x in enumerate(copies)])
-    assert sum((k, 1000 + k) in got for k in range(400)) > 300
+    assert sum((k, 1000 + k) in got for k in range(400)) > 340
 
 
 def test_the_kinds_of_blocks_overlap_where_lines_can_be_near(docs):
