@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidemark.llm import phrases
 from tidemark.llm.automata import CountAutomaton
 from tidemark.llm.phrases import Words, collocations, op12_collocations, sift_shards
 
@@ -108,3 +109,40 @@ def test_sifting_a_large_batch_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows and peak < 120 << 20
+
+
+class Told:
+    def __init__(self, value):
+        self.value = value
+
+
+def sorted_rows(batches, by):
+    rows = [r for b in batches for r in b.to_pylist()]
+    return sorted(rows, key=lambda r: r[by])
+
+
+def counted(tasks, ranges, longest, least):
+    """The n-grams of all tasks with their counts, and the number of keys that were put into transducers."""
+    every = [Told(np.full(1 << 13, 255, np.uint8))] * longest
+    shards = sorted_rows([b for t in tasks for b in phrases.shard_counts(ranges, every)(iter([t]))], "range")
+    grams = sorted_rows(phrases.counted_once(least, ranges)(iter([pa.RecordBatch.from_pylist(shards, phrases._COUNTED)])), "range")
+    names = {"range": pa.int32(), "lang": pa.string(), "words": pa.binary(), "count": pa.int64(), "total": phrases._TOTAL}
+    tables = list(phrases.transducers(iter([pa.RecordBatch.from_pylist(grams, pa.schema(list(names.items())))])))
+    keys = [k for b in tables for k in phrases.keys_of(b)]
+    return dict(keys), len(keys), sum(r["words"] is not None for r in grams)
+
+
+def test_a_phrase_of_every_task_is_one_key():
+    """However many tasks have a phrase, one key of it is built."""
+    texts = ["new york is big. new  york, NEW\tYORK", "é ß é ß \x00 é"]
+    tasks = [pa.record_batch({"text": texts, "lang": ["en", "fr\nx"]}) for _ in range(12)]
+    got, keys, rows = counted(tasks, 8, 2, 24)
+    assert got[b"en", b"new", b"york"] == 36 and got["fr\nx".encode(), "é".encode(), "ß".encode()] == 24
+    assert (b"en", b"york") in got and (b"en", b"york", b"is") not in got
+    assert keys == rows == len(got)
+
+
+def test_phrases_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(phrases, "mix", lambda x: x * np.uint64(0) + np.uint64(7))
+    tasks = [pa.record_batch({"text": [x], "lang": ["en"]}) for x in ("a", "b", "a", "bc", "a", "b")]
+    assert counted(tasks, 2, 1, 1)[0] == {(b"en", b"a"): 3, (b"en", b"b"): 2, (b"en", b"bc"): 1}

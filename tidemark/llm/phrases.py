@@ -6,10 +6,11 @@ counts are of one language; a null language is ``und``, a null text is empty.
 An n-gram can't be more frequent than the two shorter ones in it, so n-grams are sifted by the number of words: those
 whose parts were frequent are counted by hash (sorted arrays, exchanged by hash range), and those of at least ``least`` are
 told to the next round by a table of hash bits of a fixed greatest size. A false hit costs time, never a wrong result.
-Then each task turns the n-grams that passed into a sorted list with counts and that into a count transducer, cut by
-prefix range (a hash of the key up to the second byte of its last word, so that no common word is a range of its own).
-The transducers of a range are united, adding up counts, and pruned to those of at least ``least``. Counts of parts are
-looked up by composing the acceptor of the parts asked for in a range with its transducer. N-grams of one task are told
+Then each task counts the n-grams that passed once more, with the words of each, in arrays sorted by hash; those of a hash
+range meet, and of each n-gram of at least ``least`` one row with its count goes to its prefix range (a hash of the key up to
+the second byte of its last word, so that no common word is a range of its own). So a phrase that every task has is
+spelled out as a key once, whatever the number of tasks. The keys of a prefix range become a count transducer. Counts of parts
+are looked up by composing the acceptor of the parts asked for in a range with its transducer. N-grams of one task are told
 apart by 64-bit hashes, those of different tasks by their words.
 
 A candidate is scored by its worst cut. It is dropped if a longer candidate that contains it is as frequent; then one that
@@ -35,7 +36,7 @@ from tidemark.llm.words import byte_runs, mix, word_hashes
 from tidemark.plans.blocks import shared_dir
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-RANGE_BYTES, HELD, GRAMS, UNITE_BYTES = 16 << 20, 1_000_000, 200_000, 16 << 20
+RANGE_BYTES, HELD, GRAMS = 16 << 20, 1_000_000, 200_000
 #: Bytes of texts that are cut into words at once; the work arrays of a task take some sixty times as much.
 PART_BYTES = 1 << 19
 #: Bits of the table of frequent n-grams, at most 32 MB.
@@ -90,13 +91,21 @@ class Words:
                 at, code = at[good], code[good]
             yield at, code
 
-    def key(self, at: int, n: int) -> Key:
+    def spelled(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sizes and the bytes, one behind the other, of the n-grams whose first words are ``at``; a space parts words."""
         if self._bytes is None:
             low = np.arange(256, dtype=np.uint8)
             low[65:91] += 32
-            self._bytes = low[self._raw].tobytes()
-        text = self._bytes
-        return (self.langs[self.text[at]].encode(), *[text[a:b] for a, b in zip(self.first[at : at + n].tolist(), self.last[at : at + n].tolist())])
+            sizes = self.last - self.first
+            self._starts = np.append(0, np.cumsum(sizes + 1))
+            self._bytes = np.full(self._starts[-1], 32, np.uint8)
+            inside = np.repeat(self.first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            self._bytes[np.repeat(np.arange(len(sizes)), sizes) + np.arange(len(inside))] = low[self._raw[inside]]
+        starts, sizes = self._starts[at], self._starts[at + n] - self._starts[at] - 1
+        return sizes, self._bytes[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+    def key(self, at: int, n: int) -> Key:
+        return (self.langs[self.text[at]].encode(), *self.spelled(np.array([at]), n)[1].tobytes().split(b" "))
 
 
 def known(table: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -109,14 +118,6 @@ def prefix_range(key: Key, ranges: int) -> int:
     return zlib.crc32(b"\n".join((*key[:-1], key[-1][:2]))) % ranges
 
 
-def cut_by_range(counted: dict[Key, int], ranges: int) -> Iterator[tuple[int, bytes, None]]:
-    parts: dict[int, list[tuple[Key, int]]] = {}
-    for item in counted.items():
-        parts.setdefault(prefix_range(item[0], ranges), []).append(item)
-    for r, items in parts.items():
-        yield r, CountAutomaton.build(sorted(items)).to_bytes(), None
-
-
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes with the sums of their counts."""
     codes, counts = (np.concatenate(x) for x in zip(*parts))
@@ -202,22 +203,65 @@ def frequent_table(codes: DataFrame, n: int) -> np.ndarray:
     return table.view(np.uint8)
 
 
+class Counted:
+    """N-grams with counts: sorted hashes, and the words of each in order of arrival."""
+
+    def __init__(self) -> None:
+        self.codes, self.counts, self.came = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.sizes, self.langs, self.texts, self.known = [], [], [], {}
+
+    def add(self, words: Words, at: np.ndarray, code: np.ndarray, n: int) -> None:
+        codes, where, counts = np.unique(code, return_index=True, return_counts=True)
+        place = np.searchsorted(self.codes, codes)
+        held = np.zeros(len(codes), bool)
+        inside = place < len(self.codes)
+        held[inside] = self.codes[place[inside]] == codes[inside]
+        self.counts[place[held]] += counts[held]
+        new = ~held
+        first = at[where[new]]
+        sizes, text = words.spelled(first, n)
+        of = np.array([self.known.setdefault(x, len(self.known)) for x in words.langs], np.int32)
+        self.sizes.append(sizes)
+        self.langs.append(of[words.text[first]])
+        self.texts.append(text)
+        came = np.arange(len(first)) + len(self.came)
+        self.codes, self.counts, self.came = (np.insert(x, place[new], y) for x, y in ((self.codes, codes[new]), (self.counts, counts[new]), (self.came, came)))
+
+    def cut(self, ranges: int) -> Iterator[dict]:
+        """A row of arrays for each range of hashes."""
+        if not len(self.codes):
+            return
+        sizes, langs = np.concatenate(self.sizes)[self.came], np.concatenate(self.langs)[self.came]
+        text, ends = spliced(np.concatenate(self.texts), np.concatenate(self.sizes), self.came)
+        cut = np.concatenate([[0], np.searchsorted(self.codes, np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges)), [len(self.codes)]])
+        for r in np.flatnonzero(np.diff(cut)).tolist():
+            a, b = cut[r], cut[r + 1]
+            arrays = {k: x[a:b].tobytes() for k, x in (("codes", self.codes), ("counts", self.counts), ("sizes", sizes), ("langs", langs))}
+            yield {"range": r, "texts": text[ends[a] : ends[b]].tobytes(), "names": list(self.known), **arrays}
+
+
+def spliced(text: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings of ``sizes``, one behind the other in ``text``, in another order, and where each begins."""
+    starts, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    ends = np.append(0, np.cumsum(size, dtype=np.int64))
+    return text[np.repeat(starts - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+_COUNTED = pa.schema([("range", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("langs", pa.binary()), ("texts", pa.binary()), ("names", pa.list_(pa.string())), ("total", pa.map_(pa.string(), pa.int64()))])
+_COUNTED_DDL = "range int, codes binary, counts binary, sizes binary, langs binary, texts binary, names array<string>, total map<string,bigint>"
+
+
 def shard_counts(ranges: int, tables: list[Broadcast]):
-    """Texts -> count transducers of their frequent n-grams, by prefix range, and the words of each language."""
+    """Texts -> their frequent n-grams with words and counts, by hash range, and the number of words of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = [t.value for t in tables]
-        held: list[dict[int, list]] = [{} for _ in frequent]
-        total: dict[str, int] = {}
+        held, total = Counted(), {}
 
         def emit() -> pa.RecordBatch:
-            found = list(cut_by_range({key: count for level in held for key, count in level.values()}, ranges))
-            found += [(zlib.crc32(lang.encode()) % ranges, None, [(lang, n)]) for lang, n in total.items()]
+            found = list(held.cut(ranges)) + [{"range": zlib.crc32(lang.encode()) % ranges, "total": [(lang, n)]} for lang, n in total.items()]
             total.clear()
-            for level in held:
-                level.clear()
-            columns = zip(*found) if found else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), _TOTAL))], names=["range", "counts", "total"])
+            return pa.RecordBatch.from_pylist(found, _COUNTED)
 
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
@@ -226,52 +270,99 @@ def shard_counts(ranges: int, tables: list[Broadcast]):
                 for text, n in enumerate(np.bincount(words.text, minlength=len(langs)).tolist()):
                     total[langs[text]] = total.get(langs[text], 0) + n
                 for size, (at, code) in enumerate(words.grams(len(frequent), frequent), 1):
-                    level = held[size - 1]
-                    codes, where, counts = np.unique(code, return_index=True, return_counts=True)
-                    for c, k, m in zip(codes.tolist(), at[where].tolist(), counts.tolist()):
-                        if c in level:
-                            level[c][1] += m
-                        else:
-                            level[c] = [words.key(k, size), m]
-                if sum(map(len, held)) > GRAMS:
+                    held.add(words, at, code, size)
+                if len(held.codes) > HELD:
                     yield emit()
+                    held = Counted()
         yield emit()
 
     return run
 
 
-_TOTAL = pa.map_(pa.string(), pa.int64())
-
-
-def unite(least: int):
-    """Transducers sorted by range -> one of each range, pruned; totals are added up."""
+def counted_once(least: int, ranges: int):
+    """N-grams sorted by hash range -> each frequent one with its count, by prefix range; totals go on as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, size, total = None, [], 0, {}
+        now, held = None, []
 
         def done() -> pa.RecordBatch:
-            kept = CountAutomaton.union(parts, least).to_bytes()
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([kept], pa.binary()), pa.array([list(total.items())], _TOTAL)], names=["range", "counts", "total"])
+            names = {x: k for k, x in enumerate(dict.fromkeys(x for row in held for x in row["names"]))}
+            langs = np.concatenate([np.array([names[x] for x in row["names"]], np.int32)[np.frombuffer(row["langs"], np.int32)] for row in held])
+            codes, counts, sizes = (np.concatenate([np.frombuffer(row[c], kind) for row in held]) for c, kind in (("codes", np.uint64), ("counts", np.int64), ("sizes", np.int64)))
+            order = np.argsort(codes, kind="stable")
+            text, ends = spliced(np.frombuffer(b"".join(row["texts"] for row in held), np.uint8), sizes, order)
+            codes, counts, sizes, langs = codes[order], counts[order], sizes[order], langs[order]
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            group = np.repeat(np.arange(len(first)), np.diff(first, append=len(codes)))
+            # n-grams of one hash have the same words, or they are told apart
+            same = (sizes == sizes[first][group]) & (langs == langs[first][group])
+            some = np.flatnonzero(same)
+            told, _ = spliced(text, sizes, first[group[some]])
+            own, at = spliced(text, sizes, some)
+            same[some] = np.add.reduceat(own != told, at[:-1], dtype=np.int64) == 0
+            apart = np.zeros(len(first), bool)
+            apart[group[~same]] = True
+            known, raw = list(names), text.tobytes()
+            sums = np.add.reduceat(counts, first)
+            found = [(known[langs[k]], raw[ends[k] : ends[k + 1]], n) for k, n in zip(first[~apart & (sums >= least)].tolist(), sums[~apart & (sums >= least)].tolist())]
+            odd: dict[tuple[str, bytes], int] = {}
+            for k in np.flatnonzero(apart[group]).tolist():
+                key = known[langs[k]], raw[ends[k] : ends[k + 1]]
+                odd[key] = odd.get(key, 0) + int(counts[k])
+            found += [(*key, n) for key, n in odd.items() if n >= least]
+            at = [prefix_range((lang.encode(), *words.split(b" ")), ranges) for lang, words, _ in found]
+            lang, words, count = zip(*found) if found else ((), (), ())
+            return out(at, lang, words, count, [None] * len(at))
+
+        def out(*columns: Iterable) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.binary(), pa.int64(), _TOTAL))], names=["range", "lang", "words", "count", "total"])
 
         for batch in batches:
-            for r, raw, told in zip(*(batch.column(c).to_pylist() for c in ("range", "counts", "total"))):
-                if r != now:
-                    if now is not None:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if row["total"]:
+                    yield out([row["range"]], [None], [None], [None], [row["total"]])
+                    continue
+                if row["range"] != now:
+                    if held:
                         yield done()
-                    now, parts, size, total = r, [], 0, {}
-                for lang, n in told or []:
-                    total[lang] = total.get(lang, 0) + n
-                if raw is not None:
-                    parts.append(CountAutomaton.from_bytes(raw))
-                    size += len(raw)
-                if size > UNITE_BYTES and len(parts) > 1:
-                    parts, size = [CountAutomaton.union(parts)], 0
-        if now is not None:
+                    now, held = row["range"], []
+                held.append(row)
+        if held:
             yield done()
 
     return run
 
 
+_TOTAL = pa.map_(pa.string(), pa.int64())
+
+
+def transducers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams sorted by prefix range -> the count transducer of each range; totals are added up."""
+    now, parts, held, total = None, [], [], {}
+
+    def done() -> pa.RecordBatch:
+        parts.append(CountAutomaton.build(sorted(held)))
+        kept = (parts[0] if len(parts) == 1 else CountAutomaton.union(parts)).to_bytes()
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([kept], pa.binary()), pa.array([list(total.items())], _TOTAL)], names=["range", "counts", "total"])
+
+    for batch in batches:
+        for r, lang, words, n, told in zip(*(batch.column(c).to_pylist() for c in ("range", "lang", "words", "count", "total"))):
+            if r != now:
+                if now is not None:
+                    yield done()
+                now, parts, held, total = r, [], [], {}
+            for x, m in told or []:
+                total[x] = total.get(x, 0) + m
+            if words is not None:
+                held.append(((lang.encode(), *words.split(b" ")), n))
+            if len(held) > GRAMS:
+                parts.append(CountAutomaton.build(sorted(held)))
+                held = []
+    if now is not None:
+        yield done()
+
+
 def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[Key, int]]:
     for raw in batch.column("counts").to_pylist():
         yield from CountAutomaton.from_bytes(raw)
@@ -292,9 +383,10 @@ def count_phrases(documents: DataFrame, least: int, longest: int) -> tuple[DataF
         if not found:
             break
         tables.append(spark.sparkContext.broadcast(frequent_table(codes, found)))
-    shards = texts.mapInArrow(shard_counts(ranges, tables), "range int, counts binary, total map<string,bigint>")
+    shards = texts.mapInArrow(shard_counts(ranges, tables), _COUNTED_DDL).repartition("range").sortWithinPartitions("range")
+    grams = shards.mapInArrow(counted_once(least, ranges), "range int, lang string, words binary, count bigint, total map<string,bigint>")
     path = shared_dir(spark, "counts")
-    shards.repartition("range").sortWithinPartitions("range").mapInArrow(unite(least), "range int, counts binary, total map<string,bigint>").write.parquet(path)
+    grams.repartition("range").sortWithinPartitions("range").mapInArrow(transducers, "range int, counts binary, total map<string,bigint>").write.parquet(path)
     return spark.read.parquet(path), ranges
 
 
