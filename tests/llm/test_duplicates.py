@@ -419,3 +419,60 @@ def test_codes_of_very_long_lines_begin_anew():
     near = lines.candidates(prints, zero, zero, a, b)
     got = [(min(p), max(p)) for part in lines.block_pairs(prints, zero, zero) for p in zip(*(x.tolist() for x in part))]
     assert set(got) == set(zip(a[near].tolist(), b[near].tolist()))
+
+
+def test_near_copies_of_a_line_give_few_pairs(docs):
+    """Copies that are all near each other need no more pairs than connect them, and none is lost."""
+    r = random.Random(12)
+    words = syllable_lines(1, 12, 400, 420)[0].split()
+    copies = {" ".join(r.choice(words) if r.random() < 0.03 else w for w in words) for _ in range(150)}
+    rows = list(enumerate(sorted(copies)))
+    assert len(rows) > 120 and len(candidates_of(docs, rows)) < 6 * len(rows)
+    got = {x.doc_id: x.n_removed for x in lines.dedup_lines(docs(rows)).collect()}
+    assert got[0] == 0 and sum(got.values()) == len(rows) - 1
+
+
+def test_lines_that_share_more_blocks_may_differ_by_more_bits():
+    """Unrelated lines that share one usual phrase meet in a block too."""
+    one = int.from_bytes(bytes(range(1, 9)), "little")
+    for shared, bits, want in ((1, 42, False), (1, 38, True), (2, 42, True), (2, 58, False), (4, 58, True), (4, 70, False)):
+        other = int.from_bytes(bytes(k if k <= shared else 100 + k for k in range(1, 9)), "little")
+        first = min(bits // 3, 14)
+        prints = np.array([130 << 56, 130 << 56 | (1 << first) - 1], np.uint64)
+        more = np.array([0, (1 << (bits - first)) - 1], np.uint64)
+        third = np.array([1 << 32 | 2 << 40 | 3 << 48 | 4 << 56, 5 << 32 | 6 << 40 | 7 << 48 | 8 << 56], np.uint64)
+        got = lines.candidates(prints, more, third, np.array([0]), np.array([1]), np.array([one, other], np.uint64))
+        assert got.tolist() == [want], (shared, bits)
+
+
+def test_texts_of_pairs_come_together_in_rounds(docs, monkeypatch):
+    """However many pairs there are, the texts of a bounded number of them are joined at a time."""
+    names, keep = [], lines.stored
+
+    def stored(df, name):
+        names.append(name)
+        return keep(df, name)
+
+    pairs = edited_lines(60, 9)
+    rows = [(k, line) for k, (line, _, _) in enumerate(pairs)] + [(1000 + k, copy) for k, (_, copy, _) in enumerate(pairs)]
+    want = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs(rows)).collect()}
+    assert sum(want.values()) > 40 and lines.rounds_of(10 * lines.AT_ONCE, 1000) == 10 and lines.rounds_of(0, 0) == 1
+    monkeypatch.setattr(lines, "stored", stored)
+    monkeypatch.setattr(lines, "rounds_of", lambda pairs, classes: 4)
+    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(docs(rows)).collect()} == want
+    assert names.count("line-near") >= 4
+
+
+def test_fine_prints_part_unrelated_lines():
+    unrelated = syllable_lines(200, 31, 150, 400)
+    r = random.Random(5)
+    near = ["".join(r.choice("abcdefghij") if c != " " and r.random() < 0.1 else c for c in x) for x in unrelated]
+
+    def kept(a, b):
+        one, other = (list(map(bytes, lines.fine_prints(x))) for x in (a, b))
+        batch = pa.record_batch({"a": list(range(len(a))), "b": list(range(len(a))), "one": pa.array(one, pa.binary()), "other": pa.array(other, pa.binary())})
+        return sum(x.num_rows for x in lines.kindred(iter([batch])))
+
+    assert kept(unrelated, near) == 200
+    assert kept(unrelated, unrelated[1:] + unrelated[:1]) < 20
+    assert kept(["abcde", "x" * 60, "ab cd é"], ["abcdf", "x" * 40, ""]) == 3
